@@ -20,19 +20,23 @@ def pipeline_forest(model: PipelineModel) -> RandomForestClassificationModel:
     return next(s for s in model.stages if isinstance(s, RandomForestClassificationModel))
 
 
-def score_batch(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score_batch(
+    model: PipelineModel, df: DataFrame, predicted: str = "predicted"
+) -> DataFrame:
     """All input columns plus what the stages add and ``predicted``, the label's text.
 
     Vectors come out as arrays, so that the result can be written anywhere. Lazy and
     without a shuffle; columns nobody selects are not computed. A table without the
     label column can be scored too, it just gets no ``label``.
     """
+    if predicted in df.columns:
+        raise ValueError(f"column {predicted!r} exists already")
     forest = pipeline_forest(model)
     scored = model.transform(df)
     vectors = (forest.getFeaturesCol(), forest.getRawPredictionCol(), forest.getProbabilityCol())
     return scored.withColumns(
         {
             **{name: vector_to_array(name) for name in vectors if name},
-            "predicted": label_name(pipeline_labels(model), forest.getPredictionCol()),
+            predicted: label_name(pipeline_labels(model), forest.getPredictionCol()),
         }
     )

@@ -83,11 +83,16 @@ def cross_validate(
         foldCol=fold_col,
         parallelism=parallelism,
     ).fit(data)
-    trials = _trials_table(
-        df.sparkSession, grid_points(forest, grid), fitted.avgMetrics, fitted.stdMetrics
-    )
-    best = best_trial(trials, larger_is_better=evaluator.isLargerBetter()).first()
-    return Tuning(fitted.bestModel, trials, best.asDict())
+    trials = [
+        {**point, "avg_metric": float(avg), "std_metric": float(std)}
+        for point, avg, std in zip(
+            grid_points(forest, grid), fitted.avgMetrics, fitted.stdMetrics
+        )
+    ]
+    # Of equal points both min and max return the first, as the refit does.
+    pick = max if evaluator.isLargerBetter() else min
+    best = pick(trials, key=lambda trial: trial["avg_metric"])
+    return Tuning(fitted.bestModel, _trials_table(df.sparkSession, trials), best)
 
 
 def best_trial(trials: DataFrame, larger_is_better: bool = True) -> DataFrame:
@@ -96,14 +101,8 @@ def best_trial(trials: DataFrame, larger_is_better: bool = True) -> DataFrame:
     return trials.orderBy(metric, F.asc("param_id")).limit(1)
 
 
-def _trials_table(
-    spark: SparkSession, points: list[dict[str, Any]], averages: list, deviations: list
-) -> DataFrame:
-    """One row per grid point; the grid is an argument list, so this is never large."""
-    rows = [
-        {**point, "avg_metric": float(avg), "std_metric": float(std)}
-        for point, avg, std in zip(points, averages, deviations)
-    ]
+def _trials_table(spark: SparkSession, trials: list[dict[str, Any]]) -> DataFrame:
+    """One row per grid point; the grid is an argument, so this is never large."""
     types = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}
-    schema = T.StructType([T.StructField(name, types[type(v)]) for name, v in rows[0].items()])
-    return spark.createDataFrame([tuple(row.values()) for row in rows], schema)
+    schema = T.StructType([T.StructField(k, types[type(v)]) for k, v in trials[0].items()])
+    return spark.createDataFrame([tuple(trial.values()) for trial in trials], schema)

@@ -23,7 +23,7 @@ from tabgrove.operators.score import score_batch
 from tabgrove.operators.tune import DEFAULT_GRID, Grid, cross_validate
 from tabgrove.sources.delimited import read_delimited
 from tabgrove.sources.models import load_model, save_model
-from tabgrove.sources.shared import materialise
+from tabgrove.sources.shared import materialised
 
 
 @dataclass(frozen=True)
@@ -76,19 +76,18 @@ def train_classifier(
         table = df.select(*used, F.col(quoted(fold_col)).cast("int").alias(FOLD_COL))
     else:
         table = assign_folds(df, num_folds, seed, fold_keys).select(*used, FOLD_COL)
-    table = materialise(table)
-
-    indexer = fit_label_index(table, label, forest.getLabelCol(), handle_invalid, max_labels)
     assembler = build_assembler(chosen, forest.getFeaturesCol(), handle_invalid)
-    tuned = cross_validate(
-        indexer.transform(assembler.transform(table)),
-        forest,
-        grid,
-        num_folds,
-        FOLD_COL,
-        metric,
-        parallelism,
-    )
+    with materialised(table) as rows:
+        indexer = fit_label_index(rows, label, forest.getLabelCol(), handle_invalid, max_labels)
+        tuned = cross_validate(
+            indexer.transform(assembler.transform(rows)),
+            forest,
+            grid,
+            num_folds,
+            FOLD_COL,
+            metric,
+            parallelism,
+        )
     model = PipelineModel(stages=[assembler, indexer, tuned.model])
     return TrainedClassifier(model, tuned.trials, tuned.best)
 

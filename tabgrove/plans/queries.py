@@ -35,7 +35,7 @@ from tabgrove.plans.jobs import (
 )
 from tabgrove.sources.delimited import inferred_types, read_delimited
 from tabgrove.sources.models import load_model, save_model, tree_nodes
-from tabgrove.sources.shared import materialise, shared_folder
+from tabgrove.sources.shared import materialise, shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -185,7 +185,8 @@ STUMP_FEATURES = ["l_linenumber", "l_discount", "l_tax"]
 def root_split(spark, df: DataFrame, label: str, features: list[str], forest) -> DataFrame:
     """Fit, save, and read the root of the first tree back from the node table."""
     path = shared_folder(spark)
-    save_model(fit_pipeline(df, label, forest, features), path)
+    rows = spread(df.select(*features, label))
+    save_model(fit_pipeline(rows, label, forest, features), path)
     root = tree_nodes(spark, path).filter("tree_id = 0 AND node_id = 0")
     return root.select(
         "feature", F.round("threshold", 9).alias("threshold"), F.round("gain", 10).alias("gain")
@@ -223,7 +224,8 @@ def stump_predict(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_discount", "l_returnflag"
     )
-    model = fit_pipeline(rows, "l_returnflag", stump(), ["l_discount"])
+    sides = spread(rows.select("l_discount", "l_returnflag"))
+    model = fit_pipeline(sides, "l_returnflag", stump(), ["l_discount"])
     return score_batch(model, rows).select(
         "l_orderkey", "l_linenumber", "l_discount", "predicted"
     )
@@ -320,7 +322,7 @@ def cv_best_point(spark, sf_dir):
 
 def model_roundtrip(spark, sf_dir):
     """Save and load a forest, score every line item with both, count differences."""
-    rows = table(spark, sf_dir, "lineitem").select(*STUMP_FEATURES, "l_returnflag")
+    rows = spread(table(spark, sf_dir, "lineitem").select(*STUMP_FEATURES, "l_returnflag"))
     forest = build_forest(numTrees=5, maxDepth=5, seed=1)
     fitted = fit_pipeline(rows, "l_returnflag", forest, STUMP_FEATURES)
     path = shared_folder(spark)
@@ -404,7 +406,8 @@ def score_unlabelled(spark, sf_dir):
     """Score a table without its label column: predictions per line item, no label."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", "l_returnflag")
     path = shared_folder(spark)
-    save_model(fit_pipeline(rows, "l_returnflag", stump(), ["l_discount"]), path)
+    sides = spread(rows.select("l_discount", "l_returnflag"))
+    save_model(fit_pipeline(sides, "l_returnflag", stump(), ["l_discount"]), path)
     unlabelled = damaged_csv(rows.select("l_orderkey", "l_discount"))
     scored = score_job(spark, unlabelled, path)
     return scored.groupBy(

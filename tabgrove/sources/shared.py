@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabgrove.functions.names import quoted
+
 _local_folder: tempfile.TemporaryDirectory | None = None
 
 
@@ -27,14 +31,63 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tabgrove-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Shuffle a scan over all cores if it has fewer splits than there are cores.
+
+    For input that does not split, such as one compressed text file or one row group:
+    training reads its rows dozens of times and would use a few cores only. A scan with
+    enough splits is returned as it is. Meant for plain scans and projections of them;
+    a plan with joins would be run to learn its partitioning.
+
+    Shuffled blocks arrive in any order, and a bootstrap depends on the order of rows, so
+    each partition is sorted: one scan gives the same partitions every time.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores).sortWithinPartitions(*map(quoted, scan.columns))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and return a scan of it.
 
     Cuts the lineage: a lost executor costs a re-read of its splits, not a re-parse of
     the source, and random columns keep the values that were written. Column metadata
-    (ML attributes) is kept.
+    (ML attributes) is kept. A table with fewer splits than cores is written a second
+    time, evenly spread.
+
+    The table stays, as checkpoints do; ``materialised`` removes it.
     """
-    spark = df.sparkSession
-    path = shared_folder(spark)
+    return _materialise(df)[0]
+
+
+@contextmanager
+def materialised(df: DataFrame) -> Iterator[DataFrame]:
+    """``materialise`` for the length of a ``with`` block; the rows are deleted after it."""
+    scan, path = _materialise(df)
+    try:
+        yield scan
+    finally:
+        _empty(scan, path)
+
+
+def _materialise(df: DataFrame) -> tuple[DataFrame, str]:
+    scan, path = _write(df)
+    even = spread(scan)
+    if even is scan:
+        return scan, path
+    try:
+        return _write(even)
+    finally:
+        _empty(scan, path)
+
+
+def _write(df: DataFrame) -> tuple[DataFrame, str]:
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _empty(scan: DataFrame, path: str) -> None:
+    """Replace the table's rows by none, with Spark's own writer on any filesystem."""
+    scan.sparkSession.createDataFrame([], scan.schema).write.mode("overwrite").parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml import Model
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.param import Param
@@ -47,16 +47,16 @@ def grid_points(forest: RandomForestClassifier, grid: Grid = DEFAULT_GRID) -> li
 
 @dataclass(frozen=True)
 class Tuning:
-    """``model`` refitted on all rows, the ``trials`` table, and its winning row."""
+    """The winning pipeline refitted on all rows, the ``trials`` table, its winning row."""
 
-    model: Model
+    model: PipelineModel
     trials: DataFrame
     best: dict[str, Any]
 
 
 def cross_validate(
     df: DataFrame,
-    forest: RandomForestClassifier,
+    pipeline: Pipeline,
     grid: Grid = DEFAULT_GRID,
     num_folds: int = 2,
     fold_col: str = FOLD_COL,
@@ -65,24 +65,27 @@ def cross_validate(
 ) -> Tuning:
     """Cross-validate every grid point over the folds in ``fold_col``, then refit the best.
 
-    ``df`` holds the forest's feature and label columns and the fold, and should be cheap
-    to scan: it is read for every fold. Each fold's rows are cached while its trials run.
-    ``parallelism`` trials run at once; each keeps its own binned copy of the rows.
+    ``pipeline`` ends with the forest. Its label dictionary should be a fitted stage: one
+    fitted per fold would not know a label that the fold's training rows lack.
+
+    ``df`` should be narrow and cheap to scan, as it is read for every fold. Each fold's
+    rows are cached, spilling to disk, as the plain columns of ``df`` while its trials
+    run. ``parallelism`` trials run at once; each keeps its own binned copy of the rows.
     """
-    data = df.select(forest.getFeaturesCol(), forest.getLabelCol(), fold_col)
+    forest = pipeline.getStages()[-1]
     evaluator = MulticlassClassificationEvaluator(
         labelCol=forest.getLabelCol(),
         predictionCol=forest.getPredictionCol(),
         metricName=metric,
     )
     fitted = CrossValidator(
-        estimator=forest,
+        estimator=pipeline,
         estimatorParamMaps=param_maps(forest, grid),
         evaluator=evaluator,
         numFolds=num_folds,
         foldCol=fold_col,
         parallelism=parallelism,
-    ).fit(data)
+    ).fit(df)
     trials = [
         {**point, "avg_metric": float(avg), "std_metric": float(std)}
         for point, avg, std in zip(

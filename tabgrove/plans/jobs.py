@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
-from typing import Any
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,24 +14,15 @@ from tabgrove.operators.clean import clean_columns
 from tabgrove.operators.evaluate import metrics_table
 from tabgrove.operators.features import build_assembler, select_features
 from tabgrove.operators.folds import FOLD_COL, assign_folds
-from tabgrove.operators.forest import build_forest
+from tabgrove.operators.forest import build_forest, build_pipeline
 from tabgrove.operators.labels import MAX_LABELS, fit_label_index
 from tabgrove.operators.score import score_batch
-from tabgrove.operators.tune import DEFAULT_GRID, Grid, cross_validate
+from tabgrove.operators.tune import DEFAULT_GRID, Grid, Tuning, cross_validate
 from tabgrove.sources.delimited import read_delimited
 from tabgrove.sources.models import load_model, save_model
 from tabgrove.sources.shared import materialised
 
 
-@dataclass(frozen=True)
-class TrainedClassifier:
-    """The winning pipeline refitted on all rows, every trial, and the winning trial."""
-
-    model: PipelineModel
-    trials: DataFrame
-    best: dict[str, Any]
-
-
 def read_clean(
     spark: SparkSession,
     path: str,
@@ -44,7 +32,8 @@ def read_clean(
     on_bad_cell: str = "null",
 ) -> DataFrame:
     """Read delimited text and clean it."""
-    return clean_columns(read_delimited(spark, path, sep, infer_schema, schema), on_bad_cell)
+    raw = read_delimited(spark, path, sep, infer_schema, schema, on_bad_cell)
+    return clean_columns(raw, on_bad_cell)
 
 
 def train_classifier(
@@ -62,7 +51,7 @@ def train_classifier(
     parallelism: int = 1,
     handle_invalid: str = "error",
     max_labels: int = MAX_LABELS,
-) -> TrainedClassifier:
+) -> Tuning:
     """Tune a forest on a clean table by cross-validation and refit the winner.
 
     The source is scanned once: the columns in use and the fold are written as a table
@@ -79,17 +68,8 @@ def train_classifier(
     assembler = build_assembler(chosen, forest.getFeaturesCol(), handle_invalid)
     with materialised(table) as rows:
         indexer = fit_label_index(rows, label, forest.getLabelCol(), handle_invalid, max_labels)
-        tuned = cross_validate(
-            indexer.transform(assembler.transform(rows)),
-            forest,
-            grid,
-            num_folds,
-            FOLD_COL,
-            metric,
-            parallelism,
-        )
-    model = PipelineModel(stages=[assembler, indexer, tuned.model])
-    return TrainedClassifier(model, tuned.trials, tuned.best)
+        pipeline = build_pipeline(assembler, indexer, forest)
+        return cross_validate(rows, pipeline, grid, num_folds, FOLD_COL, metric, parallelism)
 
 
 def train_job(
@@ -102,7 +82,7 @@ def train_job(
     schema: T.StructType | None = None,
     on_bad_cell: str = "null",
     **training,
-) -> TrainedClassifier:
+) -> Tuning:
     """Read, clean, tune, refit, save. ``training`` goes to ``train_classifier``."""
     table = read_clean(spark, input_path, sep, infer_schema, schema, on_bad_cell)
     trained = train_classifier(table, label, **training)

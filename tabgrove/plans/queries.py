@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -25,14 +26,8 @@ from tabgrove.operators.folds import assign_folds, fold_counts, training_rows, v
 from tabgrove.operators.forest import build_forest, fit_pipeline
 from tabgrove.operators.labels import apply_label_index, fit_label_index, label_table
 from tabgrove.operators.score import pipeline_forest, pipeline_labels, score_batch
-from tabgrove.operators.tune import best_trial, grid_points
-from tabgrove.plans.jobs import (
-    TrainedClassifier,
-    evaluate_job,
-    read_clean,
-    score_job,
-    train_classifier,
-)
+from tabgrove.operators.tune import Tuning, best_trial, grid_points
+from tabgrove.plans.jobs import evaluate_job, read_clean, score_job, train_classifier
 from tabgrove.sources.delimited import inferred_types, read_delimited
 from tabgrove.sources.models import load_model, save_model, tree_nodes
 from tabgrove.sources.shared import materialise, shared_folder, spread
@@ -261,27 +256,25 @@ def param_grid(spark, sf_dir):
 
 
 def kfold_partition(spark, sf_dir):
-    """A seeded random split: every order is validated once and never trained on then."""
+    """A seeded random split: the first fold's two sides make up all rows, the folds'
+    validation rows do so too, and no order is validated twice."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     folded = materialise(assign_folds(orders, 2, seed=7))
-    rows = folded.select("o_orderkey", F.lit(-1).alias("fold"), F.lit("row").alias("role"))
-    for f in (0, 1):
-        for role, part in (("valid", validation_rows), ("train", training_rows)):
-            rows = rows.unionByName(
-                part(folded, f).select("o_orderkey", F.lit(f).alias("fold"), F.lit(role).alias("role"))
-            )
-    per_order = rows.groupBy("o_orderkey").agg(
-        F.count_if(F.col("role") == "row").alias("n"),
-        F.count_if(F.col("role") == "valid").alias("n_valid"),
-        F.count_if((F.col("role") != "row") & (F.col("fold") == 0)).alias("n_first"),
-        F.count_if((F.col("role") != "row") & (F.col("fold") == 1)).alias("n_second"),
+    parts = {
+        "train_0": training_rows(folded, 0),
+        "valid_0": validation_rows(folded, 0),
+        "valid_1": validation_rows(folded, 1),
+    }
+    tagged = [df.select("o_orderkey", F.lit(name).alias("part")) for name, df in parts.items()]
+    per_order = (
+        reduce(DataFrame.unionByName, tagged)
+        .groupBy("o_orderkey")
+        .agg(*(F.count_if(F.col("part") == name).alias(name) for name in parts))
     )
     return per_order.agg(
-        F.sum("n").alias("n_rows"),
-        F.sum("n_valid").alias("n_validation"),
-        F.count_if(
-            (F.col("n_first") != F.col("n")) | (F.col("n_second") != F.col("n"))
-        ).alias("n_in_both"),
+        F.sum(F.col("train_0") + F.col("valid_0")).alias("n_rows"),
+        F.sum(F.col("valid_0") + F.col("valid_1")).alias("n_validation"),
+        F.count_if((F.col("valid_0") > 0) & (F.col("valid_1") > 0)).alias("n_in_both"),
     )
 
 
@@ -292,7 +285,7 @@ def kfold_counts(spark, sf_dir):
     return fold_counts(orders, "o_orderpriority", "fold")
 
 
-def tuned_stump(rows: DataFrame, label: str) -> TrainedClassifier:
+def tuned_stump(rows: DataFrame, label: str) -> Tuning:
     """Two grid points over the folds ``l_orderkey`` mod 2."""
     return train_classifier(
         rows.withColumn("fold", F.col("l_orderkey") % 2),

@@ -14,6 +14,7 @@ def read_delimited(
     sep: str = ";",
     infer_schema: bool = True,
     schema: T.StructType | None = None,
+    on_bad_cell: str = "null",
 ) -> DataFrame:
     """Read delimited text from any filesystem Spark knows; the header gives the names.
 
@@ -22,7 +23,8 @@ def read_delimited(
     ``clean_columns`` casts in the same scan that uses them.
 
     A given ``schema`` names its columns without header damage. The names are checked
-    against the header of every file, so a moved or missing column raises.
+    against the header of every file, so a moved or missing column raises. A cell that
+    does not fit its declared type becomes NULL, or raises if ``on_bad_cell`` is "fail".
     """
     reader = spark.read.option("header", True).option("sep", sep)
     if schema is None:
@@ -36,7 +38,8 @@ def read_delimited(
     raw = T.StructType(
         [T.StructField(name, field.dataType) for name, field in zip(header, schema.fields)]
     )
-    return reader.option("enforceSchema", False).schema(raw).csv(path)
+    mode = "FAILFAST" if on_bad_cell == "fail" else "PERMISSIVE"
+    return reader.option("enforceSchema", False).option("mode", mode).schema(raw).csv(path)
 
 
 def inferred_types(df: DataFrame) -> DataFrame:

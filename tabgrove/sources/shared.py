@@ -90,4 +90,4 @@ def _write(df: DataFrame) -> tuple[DataFrame, str]:
 
 def _empty(scan: DataFrame, path: str) -> None:
     """Replace the table's rows by none, with Spark's own writer on any filesystem."""
-    scan.sparkSession.createDataFrame([], scan.schema).write.mode("overwrite").parquet(path)
+    scan.sparkSession.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)

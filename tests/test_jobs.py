@@ -8,9 +8,9 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from tabgrove.operators.features import assemble
+from tabgrove.operators.features import build_assembler
 from tabgrove.operators.folds import assign_folds
-from tabgrove.operators.forest import build_forest
+from tabgrove.operators.forest import build_forest, build_pipeline
 from tabgrove.operators.labels import fit_label_index
 from tabgrove.operators.tune import DEFAULT_GRID, cross_validate
 from tabgrove.plans.jobs import evaluate_job, score_job, train_classifier, train_job
@@ -81,11 +81,13 @@ def test_score_and_evaluate_jobs(spark, trained, text_path):
 def test_same_table_and_seed_same_result(spark):
     """Forests depend on how rows are partitioned; over one table a run can be repeated."""
     table = materialise(assign_folds(measurements(spark), 2, seed=5))
-    indexed = fit_label_index(table, "grade").transform(assemble(table, ["noise", "rest sugar"]))
-    runs = [cross_validate(indexed, forest(seed=3), SMALL_GRID, parallelism=p) for p in (1, 3)]
+    pipeline = build_pipeline(
+        build_assembler(["noise", "rest sugar"]), fit_label_index(table, "grade"), forest(seed=3)
+    )
+    runs = [cross_validate(table, pipeline, SMALL_GRID, parallelism=p) for p in (1, 3)]
     assert runs[0].best == runs[1].best
     assert runs[0].trials.exceptAll(runs[1].trials).isEmpty()
-    trees = [run.model.toDebugString.split("\n")[1:] for run in runs]
+    trees = [run.model.stages[-1].toDebugString.split("\n")[1:] for run in runs]
     assert trees[0] == trees[1] and len(trees[0]) > 5
 
 

@@ -93,3 +93,11 @@ def test_bad_cell_in_a_number_column(spark, tmp_path):
     assert rows(read_clean(spark, path)) == [(1.0,), (None,)]
     with pytest.raises(Exception, match="not a number in column a: oops"):
         read_clean(spark, path, on_bad_cell="fail").collect()
+
+
+def test_bad_cell_in_a_declared_column(spark, tmp_path):
+    path = write(tmp_path, ["a;b", "1;x", "oops;y"])
+    declared = T.StructType().add("a", "integer").add("b", "string")
+    assert rows(read_clean(spark, path, schema=declared).select("a")) == [(1.0,), (None,)]
+    with pytest.raises(Exception, match="(?i)malformed|bad record"):
+        read_clean(spark, path, schema=declared, on_bad_cell="fail").select("a").collect()

@@ -25,7 +25,7 @@ from tabgrove.sources.shared import materialised
 
 def read_clean(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     sep: str = ";",
     infer_schema: bool = True,
     schema: T.StructType | None = None,
@@ -54,10 +54,15 @@ def train_classifier(
 ) -> Tuning:
     """Tune a forest on a clean table by cross-validation and refit the winner.
 
+    By default every column but the label and those that only name folds is a feature.
+
     The source is scanned once: the columns in use and the fold are written as a table
     that the label dictionary, all trials and the refit read. Folds come from the integer
     column ``fold_col``, or a hash of ``fold_keys``, or a draw with ``seed``.
     """
+    if features is None:
+        apart = {label, fold_col, *(fold_keys or [])}
+        features = [name for name in df.columns if name not in apart]
     chosen = select_features(df, label, features, allow_label_feature)
     forest = forest or build_forest()
     used = [F.col(quoted(name)) for name in dict.fromkeys([*chosen, label])]
@@ -74,7 +79,7 @@ def train_classifier(
 
 def train_job(
     spark: SparkSession,
-    input_path: str,
+    input_path: str | list[str],
     model_path: str,
     label: str,
     sep: str = ";",
@@ -92,7 +97,7 @@ def train_job(
 
 def score_job(
     spark: SparkSession,
-    input_path: str,
+    input_path: str | list[str],
     model_path: str,
     sep: str = ";",
     infer_schema: bool = True,
@@ -104,6 +109,8 @@ def score_job(
     return score_batch(load_model(model_path), table)
 
 
-def evaluate_job(spark: SparkSession, input_path: str, model_path: str, **reading) -> DataFrame:
+def evaluate_job(
+    spark: SparkSession, input_path: str | list[str], model_path: str, **reading
+) -> DataFrame:
     """Score a labelled path and return its ``(metric, value)`` table."""
     return metrics_table(score_job(spark, input_path, model_path, **reading))

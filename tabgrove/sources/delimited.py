@@ -10,7 +10,7 @@ from tabgrove.functions.names import strip_quotes
 
 def read_delimited(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     sep: str = ";",
     infer_schema: bool = True,
     schema: T.StructType | None = None,

@@ -12,6 +12,7 @@ from tabgrove.operators.features import build_assembler
 from tabgrove.operators.folds import assign_folds
 from tabgrove.operators.forest import build_forest, build_pipeline
 from tabgrove.operators.labels import fit_label_index
+from tabgrove.operators.score import score_batch
 from tabgrove.operators.tune import DEFAULT_GRID, cross_validate
 from tabgrove.plans.jobs import evaluate_job, score_job, train_classifier, train_job
 from tabgrove.plans.queries import TEXT_FEATURES, damaged_csv, labelled_texts
@@ -101,21 +102,24 @@ def test_spread_rows_come_in_the_same_order_every_time(spark):
     assert rows() == rows()
 
 
-def test_fold_keys_are_no_features_when_listed_apart(spark):
-    table = measurements(spark).withColumn("key", F.monotonically_increasing_id())
+@pytest.mark.parametrize("naming", [{"fold_keys": ["key"]}, {"fold_col": "key"}])
+def test_columns_that_name_folds_are_no_features(spark, naming):
+    row = F.monotonically_increasing_id()
+    table = measurements(spark).withColumn("key", row % 2 if "fold_col" in naming else row)
     run = train_classifier(
-        table,
-        "grade",
-        features=["fixed part", "rest sugar"],
-        forest=forest(),
-        grid={"impurity": ["gini"]},
-        fold_keys=["key"],
-        metric="f1",
+        table, "grade", forest=forest(), grid={"impurity": ["gini"]}, metric="f1", **naming
     )
-    assert run.model.stages[0].getInputCols() == ["fixed part", "rest sugar"]
+    assert run.model.stages[0].getInputCols() == ["fixed part", "rest sugar", "noise"]
     assert run.best["avg_metric"] > 0.8
 
 
+def test_awkward_names_from_end_to_end(spark):
+    table = measurements(spark).toDF("fixed.part", "rest `sugar`", "no ise", "gr.ade")
+    run = train_classifier(table, "gr.ade", forest=forest(), grid={"impurity": ["gini"]})
+    scored = score_batch(run.model, table)
+    assert scored.filter(F.col("predicted") == F.col("`gr.ade`").cast("string")).count() > 320
+
+
 def test_label_living_in_one_fold_only(spark):
     """The dictionary is fitted before the folds, so its validation rows can be indexed."""
     table = measurements(spark).withColumn("fold", F.monotonically_increasing_id() % 2)

@@ -444,6 +444,10 @@ def test_shared_folder_comes_from_the_session(spark):
         assert folder.startswith(base)
 
 
+def test_unset_setting_reads_as_none(spark):
+    assert spark.conf.get("spark.no.such.setting", None) is None
+
+
 class ClusterSession:
     """Just the settings of a session on a cluster."""
 
@@ -460,3 +464,9 @@ def test_shared_folder_is_never_local_on_a_cluster(monkeypatch):
         shared_folder(ClusterSession)
     monkeypatch.setitem(ClusterSession.conf.settings, "spark.checkpoint.dir", "hdfs:///work/")
     assert shared_folder(ClusterSession).startswith("hdfs:///work/tabgrove-")
+
+
+def test_shared_folder_of_a_local_session_without_the_setting(monkeypatch):
+    monkeypatch.setitem(ClusterSession.conf.settings, "spark.master", "local[2]")
+    first, second = shared_folder(ClusterSession), shared_folder(ClusterSession)
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]

@@ -49,6 +49,30 @@ u AS (SELECT count(DISTINCT k) = 1 AS same FROM pr)
 """
 
 
+def _two_levels(features: Sequence[str], label: str, impurity: str = "gini") -> str:
+    """CTEs that split both sides of the best stump once more.
+
+    ``lines`` tells each row's side of the root, ``pr2`` the label predicted on each side
+    of each second split. Thresholds are chosen among those of the whole table.
+    """
+    chosen = "CASE {}.f " + " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(features)) + " END"
+    source = " UNION ALL ".join(
+        f"SELECT node, {i}::BIGINT AS f, {name}::DOUBLE AS v, {label} AS k FROM lines"
+        for i, name in enumerate(features)
+    )
+    return _stump(features, label, impurity) + f""", lines AS (SELECT lineitem.*, {chosen.format("best")} <= best.thr AS node FROM lineitem, best),
+c2 AS (SELECT node, f, v, k, count(*) AS n FROM ({source}) GROUP BY ALL),
+side2 AS (SELECT node, c2.f, thr, c2.v <= thr AS lft, k, sum(n)::DOUBLE AS n FROM cand JOIN c2 ON c2.f = cand.f GROUP BY ALL),
+tt2 AS (SELECT *, sum(n) OVER (PARTITION BY node, f, thr, lft) AS t FROM side2),
+im2 AS (SELECT node, f, thr, lft, any_value(t) AS t, {IMPURITY[impurity]} AS i FROM tt2 GROUP BY node, f, thr, lft),
+best2 AS (SELECT node, f, thr FROM (SELECT node, f, thr, sum(t * i) / sum(t) AS ci FROM im2 GROUP BY node, f, thr HAVING count(*) = 2)
+          QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(ci, 12), f, thr) = 1),
+pr2 AS (SELECT node, f, thr, lft, side2.k FROM side2 JOIN best2 USING (node, f, thr) JOIN idx ON idx.k = side2.k
+        QUALIFY row_number() OVER (PARTITION BY node, lft ORDER BY n DESC, id) = 1),
+leaves AS (SELECT lines.*, pr2.k AS predicted FROM lines JOIN pr2 ON pr2.node = lines.node AND pr2.lft = ({chosen.format("pr2")} <= pr2.thr))
+"""
+
+
 _SPLIT = (
     "CASE WHEN NOT same THEN round(thr, 9) END AS threshold, "
     "CASE WHEN NOT same THEN round((SELECT i FROM root) - ci, 10) END AS gain FROM best, u"
@@ -165,6 +189,10 @@ UNION ALL SELECT * FROM (VALUES (1, 'l_linenumber', 'int'), (2, 'l_quantity', 'd
         + "SELECT l_orderkey, l_linenumber, l_discount, pr.k AS predicted "
         "FROM lineitem JOIN pr ON pr.lft = (l_discount <= pr.thr)"
     ),
+    "tree_predict": (
+        _two_levels(["l_linenumber", "l_discount", "l_tax"], "l_returnflag")
+        + "SELECT l_linenumber, l_discount, l_tax, predicted, count(*) AS n FROM leaves GROUP BY ALL"
+    ),
     "param_grid": """
 WITH g AS (SELECT row_number() OVER (ORDER BY d, t, s, i) - 1 AS param_id, d AS max_depth, t AS num_trees, 5::BIGINT AS min_instances, s AS seed, i AS impurity
   FROM (VALUES (5::BIGINT), (10)) a(d), (VALUES (50::BIGINT), (150)) b(t), (VALUES (100::BIGINT), (200)) c(s), (VALUES ('entropy'), ('gini')) e(i)),
@@ -187,8 +215,8 @@ SELECT * FROM g, n""",
         f"SELECT count(*) AS n_rows, count(*) AS n_prob_ok, count(*) AS n_label_ok {_LABELLED}"
     ),
     "forest_tree_nodes": (
-        "SELECT 20::BIGINT AS n_trees, 20::BIGINT AS n_binary, 0::BIGINT AS n_bad, "
-        f"count(*) > 0 AS all_saved {_LABELLED}"
+        "SELECT tree_id, count(*) AS n_rows, 1::BIGINT AS n_excess, 0::BIGINT AS n_bad "
+        f"{_LABELLED}, range(20) t(tree_id) GROUP BY tree_id"
     ),
     "score_unlabelled": (
         _stump(["l_discount"], "l_returnflag")

@@ -25,7 +25,7 @@ from tabgrove.operators.features import assemble_long
 from tabgrove.operators.folds import assign_folds, fold_counts, training_rows, validation_rows
 from tabgrove.operators.forest import build_forest, fit_pipeline
 from tabgrove.operators.labels import apply_label_index, fit_label_index, label_table
-from tabgrove.operators.score import pipeline_forest, pipeline_labels, score_batch
+from tabgrove.operators.score import pipeline_labels, score_batch
 from tabgrove.operators.tune import Tuning, best_trial, grid_points
 from tabgrove.plans.jobs import evaluate_job, read_clean, score_job, train_classifier
 from tabgrove.sources.delimited import inferred_types, read_delimited
@@ -41,10 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stump(**params):
     """A one-split tree over all rows and features, whose best split has a closed form."""
-    settings = {"impurity": "gini", "seed": 1, **params}
-    return build_forest(
-        numTrees=1, maxDepth=1, bootstrap=False, featureSubsetStrategy="all", **settings
-    )
+    settings = {"maxDepth": 1, "impurity": "gini", "seed": 1, **params}
+    return build_forest(numTrees=1, bootstrap=False, featureSubsetStrategy="all", **settings)
 
 
 # --- delimited scans and cleaning -------------------------------------------------------
@@ -226,6 +224,17 @@ def stump_predict(spark, sf_dir):
     )
 
 
+def tree_predict(spark, sf_dir):
+    """A tree of two levels over three features: rows per feature values and prediction."""
+    rows = table(spark, sf_dir, "lineitem").select(*STUMP_FEATURES, "l_returnflag")
+    model = fit_pipeline(spread(rows), "l_returnflag", stump(maxDepth=2), STUMP_FEATURES)
+    return (
+        score_batch(model, rows)
+        .groupBy(*STUMP_FEATURES, "predicted")
+        .agg(F.count("*").alias("n"))
+    )
+
+
 # --- grid, folds, cross-validation ------------------------------------------------------
 
 
@@ -355,10 +364,9 @@ def labelled_texts(spark, sf_dir) -> DataFrame:
     return sizes.join(labels, "doc_id")
 
 
-def text_forest(rows: DataFrame) -> PipelineModel:
-    return fit_pipeline(
-        rows, "quality", build_forest(numTrees=20, maxDepth=5, seed=1), TEXT_FEATURES
-    )
+def text_forest(rows: DataFrame, **params) -> PipelineModel:
+    forest = build_forest(numTrees=20, maxDepth=5, seed=1, **params)
+    return fit_pipeline(rows, "quality", forest, TEXT_FEATURES)
 
 
 def forest_fit_score(spark, sf_dir):
@@ -375,23 +383,19 @@ def forest_fit_score(spark, sf_dir):
 
 
 def forest_tree_nodes(spark, sf_dir):
-    """The node table of a saved forest: per tree, leaves are inner nodes plus one, and
-    every row that is scored falls into some leaf."""
-    rows = materialise(labelled_texts(spark, sf_dir))
-    model = text_forest(rows)
+    """The node table of a saved forest without bootstrap: the leaves of every tree hold
+    all rows between them, and there is one leaf more than there are splits."""
     path = shared_folder(spark)
-    save_model(model, path)
-    n_trees = pipeline_forest(model).getNumTrees
-    per_tree = tree_nodes(spark, path).groupBy("tree_id").agg(
-        F.count_if(F.col("left_child") == -1).alias("n_leaves"),
-        F.count_if(F.col("left_child") != -1).alias("n_splits"),
-        F.count_if((F.col("left_child") != -1) & F.col("threshold").isNull()).alias("n_bad"),
-    )
-    return per_tree.agg(
-        F.count("*").alias("n_trees"),
-        F.count_if(F.col("n_leaves") == F.col("n_splits") + 1).alias("n_binary"),
-        F.sum("n_bad").alias("n_bad"),
-        (F.count("*") == n_trees).alias("all_saved"),
+    save_model(text_forest(materialise(labelled_texts(spark, sf_dir)), bootstrap=False), path)
+    is_leaf = F.col("left_child") == -1
+    return (
+        tree_nodes(spark, path)
+        .groupBy("tree_id")
+        .agg(
+            F.sum(F.when(is_leaf, F.col("n_rows"))).alias("n_rows"),
+            (F.count_if(is_leaf) - F.count_if(~is_leaf)).alias("n_excess"),
+            F.count_if(is_leaf == F.col("threshold").isNotNull()).alias("n_bad"),
+        )
     )
 
 
@@ -449,6 +453,7 @@ QUERIES: dict[str, Query] = {
         stump_min_instances,
         stump_best_feature,
         stump_predict,
+        tree_predict,
         param_grid,
         kfold_partition,
         kfold_counts,

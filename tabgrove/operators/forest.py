@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 
 from tabgrove.operators.features import build_assembler, select_features
@@ -26,9 +27,27 @@ def build_forest(**params) -> RandomForestClassifier:
     return RandomForestClassifier(**settings)
 
 
+def check_added_names(inputs: Iterable[str], forest: RandomForestClassifier) -> None:
+    """Raise if an input column is named like one that the pipeline adds.
+
+    Give the forest another name for its own column then: ``build_forest(labelCol="y")``.
+    """
+    added = {
+        forest.getFeaturesCol(),
+        forest.getLabelCol(),
+        forest.getRawPredictionCol(),
+        forest.getProbabilityCol(),
+        forest.getPredictionCol(),
+    }
+    clash = sorted(added & set(inputs))
+    if clash:
+        raise ValueError(f"input columns are named like output columns: {clash}")
+
+
 def build_pipeline(
-    assembler: Transformer, indexer: Transformer, classifier: RandomForestClassifier
+    assembler: VectorAssembler, indexer: StringIndexerModel, classifier: RandomForestClassifier
 ) -> Pipeline:
+    """Assembly, label index and forest in one pipeline."""
     return Pipeline(stages=[assembler, indexer, classifier])
 
 
@@ -40,8 +59,13 @@ def fit_pipeline(
     allow_label_feature: bool = False,
     handle_invalid: str = "error",
 ) -> PipelineModel:
-    """Fit dictionary and forest on ``df`` without tuning."""
+    """Fit dictionary and forest on ``df`` without tuning.
+
+    ``df`` is read once for the dictionary and three times by the forest: a table or a
+    projection of one, rather than raw text.
+    """
     chosen = select_features(df, label, features, allow_label_feature)
+    check_added_names([*chosen, label], forest)
     assembler = build_assembler(chosen, forest.getFeaturesCol(), handle_invalid)
     indexer = fit_label_index(df, label, forest.getLabelCol(), handle_invalid)
     return build_pipeline(assembler, indexer, forest).fit(df)

@@ -40,7 +40,7 @@ def param_maps(forest: RandomForestClassifier, grid: Grid = DEFAULT_GRID) -> lis
 def grid_points(forest: RandomForestClassifier, grid: Grid = DEFAULT_GRID) -> list[dict[str, Any]]:
     """The grid product as plain rows: ``param_id`` and one entry per parameter."""
     return [
-        {"param_id": i, **{param.name: value for param, value in point.items()}}
+        {"param_id": i, **{p.name: p.typeConverter(value) for p, value in point.items()}}
         for i, point in enumerate(param_maps(forest, grid))
     ]
 

@@ -14,9 +14,9 @@ from tabgrove.operators.clean import clean_columns
 from tabgrove.operators.evaluate import metrics_table
 from tabgrove.operators.features import build_assembler, select_features
 from tabgrove.operators.folds import FOLD_COL, assign_folds
-from tabgrove.operators.forest import build_forest, build_pipeline
+from tabgrove.operators.forest import build_forest, build_pipeline, check_added_names
 from tabgrove.operators.labels import MAX_LABELS, fit_label_index
-from tabgrove.operators.score import score_batch
+from tabgrove.operators.score import pipeline_forest, score_batch
 from tabgrove.operators.tune import DEFAULT_GRID, Grid, Tuning, cross_validate
 from tabgrove.sources.delimited import read_delimited
 from tabgrove.sources.models import load_model, save_model
@@ -65,12 +65,14 @@ def train_classifier(
         features = [name for name in df.columns if name not in apart]
     chosen = select_features(df, label, features, allow_label_feature)
     forest = forest or build_forest()
+    check_added_names([*chosen, label], forest)
     used = [F.col(quoted(name)) for name in dict.fromkeys([*chosen, label])]
     if fold_col:
         table = df.select(*used, F.col(quoted(fold_col)).cast("int").alias(FOLD_COL))
     else:
         table = assign_folds(df, num_folds, seed, fold_keys).select(*used, FOLD_COL)
     assembler = build_assembler(chosen, forest.getFeaturesCol(), handle_invalid)
+
     with materialised(table) as rows:
         indexer = fit_label_index(rows, label, forest.getLabelCol(), handle_invalid, max_labels)
         pipeline = build_pipeline(assembler, indexer, forest)
@@ -110,7 +112,16 @@ def score_job(
 
 
 def evaluate_job(
-    spark: SparkSession, input_path: str | list[str], model_path: str, **reading
+    spark: SparkSession,
+    input_path: str | list[str],
+    model_path: str,
+    sep: str = ";",
+    infer_schema: bool = True,
+    schema: T.StructType | None = None,
+    on_bad_cell: str = "null",
 ) -> DataFrame:
     """Score a labelled path and return its ``(metric, value)`` table."""
-    return metrics_table(score_job(spark, input_path, model_path, **reading))
+    table = read_clean(spark, input_path, sep, infer_schema, schema, on_bad_cell)
+    model = load_model(model_path)
+    forest = pipeline_forest(model)
+    return metrics_table(model.transform(table), forest.getLabelCol(), forest.getPredictionCol())

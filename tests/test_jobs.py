@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -120,6 +121,20 @@ def test_awkward_names_from_end_to_end(spark):
     assert scored.filter(F.col("predicted") == F.col("`gr.ade`").cast("string")).count() > 320
 
 
+def test_a_label_column_called_label(spark, tmp_path):
+    table = measurements(spark).withColumnRenamed("grade", "label")
+    grid = {"subsamplingRate": np.linspace(0.5, 1.0, 2)}
+    with pytest.raises(ValueError, match="named like output columns"):
+        train_classifier(table, "label", forest=forest(), grid=grid)
+    path = str(tmp_path / "m")
+    run = train_job(
+        spark, damaged_csv(table), path, "label", forest=forest(labelCol="label_index"), grid=grid
+    )
+    assert [t.subsamplingRate for t in run.trials.orderBy("param_id").collect()] == [0.5, 1.0]
+    metrics = evaluate_job(spark, damaged_csv(table), path).collect()
+    assert {m.metric: m.value for m in metrics}["accuracy"] > 0.8
+
+
 def test_label_living_in_one_fold_only(spark):
     """The dictionary is fitted before the folds, so its validation rows can be indexed."""
     table = measurements(spark).withColumn("fold", F.monotonically_increasing_id() % 2)

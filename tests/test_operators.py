@@ -7,12 +7,19 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StringIndexer
+from pyspark.mllib.evaluation import MulticlassMetrics
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabgrove.functions.names import check_distinct, ml_name, quoted, strip_quotes
 from tabgrove.operators.clean import clean_columns
-from tabgrove.operators.evaluate import confusion_matrix, metrics_table, per_label, weighted_f1
+from tabgrove.operators.evaluate import (
+    accuracy,
+    confusion_matrix,
+    metrics_table,
+    per_label,
+    weighted_f1,
+)
 from tabgrove.operators.features import assemble, assemble_long, select_features
 from tabgrove.operators.folds import assign_folds, training_rows, validation_rows
 from tabgrove.operators.forest import DEFAULT_FOREST, build_forest, fit_pipeline
@@ -265,6 +272,13 @@ def test_metrics_equal_brute_force_and_evaluator(spark, rows):
         assert ours[metric] == pytest.approx(theirs, abs=1e-12)
 
 
+def test_weighted_f1_equals_the_rdd_metrics(spark):
+    df = pairs(spark, [(0, 0), (0, 3), (0, 1), (1, 1), (1, 0), (2, 1), (2, 1), (4, 4)])
+    theirs = MulticlassMetrics(df.select("prediction", "label").rdd.map(tuple))
+    assert weighted_f1(df).first().weighted_f1 == pytest.approx(theirs.weightedFMeasure(), abs=1e-12)
+    assert accuracy(df).first().accuracy == pytest.approx(theirs.accuracy, abs=1e-12)
+
+
 def test_labels_never_predicted_and_predictions_never_labelled(spark):
     df = pairs(spark, [(0, 0), (0, 3), (1, 0), (2, 1)])
     rows = {r.label: r for r in per_label(confusion_matrix(df)).collect()}

@@ -82,8 +82,8 @@ _SPLIT = (
 def _tuned_stump(label: str) -> str:
     """CTEs for two impurities over the folds ``l_orderkey`` mod 2 on ``l_discount``.
 
-    Fold -1 leaves nothing out: it is the refit on all rows. ``avgs`` holds the mean
-    accuracy per point, ``won`` the winner, ``pr`` the predictions per fold and point.
+    Fold -1 leaves nothing out: it is the refit on all rows. ``avgs`` holds mean
+    and deviation of the accuracy per point, ``won`` the winner, ``pr`` the predictions per fold and point.
     """
     return f"""WITH pts(param_id, impurity) AS (VALUES (0::BIGINT, 'entropy'), (1, 'gini')), folds(fold) AS (VALUES (0), (1), (-1)),
 tr AS (SELECT fold, l_discount AS v, {label} AS k, count(*) AS n FROM lineitem JOIN folds ON l_orderkey % 2 <> fold GROUP BY ALL),
@@ -99,7 +99,7 @@ idx AS ({_index("lineitem", label)}),
 pr AS (SELECT best.fold, param_id, best.thr, lft, side.k FROM best JOIN side ON side.fold = best.fold AND side.thr = best.thr JOIN idx ON idx.k = side.k
        QUALIFY row_number() OVER (PARTITION BY best.fold, param_id, lft ORDER BY n DESC, id) = 1),
 acc AS (SELECT pr.param_id, pr.fold, avg((pr.k = {label})::INT) AS a FROM lineitem JOIN pr ON l_orderkey % 2 = pr.fold AND pr.lft = (l_discount <= pr.thr) GROUP BY ALL),
-avgs AS (SELECT param_id, impurity, avg(a) AS avg_metric FROM acc JOIN pts USING (param_id) GROUP BY ALL),
+avgs AS (SELECT param_id, impurity, avg(a) AS avg_metric, stddev_pop(a) AS std_metric FROM acc JOIN pts USING (param_id) GROUP BY ALL),
 won AS (SELECT param_id, impurity FROM avgs ORDER BY avg_metric DESC, param_id LIMIT 1)
 """
 
@@ -207,7 +207,8 @@ SELECT * FROM g, n""",
     ),
     "cv_avg_metrics": (
         _tuned_stump("l_returnflag")
-        + "SELECT param_id, impurity, round(avg_metric, 9) AS avg_accuracy FROM avgs"
+        + "SELECT param_id, impurity, round(avg_metric, 9) AS avg_accuracy, "
+        "round(std_metric, 9) AS std_accuracy FROM avgs"
     ),
     "cv_best_point": _tuned_stump("l_returnflag") + "SELECT param_id, impurity FROM won",
     "model_roundtrip": "SELECT count(*) AS n_rows, 0::BIGINT AS n_mismatch FROM lineitem",

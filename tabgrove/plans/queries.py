@@ -310,7 +310,10 @@ def tuned_stump(rows: DataFrame, label: str) -> Tuning:
 def cv_avg_metrics(spark, sf_dir):
     trials = tuned_stump(table(spark, sf_dir, "lineitem"), "l_returnflag").trials
     return trials.select(
-        "param_id", "impurity", F.round("avg_metric", 9).alias("avg_accuracy")
+        "param_id",
+        "impurity",
+        F.round("avg_metric", 9).alias("avg_accuracy"),
+        F.round("std_metric", 9).alias("std_accuracy"),
     )
 
 

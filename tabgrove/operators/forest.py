@@ -9,6 +9,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 
+from tabgrove.functions.names import quoted
 from tabgrove.operators.features import build_assembler, select_features
 from tabgrove.operators.labels import fit_label_index
 
@@ -58,14 +59,23 @@ def fit_pipeline(
     features: Sequence[str] | None = None,
     allow_label_feature: bool = False,
     handle_invalid: str = "error",
+    cache: bool = True,
 ) -> PipelineModel:
     """Fit dictionary and forest on ``df`` without tuning.
 
-    ``df`` is read once for the dictionary and three times by the forest: a table or a
-    projection of one, rather than raw text.
+    The rows are read once for the dictionary and three times by the forest, so the
+    columns in use are cached meanwhile, spilling to disk. Switch that off for a ``df``
+    that is cached already, or where disks cannot hold those columns.
     """
     chosen = select_features(df, label, features, allow_label_feature)
     check_added_names([*chosen, label], forest)
-    assembler = build_assembler(chosen, forest.getFeaturesCol(), handle_invalid)
-    indexer = fit_label_index(df, label, forest.getLabelCol(), handle_invalid)
-    return build_pipeline(assembler, indexer, forest).fit(df)
+    rows = df.select(*(quoted(name) for name in dict.fromkeys([*chosen, label])))
+    if cache:
+        rows.persist()
+    try:
+        assembler = build_assembler(chosen, forest.getFeaturesCol(), handle_invalid)
+        indexer = fit_label_index(rows, label, forest.getLabelCol(), handle_invalid)
+        return build_pipeline(assembler, indexer, forest).fit(rows)
+    finally:
+        if cache:
+            rows.unpersist()

@@ -374,6 +374,17 @@ def test_fit_save_load_score(spark, tmp_path):
     assert reloaded.filter(F.col("predicted") != F.col("quality").cast("string")).isEmpty()
 
 
+@pytest.mark.parametrize("cache", [True, False])
+def test_fit_leaves_nothing_cached(spark, cache):
+    rows = tiny(spark).withColumn("unused", F.lit("text"))
+    features = ["a.x", "b y"]
+    model = fit_pipeline(rows, "quality", build_forest(numTrees=1), features, cache=cache)
+    assert model.stages[-1].numFeatures == 2
+    assert not rows.select("`a.x`", "`b y`", "quality").is_cached
+    plan = rows.select("`a.x`", "`b y`", "quality")._jdf.queryExecution().executedPlan().toString()
+    assert "InMemory" not in plan
+
+
 def test_score_without_label(spark):
     rows = tiny(spark)
     model = fit_pipeline(rows, "quality", build_forest(numTrees=2, maxDepth=2))

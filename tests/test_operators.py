@@ -26,6 +26,7 @@ from tabgrove.operators.forest import DEFAULT_FOREST, build_forest, fit_pipeline
 from tabgrove.operators.labels import apply_label_index, fit_label_index, label_table
 from tabgrove.operators.score import score_batch
 from tabgrove.operators.tune import best_trial, grid_points, param_maps
+from tabgrove.plans.jobs import train_classifier
 from tabgrove.sources.models import load_model, save_model, tree_nodes
 from tabgrove.sources.shared import materialise, materialised, shared_folder, spread
 
@@ -204,6 +205,14 @@ def test_too_many_labels_raise_and_none_is_cut(spark):
         label_table(df, "y", max_labels=5).collect()
 
 
+def test_training_on_too_many_labels_raises(spark):
+    forest = build_forest(numTrees=1)
+    with pytest.raises(Exception, match="more than 1 labels"):
+        fit_pipeline(tiny(spark), "quality", forest, max_labels=1)
+    with pytest.raises(Exception, match="more than 1 labels"):
+        train_classifier(tiny(spark), "quality", forest=forest, max_labels=1)
+
+
 def test_one_label_holding_most_rows(spark):
     df = spark.range(0, 100_000, 1, 8).select(
         F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("y")

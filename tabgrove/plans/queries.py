@@ -30,7 +30,7 @@ from tabgrove.operators.tune import Tuning, best_trial, grid_points
 from tabgrove.plans.jobs import evaluate_job, read_clean, score_job, train_classifier
 from tabgrove.sources.delimited import inferred_types, read_delimited
 from tabgrove.sources.models import load_model, save_model, tree_nodes
-from tabgrove.sources.shared import materialise, shared_folder, spread
+from tabgrove.sources.shared import lay_out, materialise, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Rows a task of a fit reads. The layout follows the data, never the number of cores.
+ROWS_PER_PARTITION = 100_000
+
+
+def laid_out(df: DataFrame) -> DataFrame:
+    return lay_out(df, -(-df.count() // ROWS_PER_PARTITION) or 1)
+
+
 def stump(**params):
     """A one-split tree over all rows and features, whose best split has a closed form."""
     settings = {"maxDepth": 1, "impurity": "gini", "seed": 1, **params}
@@ -178,7 +186,7 @@ STUMP_FEATURES = ["l_linenumber", "l_discount", "l_tax"]
 def root_split(spark, df: DataFrame, label: str, features: list[str], forest) -> DataFrame:
     """Fit, save, and read the root of the first tree back from the node table."""
     path = shared_folder(spark)
-    rows = spread(df.select(*features, label))
+    rows = laid_out(df.select(*features, label))
     save_model(fit_pipeline(rows, label, forest, features), path)
     root = tree_nodes(spark, path).filter("tree_id = 0 AND node_id = 0")
     return root.select(
@@ -217,7 +225,7 @@ def stump_predict(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_discount", "l_returnflag"
     )
-    sides = spread(rows.select("l_discount", "l_returnflag"))
+    sides = laid_out(rows.select("l_discount", "l_returnflag"))
     model = fit_pipeline(sides, "l_returnflag", stump(), ["l_discount"])
     return score_batch(model, rows).select(
         "l_orderkey", "l_linenumber", "l_discount", "predicted"
@@ -227,7 +235,7 @@ def stump_predict(spark, sf_dir):
 def tree_predict(spark, sf_dir):
     """A tree of two levels over three features: rows per feature values and prediction."""
     rows = table(spark, sf_dir, "lineitem").select(*STUMP_FEATURES, "l_returnflag")
-    model = fit_pipeline(spread(rows), "l_returnflag", stump(maxDepth=2), STUMP_FEATURES)
+    model = fit_pipeline(laid_out(rows), "l_returnflag", stump(maxDepth=2), STUMP_FEATURES)
     return (
         score_batch(model, rows)
         .groupBy(*STUMP_FEATURES, "predicted")
@@ -327,7 +335,7 @@ def cv_best_point(spark, sf_dir):
 
 def model_roundtrip(spark, sf_dir):
     """Save and load a forest, score every line item with both, count differences."""
-    rows = spread(table(spark, sf_dir, "lineitem").select(*STUMP_FEATURES, "l_returnflag"))
+    rows = laid_out(table(spark, sf_dir, "lineitem").select(*STUMP_FEATURES, "l_returnflag"))
     forest = build_forest(numTrees=5, maxDepth=5, seed=1)
     fitted = fit_pipeline(rows, "l_returnflag", forest, STUMP_FEATURES)
     path = shared_folder(spark)
@@ -406,7 +414,7 @@ def score_unlabelled(spark, sf_dir):
     """Score a table without its label column: predictions per line item, no label."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", "l_returnflag")
     path = shared_folder(spark)
-    sides = spread(rows.select("l_discount", "l_returnflag"))
+    sides = laid_out(rows.select("l_discount", "l_returnflag"))
     save_model(fit_pipeline(sides, "l_returnflag", stump(), ["l_discount"]), path)
     unlabelled = damaged_csv(rows.select("l_orderkey", "l_discount"))
     scored = score_job(spark, unlabelled, path)

@@ -15,15 +15,16 @@ _local_folder: tempfile.TemporaryDirectory | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``.
+    """A new folder name under ``spark.checkpoint.dir``, or else under the context's own
+    checkpoint directory.
 
-    Only a local session may go without the setting; it gets a temporary folder. On a
+    Only a local session may go without either; it gets a temporary folder. On a
     cluster that would be a different folder on every machine, so it raises there.
     """
     global _local_folder
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if _local_folder is None:
             _local_folder = tempfile.TemporaryDirectory(prefix="tabgrove-")
@@ -31,57 +32,42 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tabgrove-{uuid.uuid4().hex}"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Shuffle a scan over all cores if it has fewer splits than there are cores.
+def lay_out(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` over a stated number of partitions, or as it is for None.
 
     For input that does not split, such as one compressed text file or one row group:
-    training reads its rows dozens of times and would use a few cores only. A scan with
-    enough splits is returned as it is. Meant for plain scans and projections of them;
-    a plan with joins would be run to learn its partitioning.
-
-    Shuffled blocks arrive in any order, and a bootstrap depends on the order of rows, so
-    each partition is sorted: one scan gives the same partitions every time.
+    training reads its rows dozens of times. Rows are dealt round robin, so that equal
+    rows are no hot key. Shuffled blocks arrive in any order, and a bootstrap depends on
+    the order of rows, so each partition is sorted: one scan gives the same partitions
+    every time, whatever the number of cores.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores).sortWithinPartitions(*map(quoted, scan.columns))
+    if partitions is None:
+        return df
+    return df.repartition(partitions).sortWithinPartitions(*map(quoted, df.columns))
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and return a scan of it.
 
     Cuts the lineage: a lost executor costs a re-read of its splits, not a re-parse of
     the source, and random columns keep the values that were written. Column metadata
-    (ML attributes) is kept. A table with fewer splits than cores is written a second
-    time, evenly spread.
+    (ML attributes) is kept. ``partitions`` states the layout, see ``lay_out``.
 
     The table stays, as checkpoints do; ``materialised`` removes it.
     """
-    return _materialise(df)[0]
+    return _write(lay_out(df, partitions))[0]
 
 
 @contextmanager
-def materialised(df: DataFrame) -> Iterator[DataFrame]:
+def materialised(df: DataFrame, partitions: int | None = None) -> Iterator[DataFrame]:
     """``materialise`` for the length of a ``with`` block; the rows are deleted after it."""
-    scan, path = _materialise(df)
+    scan, path = _write(lay_out(df, partitions))
     try:
         yield scan
     finally:
         _empty(scan, path)
 
 
-def _materialise(df: DataFrame) -> tuple[DataFrame, str]:
-    scan, path = _write(df)
-    even = spread(scan)
-    if even is scan:
-        return scan, path
-    try:
-        return _write(even)
-    finally:
-        _empty(scan, path)
-
-
 def _write(df: DataFrame) -> tuple[DataFrame, str]:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)

@@ -17,7 +17,7 @@ from tabgrove.operators.score import score_batch
 from tabgrove.operators.tune import DEFAULT_GRID, cross_validate
 from tabgrove.plans.jobs import evaluate_job, score_job, train_classifier, train_job
 from tabgrove.plans.queries import TEXT_FEATURES, damaged_csv, labelled_texts
-from tabgrove.sources.shared import materialise, spread
+from tabgrove.sources.shared import lay_out, materialise
 
 SMALL_GRID = {"maxDepth": [1, 4], "impurity": ["entropy", "gini"]}
 
@@ -93,11 +93,11 @@ def test_same_table_and_seed_same_result(spark):
     assert trees[0] == trees[1] and len(trees[0]) > 5
 
 
-def test_spread_rows_come_in_the_same_order_every_time(spark):
+def test_laid_out_rows_come_in_the_same_order_every_time(spark):
     scan = materialise(measurements(spark)).coalesce(2)
 
     def rows():
-        placed = spread(scan).select("*", F.monotonically_increasing_id().alias("place"))
+        placed = lay_out(scan, 8).select("*", F.monotonically_increasing_id().alias("place"))
         return sorted(map(tuple, placed.collect()))
 
     assert rows() == rows()

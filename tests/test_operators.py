@@ -28,7 +28,7 @@ from tabgrove.operators.score import score_batch
 from tabgrove.operators.tune import best_trial, grid_points, param_maps
 from tabgrove.plans.jobs import train_classifier
 from tabgrove.sources.models import load_model, save_model, tree_nodes
-from tabgrove.sources.shared import materialise, materialised, shared_folder, spread
+from tabgrove.sources.shared import lay_out, materialise, materialised, shared_folder
 
 NAN = float("nan")
 
@@ -463,11 +463,11 @@ def test_materialised_table_is_emptied(spark):
     assert spark.read.schema("id long").parquet(folder).isEmpty()
 
 
-def test_spread_only_where_cores_would_idle(spark):
-    cores = spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 100, 1, cores)
-    assert spread(wide) is wide
-    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == cores
+def test_layout_is_what_was_asked_for(spark):
+    wide = spark.range(0, 100, 1, 3)
+    assert lay_out(wide) is wide
+    assert lay_out(spark.range(0, 100, 1, 1), 5).rdd.getNumPartitions() == 5
+    assert materialise(wide, 7).count() == 100
 
 
 def test_shared_folder_comes_from_the_session(spark):

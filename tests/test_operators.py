@@ -492,6 +492,13 @@ class ClusterSession:
         def get(cls, name, default=None):
             return cls.settings.get(name, default)
 
+    class sparkContext:
+        master = "yarn"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
 
 def test_shared_folder_is_never_local_on_a_cluster(monkeypatch):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):

@@ -7,8 +7,8 @@ _VECTORS = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
   ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
@@ -47,7 +47,7 @@ _JACCARD = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 s AS (
   SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [words]
     ELSE list_distinct([words[i:i+4] FOR i IN range(1, len(words) - 3)]) END) AS shingle FROM w),

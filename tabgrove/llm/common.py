@@ -84,20 +84,27 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
+def slices(batch: pa.RecordBatch, rows: int = 2000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows and about ``size`` bytes, so that what a
+    task holds for one slice does not grow with the batch."""
+    per = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
+    for start in range(0, batch.num_rows, per):
+        yield batch.slice(start, per)
+
+
 def in_arrow(
     df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], dict | None], rows: int = 2000
 ) -> DataFrame:
-    """``mapInArrow`` with ``make`` over slices of at most ``rows`` rows.
+    """``mapInArrow`` with ``make`` over small slices of the batches.
 
-    ``make`` returns the columns of ``schema`` by name, or None for no rows. Slices keep
-    a task's memory to that of some rows; Spark bounds the bytes of a batch.
+    ``make`` returns the columns of ``schema`` by name, or None for no rows.
     """
     target = _arrow_schema(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                made = make(batch.slice(start, rows))
+            for some in slices(batch, rows):
+                made = make(some)
                 if made is not None:
                     arrays = [
                         x if isinstance(x, pa.Array) else pa.array(x, field.type, from_pandas=False)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabgrove.llm.common import Prefixes, in_arrow, mixed, ranked, utf8
+from tabgrove.llm.common import Prefixes, in_arrow, mixed, ranked, slices, utf8
 from tabgrove.sources.shared import materialise
 
 # Buckets of hashed n-grams, the pseudo-count of each, and how many target texts are used.
@@ -74,8 +74,7 @@ def ngram_counts(df: DataFrame, key: str, text: str, targets: np.ndarray, bucket
     def count(batches):
         raw, target = np.zeros(buckets), np.zeros(buckets)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for some in slices(batch):
                 grams, of = features(*utf8(some["text"]), buckets)
                 raw += np.bincount(grams, minlength=buckets)
                 keys = some["key"].fill_null(0).to_numpy()
@@ -118,7 +117,7 @@ def log_weights(df: DataFrame, key: str, text: str, ratios: np.ndarray) -> DataF
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = f"key {df.schema[key].dataType.simpleString()}, log_weight double"
-    return in_arrow(rows, schema, make, rows=1000)
+    return in_arrow(rows, schema, make)
 
 
 def bounded_targets(labels: DataFrame, key: str, quality: str, bound: int) -> tuple[np.ndarray, float]:

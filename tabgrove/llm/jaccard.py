@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabgrove.llm.common import Prefixes, components, in_arrow, mixed, ranked, squeezed, utf8
+from tabgrove.llm.common import Prefixes, components, in_arrow, mixed, ranked, slices, squeezed, utf8
 from tabgrove.sources.shared import materialise
 
 WORDS, PERCENT = 5, 80
 # Shingles counted together in a task, and how often one must be seen to come later in the
 # order. The order only decides how many candidates there are, never which pairs are found.
-COUNTED, FREQUENT = 1 << 22, 16
+COUNTED, FREQUENT = 1 << 21, 16
 # Bits of the table that says which shingles come later, for each of three levels.
 TABLE_BITS, LEVELS = 24, 3
 # Rows of one side of a block of a long list, and pairs looked at together in a task.
@@ -66,8 +68,7 @@ def profiles(df: DataFrame, words: int) -> DataFrame:
             return rows("seen", empty.cast(key_type), values, np.zeros(len(values), np.uint64), counts)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for some in slices(batch):
                 sets, h1, h2 = shingle_sets(some, words)
                 yield rows("doc", some["key"], h1, h2, [len(s) for s in sets])
                 for s, mark in zip(sets, zip(h1.tolist(), h2.tolist())):
@@ -86,7 +87,7 @@ def profiles(df: DataFrame, words: int) -> DataFrame:
     def rows(kind, key, a, b, n):
         key = key.cast(key_type)
         return pa.RecordBatch.from_arrays(
-            [pa.array([kind] * len(key)), key, pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n, pa.int64())],
+            [pa.array([kind] * len(key), pa.string()), key, pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n, pa.int64())],
             names=["kind", "key", "h1", "h2", "n"],
         )
 
@@ -112,16 +113,18 @@ def frequency_table(profile: DataFrame) -> np.ndarray:
     return np.packbits(np.unpackbits(table[:, None], axis=1)[:, -2:].reshape(-1))
 
 
-def parity(values: np.ndarray) -> bytes:
+def parity(values: np.ndarray, share: float) -> bytes:
     """For each of a power of two of places, whether an odd number of a set's hashes falls
-    there. Two sets differ in at least as many members as their parities differ in."""
-    width = max(64, 1 << max(0, (len(values) - 1).bit_length() - 1))
+    there. Two sets differ in at least as many members as their parities differ in; the
+    more places (``share`` for each member at least), the closer that is."""
+    width = 1 << max(6, math.ceil(math.log2(len(values) * share)))
     odd = np.bincount((values % np.uint64(width)).astype(np.int64), minlength=width) % 2
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def prefix_rows(df: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """``(h1, h2, n, cold, prefix, parity)`` of each different text of a run of a task.
+    """``(h1, h2, n, cold, prefix, parity, fine)`` of each different text of a slice, with
+    a short and a long parity.
 
     The prefix has the first n - ceil(percent * n / 100) + 1 shingles of the set, rare
     ones first: two sets that reach the threshold share one of them. The first ``cold``
@@ -129,29 +132,31 @@ def prefix_rows(df: DataFrame, levels: np.ndarray, words: int, percent: int) ->
     """
 
     def make(batch: pa.RecordBatch) -> dict | None:
-        level_of = np.unpackbits(levels).reshape(-1, 2) @ np.array([2, 1], np.uint8)
         sets, h1, h2 = shingle_sets(batch, words)
         _, first = np.unique(np.stack([h1, h2]), axis=1, return_index=True)
         chosen = [i for i in first.tolist() if len(sets[i])]
-        prefixes, cold, parities = [], [], []
+        prefixes, cold, coarse, fine = [], [], [], []
         for i in chosen:
             s = sets[i]
-            level = level_of[s >> np.uint64(64 - TABLE_BITS)]
+            place = s >> np.uint64(64 - TABLE_BITS)
+            level = levels[place >> np.uint64(2)] >> (6 - 2 * (place & np.uint64(3))).astype(np.uint8) & 3
             length = len(s) - -(-percent * len(s) // 100) + 1
             order = np.argsort(level, kind="stable")[:length]
             prefixes.append(s[order].view(np.int64))
             cold.append(int((level[order] == 0).sum()))
-            parities.append(parity(s))
+            coarse.append(parity(s, 0.5))
+            fine.append(parity(s, 4.0))
         return {
             "h1": h1.view(np.int64)[chosen],
             "h2": h2.view(np.int64)[chosen],
             "n": [len(sets[i]) for i in chosen],
             "cold": cold,
             "prefix": pa.array(prefixes, pa.list_(pa.int64())),
-            "parity": parities,
+            "parity": coarse,
+            "fine": fine,
         }
 
-    schema = "h1 long, h2 long, n long, cold long, prefix array<long>, parity binary"
+    schema = "h1 long, h2 long, n long, cold long, prefix array<long>, parity binary, fine binary"
     return in_arrow(df, schema, make)
 
 
@@ -376,7 +381,7 @@ def jaccard_components(
         "p2", F.xxhash64(F.lit(1), "prefix")
     )
     # A content that several tasks have seen comes once from each.
-    contents = materialise(rows.dropDuplicates(["node"]))
+    contents = materialise(rows.dropDuplicates(["h1", "h2"]))
     marks = ["n", "p1", "p2"]
     leaders = contents.groupBy(*marks).agg(F.min("node").alias("leader"))
     members = materialise(contents.join(leaders, marks).select("node", "leader"))
@@ -399,7 +404,11 @@ def jaccard_components(
     crowded = parts.groupBy("leader").agg(F.count("*").alias("m")).where("m > 1").select("leader")
     within = within.join(crowded, "leader")
     open_lists = with_least(expanded.unionByName(within), "component", "component")
-    open_lists = open_lists.select("token", "node", "component").join(contents.select("node", "n", "parity"), "node")
+    # Lists of frequent shingles are few rows but many pairs: they get the long parity.
+    sized = contents.select("node", "n", "parity", "fine")
+    open_lists = open_lists.select("token", "node", "component", "rare").join(sized, "node")
+    open_lists = open_lists.withColumn("parity", F.when(F.col("rare"), F.col("parity")).otherwise(F.col("fine")))
+    open_lists = open_lists.drop("rare", "fine")
     rest = across(open_lists, percent).distinct().join(tried, ["a", "b"], "left_anti")
     rest = materialise(rest)
     more = verified(docs, rest, contents, words, percent)

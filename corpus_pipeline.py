@@ -56,7 +56,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the byte at which each token begins."""
     encoded = bpe.encode_texts(docs, "doc_id", "text", bpe.read_ranks(RANKS))
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "offsets")
+    return encoded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids", "offsets")
 
 
 STAGES = [

@@ -157,7 +157,7 @@ class Encoder(dict):
     """Slices of text to the bytes of their ids (little-endian, 32 bits), merged at first
     sight. Starts anew when it holds ``room`` slices, so memory stays bounded."""
 
-    def __init__(self, ranks: dict[bytes, int], room: int = 600_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], room: int = 300_000) -> None:
         super().__init__()
         self.ranks, self.room = ranks, room
 
@@ -282,13 +282,14 @@ def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_texts(df: DataFrame, key: str, text: str, rank_file: bytes) -> DataFrame:
-    """``(key, ids, offsets)`` of every row: token ids and the byte where each token begins.
+    """``(key, ids, offsets)`` of every row: token ids, packed as little-endian 32-bit
+    integers, and the byte of the text where each token begins.
 
     Slices are those of ``public_tokenizers.PATTERN``, each encoded by itself, without
-    special tokens. NULL and empty texts give empty arrays; NULL and repeated keys keep
+    special tokens. NULL and empty texts give empty values; NULL and repeated keys keep
     their rows; other columns are not read. Whole texts, any length; one narrow pass.
     """
-    schema = f"key {df.schema[key].dataType.simpleString()}, ids array<int>, offsets array<int>"
+    schema = f"key {df.schema[key].dataType.simpleString()}, ids binary, offsets array<int>"
 
     def make(batch: pa.RecordBatch) -> dict:
         own = encoder(rank_file)
@@ -298,11 +299,14 @@ def encode_texts(df: DataFrame, key: str, text: str, rank_file: bytes) -> DataFr
         ends = np.cumsum(size)
         rows = np.diff(starts)
         base = np.repeat(np.concatenate([[0], ends])[starts[:-1]], rows)
-        at = pa.array(starts.astype(np.int32))
+        packed = ids.astype("<u4").tobytes()
+        cuts = (starts * 4).tolist()
         return {
             "key": batch["key"],
-            "ids": pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32))),
-            "offsets": pa.ListArray.from_arrays(at, pa.array((ends - size - base).astype(np.int32))),
+            "ids": [packed[a:b] for a, b in zip(cuts, cuts[1:])],
+            "offsets": pa.ListArray.from_arrays(
+                pa.array(starts.astype(np.int32)), pa.array((ends - size - base).astype(np.int32))
+            ),
         }
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -325,22 +329,16 @@ def decode(ids: np.ndarray, own: Encoder) -> bytes:
 
 
 def decode_ids(df: DataFrame, key: str, ids: str, rank_file: bytes) -> DataFrame:
-    """``(key, ids, decoded)``: the bytes that each row's ids stand for. NULL: empty.
-    An id outside the vocabulary raises."""
-    schema = f"key {df.schema[key].dataType.simpleString()}, ids array<int>, decoded binary"
+    """``(key, ids, decoded)``: the bytes that each row's packed ids stand for. NULL ids:
+    none. An id outside the vocabulary raises."""
+    schema = f"key {df.schema[key].dataType.simpleString()}, ids binary, decoded binary"
 
     def make(batch: pa.RecordBatch) -> dict:
         own = encoder(rank_file)
-        column = batch["ids"].fill_null([]) if batch["ids"].null_count else batch["ids"]
-        ends = column.offsets.to_numpy()
-        flat = column.values.to_numpy()
-        size = np.diff(_lengths(own)[1])
-        decoded = decode(flat[ends[0] : ends[-1]], own)
-        cuts = np.concatenate([[0], np.cumsum(size[flat[ends[0] : ends[-1]]])])[ends - ends[0]].tolist()
         return {
             "key": batch["key"],
             "ids": batch["ids"],
-            "decoded": [decoded[a:b] for a, b in zip(cuts, cuts[1:])],
+            "decoded": [decode(np.frombuffer(x or b"", "<u4"), own) for x in batch["ids"].to_pylist()],
         }
 
     rows = df.select(F.col(key).alias("key"), F.col(ids).alias("ids"))

@@ -54,22 +54,12 @@ def op4_byte_bpe(spark, sf_dir):
     ranks = bpe.read_ranks(RANKS)
     encoded = bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", ranks)
     decoded = bpe.decode_ids(encoded, "doc_id", "ids", ranks)
-
-    def make(batch: pa.RecordBatch) -> dict:
-        ids = batch["ids"]
-        data = memoryview(ids.values.to_numpy().astype("<u4").tobytes())
-        cuts = (ids.offsets.to_numpy() * 4).tolist()
-        return {
-            "doc_id": batch["doc_id"],
-            "n_tokens": [(b - a) // 4 for a, b in zip(cuts, cuts[1:])],
-            "ids_sha256": [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:])],
-            "decoded_sha256": [
-                hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in batch["decoded"]
-            ],
-        }
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return in_arrow(decoded, schema, make)
+    return decoded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def op5_rendezvous_sharding(spark, sf_dir):

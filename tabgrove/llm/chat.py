@@ -72,20 +72,25 @@ def choose_paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
     """
     named = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("total"))
     known = named.where("node IS NOT NULL").select("tree", F.col("node").alias("parent"), F.col("node").alias("up"))
-    steps = [materialise(joined(named, known, ["tree", "parent"], "left").drop("parent"))]
-    size = steps[0].count()
-    while not steps[-1].where("up IS NOT NULL").isEmpty():
-        if 2 ** (len(steps) - 1) > size:
+    state = materialise(joined(named, known, ["tree", "parent"], "left").drop("parent"))
+    size = state.count()
+    steps = []
+    # Only nodes that have not reached their root go on to the next round.
+    while not (active := state.where("up IS NOT NULL")).isEmpty():
+        if 2 ** len(steps) > size:
             raise ValueError("the parents of a tree form a cycle")
-        high = steps[-1].where("node IS NOT NULL").toDF("tree", "up", "total2", "up2")
-        total = F.col("total") + F.coalesce("total2", F.lit(0.0))
-        longer = joined(steps[-1], high, ["tree", "up"], "left")
-        steps.append(materialise(longer.select("tree", "node", total.alias("total"), F.col("up2").alias("up"))))
-    sums, first = steps[-1], steps[0]
-    parents = first.where("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
-    leaves = joined(sums, parents, ["tree", "node"], "left_anti").select(
-        "tree", F.col("node").alias("leaf"), (-F.col("total")).alias("cost")
-    )
+        steps.append(active.select("tree", "node", "up"))
+        high = state.where("node IS NOT NULL").select(
+            "tree", F.col("node").alias("up"), F.col("total").alias("total2"), F.col("up").alias("up2")
+        )
+        longer = joined(active, high, ["tree", "up"]).select(
+            "tree", "node", (F.col("total") + F.col("total2")).alias("total"), F.col("up2").alias("up")
+        )
+        state = materialise(longer.unionByName(state.where("up IS NULL")))
+    sums = state
+    parents = steps[0].select("tree", F.col("up").alias("node")).distinct() if steps else None
+    ends = sums if parents is None else joined(sums, parents, ["tree", "node"], "left_anti")
+    leaves = ends.select("tree", F.col("node").alias("leaf"), (-F.col("total")).alias("cost"))
     chosen = ranked(leaves, ["cost", "leaf"], group=["tree"], name="rank")
     if top is not None:
         chosen = chosen.where(F.col("rank") < top)
@@ -93,9 +98,8 @@ def choose_paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
         "tree", "leaf", "rank", F.lit(0).cast("long").alias("depth"), F.col("leaf").alias("node")
     )
     for k in reversed(range(len(steps))):
-        step = steps[k].where("up IS NOT NULL").select("tree", "node", "up")
         members = materialise(members) if k % 4 == 3 else members
-        above = joined(members, step, ["tree", "node"]).select(
+        above = joined(members, steps[k], ["tree", "node"]).select(
             "tree", "leaf", "rank", (F.col("depth") + 2**k).alias("depth"), F.col("up").alias("node")
         )
         members = members.unionByName(above)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from tabgrove.functions.names import quoted
 from tabgrove.operators.features import build_assembler, select_features
-from tabgrove.operators.labels import MAX_LABELS, fit_label_index
+from tabgrove.operators.labels import fit_label_index
 
 # The default forest.
 DEFAULT_FOREST = {
@@ -40,7 +40,8 @@ def check_added_names(inputs: Iterable[str], forest: RandomForestClassifier) ->
         forest.getProbabilityCol(),
         forest.getPredictionCol(),
     }
-    clash = sorted(added & set(inputs))
+    taken = {name.lower() for name in inputs}
+    clash = sorted(name for name in added if name.lower() in taken)
     if clash:
         raise ValueError(f"input columns are named like output columns: {clash}")
 
@@ -59,7 +60,7 @@ def fit_pipeline(
     features: Sequence[str] | None = None,
     allow_label_feature: bool = False,
     handle_invalid: str = "error",
-    max_labels: int = MAX_LABELS,
+    max_labels: int | None = None,
     cache: bool = True,
 ) -> PipelineModel:
     """Fit dictionary and forest on ``df`` without tuning.

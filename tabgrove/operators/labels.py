@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabgrove.functions.names import ml_name, quoted
+from tabgrove.sources.shared import materialise
 
-# A class dictionary is held by the driver and by every model. This is the size up to
-# which it may grow; a column with more labels raises, nothing is cut off.
-MAX_LABELS = 10_000
+# Spark's monotonically_increasing_id: the partition above these bits, the row below.
+ROW_BITS = 33
 
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:
@@ -23,23 +23,23 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
     )
 
 
-def label_table(df: DataFrame, label: str, max_labels: int = MAX_LABELS) -> DataFrame:
-    """``(label, n, idx)``: most frequent first, ties by ascending text.
+def label_table(df: DataFrame, label: str) -> DataFrame:
+    """``(label, n, idx)`` of every label: most frequent first, ties by ascending text.
 
     Rows are counted before they are shuffled, so a dominant label costs one row per
-    task. The ranking window sees at most ``max_labels`` + 1 rows, already cut by a
-    distributed top-k; one label too many raises.
+    task. The counts are dealt into ranges of the order, written once in the shared
+    folder, and each range numbers its labels after those of the ranges before it.
     """
     order = [F.desc("n"), F.asc("label")]
-    ranked = (
-        label_counts(df, label)
-        .orderBy(*order)
-        .limit(max_labels + 1)
-        .withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    )
-    too_many = F.raise_error(F.lit(f"column {label} holds more than {max_labels} labels"))
-    idx = F.when(F.col("rank") > max_labels, too_many).otherwise(F.col("rank") - 1)
-    return ranked.select("label", "n", idx.cast("double").alias("idx"))
+    dealt = label_counts(df, label).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialise(dealt.withColumn("at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("range", F.shiftright("at", ROW_BITS))
+    ranges = rows.groupBy("range").agg(F.min("at").alias("first"), F.count("*").alias("held"))
+    # One row for each range, whose number is that of tasks, not of labels.
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    idx = F.col("at") - F.col("first") + F.col("before")
+    return rows.join(ranges, "range").select("label", "n", idx.cast("double").alias("idx"))
 
 
 def fit_label_index(
@@ -47,14 +47,21 @@ def fit_label_index(
     label: str,
     output: str = "label",
     handle_invalid: str = "error",
-    max_labels: int = MAX_LABELS,
+    max_labels: int | None = None,
 ) -> StringIndexerModel:
     """Fit the dictionary over all rows once; the result is a stage of every pipeline.
 
     Fitted before the folds, so that a label which a training fold happens to lack is
     still known. ``handle_invalid`` says what an unseen or NULL label does at transform.
+
+    The dictionary is part of the model, so the driver holds it. ``max_labels`` refuses a
+    column with more labels before they are collected; without it Spark's own
+    ``spark.driver.maxResultSize`` guards the driver. Nothing is cut off.
     """
-    rows = label_table(df, label, max_labels).collect()
+    labels = label_table(df, label)
+    if max_labels is not None and labels.count() > max_labels:
+        raise ValueError(f"column {label!r} holds more than {max_labels} labels")
+    rows = labels.collect()
     if not rows:
         raise ValueError(f"column {label!r} holds no labels")
     return StringIndexerModel.from_labels(

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.ml.feature import StringIndexerModel
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tabgrove.functions.names import check_distinct, ml_name
 from tabgrove.operators.labels import label_name
 
 
@@ -27,16 +29,33 @@ def score_batch(
 
     Vectors come out as arrays, so that the result can be written anywhere. Lazy and
     without a shuffle; columns nobody selects are not computed. A table without the
-    label column can be scored too, it just gets no ``label``.
+    label column can be scored too, it just gets no ``label``. Every row stays: where a
+    model that skips invalid features meets one, what it would predict is NULL. An added
+    column that is named like an input column, in any case, raises.
     """
-    if predicted in df.columns:
-        raise ValueError(f"column {predicted!r} exists already")
     forest = pipeline_forest(model)
-    scored = model.transform(df)
     vectors = (forest.getFeaturesCol(), forest.getRawPredictionCol(), forest.getProbabilityCol())
+    stages, features, added = [], [], [*filter(None, vectors), forest.getPredictionCol(), predicted]
+    for stage in model.stages:
+        if isinstance(stage, VectorAssembler):
+            features = stage.getInputCols()
+            if stage.getHandleInvalid() == "skip":
+                stage = stage.copy().setHandleInvalid("keep")
+        elif isinstance(stage, StringIndexerModel):
+            if ml_name(stage.getInputCol()) in {ml_name(name) for name in df.columns}:
+                added.append(stage.getOutputCol())
+            if stage.getHandleInvalid() == "skip":
+                stage = stage.copy().setHandleInvalid("keep")
+        stages.append(stage)
+    check_distinct(df.sparkSession, [*df.columns, *added])
+    scored = PipelineModel(stages).transform(df)
+    valid = F.lit(True)
+    for name in features:
+        valid &= F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double"))
+    results = {name: vector_to_array(name) for name in vectors if name}
+    results[predicted] = label_name(pipeline_labels(model), forest.getPredictionCol())
+    results[forest.getPredictionCol()] = F.col(forest.getPredictionCol())
+    features_col = forest.getFeaturesCol()
     return scored.withColumns(
-        {
-            **{name: vector_to_array(name) for name in vectors if name},
-            predicted: label_name(pipeline_labels(model), forest.getPredictionCol()),
-        }
+        {name: c if name == features_col else F.when(valid, c) for name, c in results.items()}
     )

@@ -15,7 +15,7 @@ from tabgrove.operators.evaluate import metrics_table
 from tabgrove.operators.features import build_assembler, select_features
 from tabgrove.operators.folds import FOLD_COL, assign_folds
 from tabgrove.operators.forest import build_forest, build_pipeline, check_added_names
-from tabgrove.operators.labels import MAX_LABELS, fit_label_index
+from tabgrove.operators.labels import fit_label_index
 from tabgrove.operators.score import pipeline_forest, score_batch
 from tabgrove.operators.tune import DEFAULT_GRID, Grid, Tuning, cross_validate
 from tabgrove.sources.delimited import read_delimited
@@ -50,7 +50,7 @@ def train_classifier(
     metric: str = "accuracy",
     parallelism: int = 1,
     handle_invalid: str = "error",
-    max_labels: int = MAX_LABELS,
+    max_labels: int | None = None,
 ) -> Tuning:
     """Tune a forest on a clean table by cross-validation and refit the winner.
 
@@ -124,4 +124,4 @@ def evaluate_job(
     table = read_clean(spark, input_path, sep, infer_schema, schema, on_bad_cell)
     model = load_model(model_path)
     forest = pipeline_forest(model)
-    return metrics_table(model.transform(table), forest.getLabelCol(), forest.getPredictionCol())
+    return metrics_table(score_batch(model, table), forest.getLabelCol(), forest.getPredictionCol())

@@ -158,6 +158,18 @@ UNION ALL SELECT * FROM (VALUES (1, 'l_linenumber', 'int'), (2, 'l_quantity', 'd
         "SELECT label, (row_number() OVER (ORDER BY count(*) DESC, label) - 1)::DOUBLE AS idx "
         "FROM t GROUP BY 1"
     ),
+    "label_index_many": (
+        "SELECT l_orderkey::VARCHAR AS label, count(*) AS n, (row_number() OVER "
+        "(ORDER BY count(*) DESC, l_orderkey::VARCHAR) - 1)::DOUBLE AS idx FROM lineitem GROUP BY l_orderkey"
+    ),
+    "csv_scan_files": (
+        "SELECT p_partkey::DOUBLE AS p_partkey, p_size::DOUBLE AS p_size, p_retailprice FROM part UNION ALL "
+        "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.5::DOUBLE END, CASE WHEN p_size % 2 = 0 THEN 2.5::DOUBLE END "
+        "FROM part WHERE p_size % 10 < 2"
+    ),
+    "score_invalid_rows": (
+        "SELECT l_orderkey % 5 = 0 AS has_gap, l_orderkey % 5 = 0 AS missing, count(*) AS n FROM lineitem GROUP BY ALL"
+    ),
     "label_index_transform": (
         f"WITH d AS ({_index('orders', 'o_orderpriority')}) "
         "SELECT o_orderkey, id::DOUBLE AS label FROM orders JOIN d ON k = o_orderpriority"

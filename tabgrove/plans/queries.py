@@ -90,6 +90,21 @@ def csv_scan_text(spark, sf_dir):
     return read_clean(spark, path, infer_schema=False, on_bad_cell="fail")
 
 
+def csv_scan_files(spark, sf_dir):
+    """Two folders of files with one header, and a file whose rows are too short or too
+    long: missing cells are NULL, and cells without a name are left out."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    ragged = shared_folder(spark)
+    cells = F.concat_ws(";", "p_partkey", F.when(F.col("p_size") % 2 == 0, F.lit("1.5;2.5;9")))
+    lines = rows.where("p_size % 10 < 2").select(cells.alias("value"))
+    header = spark.range(1).select(F.lit("p_partkey;p_size;p_retailprice").alias("value"))
+    header.unionByName(lines).coalesce(1).write.text(ragged)
+    halves = [damaged_csv(rows.where(f"p_partkey % 2 = {i}")) for i in (0, 1)]
+    return read_clean(spark, halves, infer_schema=False).unionByName(
+        read_clean(spark, ragged, infer_schema=False)
+    )
+
+
 def csv_inferred_schema(spark, sf_dir):
     source = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag"
@@ -130,6 +145,11 @@ def label_index_ties(spark, sf_dir):
     return label_table(keys, "key").select("label", "idx")
 
 
+def label_index_many(spark, sf_dir):
+    """As many labels as there are orders, most of them tied."""
+    return label_table(table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
 def label_index_transform(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     indexed = apply_label_index(orders, fit_label_index(orders, "o_orderpriority"))
@@ -423,6 +443,18 @@ def score_unlabelled(spark, sf_dir):
     ).agg(F.count("*").alias("n"))
 
 
+def score_invalid_rows(spark, sf_dir):
+    """Rows without a feature keep their place in the scores, without a prediction."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", "l_returnflag")
+    gaps = F.when(F.col("l_orderkey") % 5 > 0, F.col("l_discount"))
+    model = fit_pipeline(rows, "l_returnflag", stump(), ["l_discount"], handle_invalid="skip")
+    scored = score_batch(model, rows.withColumn("l_discount", gaps))
+    missing = F.col("predicted").isNull()
+    return scored.groupBy((F.col("l_orderkey") % 5 == 0).alias("has_gap"), missing.alias("missing")).agg(
+        F.count("*").alias("n")
+    )
+
+
 def train_then_score(spark, sf_dir):
     """Both jobs end to end: text with a damaged header, clean, tune, save; then load,
     score and evaluate the same text."""
@@ -448,12 +480,14 @@ QUERIES: dict[str, Query] = {
         csv_scan_clean,
         csv_scan_declared,
         csv_scan_text,
+        csv_scan_files,
         csv_inferred_schema,
         clean_cast_double,
         clean_bad_cells,
         feature_vector_long,
         label_index_fit,
         label_index_ties,
+        label_index_many,
         label_index_transform,
         eval_confusion_matrix,
         eval_accuracy,
@@ -474,6 +508,7 @@ QUERIES: dict[str, Query] = {
         forest_fit_score,
         forest_tree_nodes,
         score_unlabelled,
+        score_invalid_rows,
         train_then_score,
         quality_metrics,
     )

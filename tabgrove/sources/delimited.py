@@ -22,11 +22,15 @@ def read_delimited(
     inputs pass ``schema``, or ``infer_schema=False`` to get strings, which
     ``clean_columns`` casts in the same scan that uses them.
 
-    A given ``schema`` names its columns without header damage. The names are checked
-    against the header of every file, so a moved or missing column raises. A cell that
-    does not fit its declared type becomes NULL, or raises if ``on_bad_cell`` is "fail".
+    The header of every file is checked against the names, so a moved or missing column
+    raises. A given ``schema`` names its columns without header damage. A cell that does
+    not fit its declared type becomes NULL; a row with too few cells gets NULLs and one
+    with too many loses the rest, where the header has no names for them. With
+    ``on_bad_cell="fail"`` all three raise.
     """
+    mode = "FAILFAST" if on_bad_cell == "fail" else "PERMISSIVE"
     reader = spark.read.option("header", True).option("sep", sep)
+    reader = reader.option("enforceSchema", False).option("mode", mode)
     if schema is None:
         return reader.option("inferSchema", infer_schema).csv(path)
 
@@ -38,8 +42,7 @@ def read_delimited(
     raw = T.StructType(
         [T.StructField(name, field.dataType) for name, field in zip(header, schema.fields)]
     )
-    mode = "FAILFAST" if on_bad_cell == "fail" else "PERMISSIVE"
-    return reader.option("enforceSchema", False).option("mode", mode).schema(raw).csv(path)
+    return reader.schema(raw).csv(path)
 
 
 def inferred_types(df: DataFrame) -> DataFrame:

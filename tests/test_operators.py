@@ -198,11 +198,14 @@ def test_no_labels(spark):
         fit_label_index(labels(spark, [None, NAN]), "y")
 
 
-def test_too_many_labels_raise_and_none_is_cut(spark):
-    df = spark.range(12).select((F.col("id") % 6).alias("y"))
-    assert label_table(df, "y", max_labels=6).count() == 6
-    with pytest.raises(Exception, match="more than 5 labels"):
-        label_table(df, "y", max_labels=5).collect()
+def test_every_label_is_there_whatever_is_read(spark):
+    df = spark.range(60_000).select((F.col("id") % 20_000).alias("y"))
+    labels = label_table(df, "y")
+    assert labels.count() == 20_000
+    assert labels.select("label", "n").agg(F.sum("n")).collect()[0][0] == 60_000
+    assert sorted(row.idx for row in labels.select("idx").collect()) == list(range(20_000))
+    with pytest.raises(ValueError, match="more than 5 labels"):
+        fit_label_index(df, "y", max_labels=5)
 
 
 def test_training_on_too_many_labels_raises(spark):
@@ -246,7 +249,10 @@ def test_key_folds_ignore_partitioning(spark):
 def test_fold_arguments(spark):
     with pytest.raises(ValueError, match="at least 2"):
         assign_folds(spark.range(1), 1)
-    with pytest.raises(ValueError, match="exists already"):
+    for name in ("Prediction", "PREDICTED", "features"):
+        with pytest.raises(ValueError, match="collide"):
+            score_batch(model, rows.withColumn(name, F.lit("kept")))
+    with pytest.raises(ValueError, match="collide"):
         assign_folds(spark.range(1), 2, fold_col="ID")
 
 
@@ -400,7 +406,10 @@ def test_score_without_label(spark):
     scored = score_batch(model, rows.drop("quality"))
     assert "label" not in scored.columns
     assert scored.filter("predicted IN ('3.0', '8.0')").count() == 200
-    with pytest.raises(ValueError, match="exists already"):
+    for name in ("Prediction", "PREDICTED", "features"):
+        with pytest.raises(ValueError, match="collide"):
+            score_batch(model, rows.withColumn(name, F.lit("kept")))
+    with pytest.raises(ValueError, match="collide"):
         score_batch(model, rows.withColumn("predicted", F.lit(1)))
 
 

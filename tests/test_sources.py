@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tabgrove.sources.shared import shared_folder
+
 import pytest
 from pyspark.sql import types as T
 
@@ -101,3 +103,25 @@ def test_bad_cell_in_a_declared_column(spark, tmp_path):
     assert rows(read_clean(spark, path, schema=declared).select("a")) == [(1.0,), (None,)]
     with pytest.raises(Exception, match="(?i)malformed|bad record"):
         read_clean(spark, path, schema=declared, on_bad_cell="fail").select("a").collect()
+
+
+def text_file(spark, lines):
+    path = shared_folder(spark)
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(path)
+    return path
+
+
+@pytest.mark.parametrize("infer", [True, False])
+def test_moved_headers_raise(spark, infer):
+    paths = [text_file(spark, ["a;b", "1;2"]), text_file(spark, ["b;a", "3;4"])]
+    with pytest.raises(Exception):
+        read_delimited(spark, paths, infer_schema=infer).collect()
+
+
+@pytest.mark.parametrize("infer", [True, False])
+@pytest.mark.parametrize("row", ["1;2;99", "3"])
+def test_ragged_rows_raise_on_request(spark, infer, row):
+    path = text_file(spark, ["a;b", "5;6", row])
+    assert read_delimited(spark, path, infer_schema=infer).count() == 2
+    with pytest.raises(Exception):
+        read_delimited(spark, path, infer_schema=infer, on_bad_cell="fail").collect()

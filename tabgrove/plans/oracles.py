@@ -4,6 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+# Labels of line items, in both dialects. Gini and entropy split the first one at different
+# discounts, and the second needs two levels; neither gain shrinks with the data.
+SIGNAL = (
+    "(CASE WHEN l_discount <= 0.01 OR l_quantity <= CASE WHEN l_discount <= 0.05 THEN 31 ELSE 15 END "
+    "THEN 'A' ELSE 'B' END)"
+)
+SIGNAL_NUMBER = f"(CASE WHEN {SIGNAL} = 'A' THEN 1 ELSE 0 END)"
+NESTED = "(CASE WHEN l_discount <= 0.05 THEN 'low' WHEN l_tax <= 0.04 THEN 'mid' ELSE 'high' END)"
+
 IMPURITY = {
     "gini": "1 - sum((n/t)*(n/t))",
     "entropy": "-sum((n/t)*log2(n/t))",
@@ -185,24 +194,22 @@ UNION ALL SELECT * FROM (VALUES (1, 'l_linenumber', 'int'), (2, 'l_quantity', 'd
     ),
     "eval_weighted_f1": f"WITH p AS ({_RULED}), {_SIDES} SELECT {_WEIGHTED_F1} AS weighted_f1 {_JOINED}",
     "metrics_table": f"WITH p AS ({_RULED}), {_SIDES} {_METRICS}",
-    "stump_split_gini": _stump(["l_discount"], "l_returnflag") + f"SELECT {_SPLIT}",
-    "stump_split_entropy": (
-        _stump(["l_discount"], "l_returnflag", "entropy") + f"SELECT {_SPLIT}"
-    ),
+    "stump_split_gini": _stump(["l_discount"], SIGNAL) + f"SELECT {_SPLIT}",
+    "stump_split_entropy": _stump(["l_discount"], SIGNAL, "entropy") + f"SELECT {_SPLIT}",
     "stump_min_instances": (
-        _stump(["l_discount"], "l_returnflag", min_share=0.3) + f"SELECT {_SPLIT}"
+        _stump(["l_discount"], SIGNAL, "entropy", min_share=0.3) + f"SELECT {_SPLIT}"
     ),
     "stump_best_feature": (
-        _stump(["l_linenumber", "l_discount", "l_tax"], "l_returnflag")
+        _stump(["l_linenumber", "l_discount", "l_tax"], SIGNAL)
         + f"SELECT CASE WHEN NOT same THEN f END AS feature, {_SPLIT}"
     ),
     "stump_predict": (
-        _stump(["l_discount"], "l_returnflag")
+        _stump(["l_discount"], SIGNAL)
         + "SELECT l_orderkey, l_linenumber, l_discount, pr.k AS predicted "
         "FROM lineitem JOIN pr ON pr.lft = (l_discount <= pr.thr)"
     ),
     "tree_predict": (
-        _two_levels(["l_linenumber", "l_discount", "l_tax"], "l_returnflag")
+        _two_levels(["l_linenumber", "l_discount", "l_tax"], SIGNAL)
         + "SELECT l_linenumber, l_discount, l_tax, predicted, count(*) AS n FROM leaves GROUP BY ALL"
     ),
     "param_grid": """
@@ -212,33 +219,49 @@ n AS (SELECT fold, count(*) FILTER (o_orderkey % 2 <> fold) AS n_train, count(*)
   FROM orders, (VALUES (0::BIGINT), (1)) f(fold) GROUP BY fold)
 SELECT * FROM g, n""",
     "kfold_partition": (
-        "SELECT count(*) AS n_rows, count(*) AS n_validation, 0::BIGINT AS n_in_both FROM orders"
+        "SELECT way, count(*) AS n_least, count(*) AS n_most, count(*) AS n_validation, 3::BIGINT AS n_balanced "
+        "FROM orders, (VALUES ('drawn'), ('hashed')) w(way) GROUP BY way"
     ),
     "kfold_counts": (
-        "SELECT o_orderkey % 2 AS fold, o_orderpriority AS label, count(*) AS n FROM orders GROUP BY ALL"
+        "SELECT o_orderpriority AS label, count(*) AS n, 4::BIGINT AS n_balanced FROM orders GROUP BY ALL"
     ),
     "cv_avg_metrics": (
-        _tuned_stump("l_returnflag")
+        _tuned_stump(SIGNAL)
         + "SELECT param_id, impurity, round(avg_metric, 9) AS avg_accuracy, "
         "round(std_metric, 9) AS std_accuracy FROM avgs"
     ),
-    "cv_best_point": _tuned_stump("l_returnflag") + "SELECT param_id, impurity FROM won",
+    "cv_best_point": _tuned_stump(SIGNAL) + "SELECT param_id, impurity FROM won",
+    # One split tells a label from the rest, two tell all three of them.
+    "cv_random_folds": (
+        f"WITH c AS (SELECT count(DISTINCT {NESTED}) AS k FROM lineitem) "
+        "SELECT d - 1 AS param_id, d AS max_depth, d + 1 >= k AS is_exact, d + 1 = k AS is_best "
+        "FROM c, (VALUES (1::BIGINT), (2)) t(d)"
+    ),
+    "label_leak_parity": (
+        "SELECT l_linenumber::VARCHAR AS predicted, count(*) AS n, count(*) AS n_hit, "
+        "2 * count(*) OVER () - 1 AS n_nodes FROM lineitem GROUP BY l_linenumber"
+    ),
+    "quality_metrics": (
+        "SELECT count(*) AS n_held_out, count(*) FILTER (quality = 1) AS n_good, true AS beats_majority "
+        f"{_LABELLED} WHERE doc_id % 4 = 0"
+    ),
     "model_roundtrip": "SELECT count(*) AS n_rows, 0::BIGINT AS n_mismatch FROM lineitem",
     "forest_fit_score": (
-        f"SELECT count(*) AS n_rows, count(*) AS n_prob_ok, count(*) AS n_label_ok {_LABELLED}"
+        "SELECT count(*) AS n_rows, count(*) AS n_prob_ok, count(*) AS n_label_ok, true AS has_learnt "
+        f"{_LABELLED}"
     ),
     "forest_tree_nodes": (
-        "SELECT tree_id, count(*) AS n_rows, 1::BIGINT AS n_excess, 0::BIGINT AS n_bad "
+        "SELECT tree_id, count(*) AS n_rows, 1::BIGINT AS n_excess, 0::BIGINT AS n_bad, 0::BIGINT AS n_small "
         f"{_LABELLED}, range(20) t(tree_id) GROUP BY tree_id"
     ),
     "score_unlabelled": (
-        _stump(["l_discount"], "l_returnflag")
+        _stump(["l_discount"], SIGNAL)
         + "SELECT pr.k AS predicted, false AS has_label, count(*) AS n "
         "FROM lineitem JOIN pr ON pr.lft = (l_discount <= pr.thr) GROUP BY ALL"
     ),
     "train_then_score": (
-        _tuned_stump("l_linenumber")
-        + ", p AS (SELECT l_linenumber AS label, pr.k AS prediction FROM lineitem "
+        _tuned_stump(SIGNAL_NUMBER)
+        + f", p AS (SELECT {SIGNAL_NUMBER} AS label, pr.k AS prediction FROM lineitem "
         "JOIN pr ON pr.fold = -1 AND pr.lft = (l_discount <= pr.thr) JOIN won USING (param_id)), "
         f"{_SIDES} {_METRICS}"
     ),

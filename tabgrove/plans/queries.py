@@ -25,9 +25,10 @@ from tabgrove.operators.features import assemble_long
 from tabgrove.operators.folds import assign_folds, fold_counts, training_rows, validation_rows
 from tabgrove.operators.forest import build_forest, fit_pipeline
 from tabgrove.operators.labels import apply_label_index, fit_label_index, label_table
-from tabgrove.operators.score import pipeline_labels, score_batch
+from tabgrove.operators.score import pipeline_forest, pipeline_labels, score_batch
 from tabgrove.operators.tune import Tuning, best_trial, grid_points
 from tabgrove.plans.jobs import evaluate_job, read_clean, score_job, train_classifier
+from tabgrove.plans.oracles import NESTED, SIGNAL, SIGNAL_NUMBER
 from tabgrove.sources.delimited import inferred_types, read_delimited
 from tabgrove.sources.models import load_model, save_model, tree_nodes
 from tabgrove.sources.shared import lay_out, materialise, shared_folder
@@ -203,11 +204,16 @@ def eval_metrics_table(spark, sf_dir):
 STUMP_FEATURES = ["l_linenumber", "l_discount", "l_tax"]
 
 
-def root_split(spark, df: DataFrame, label: str, features: list[str], forest) -> DataFrame:
+def labelled_items(spark, sf_dir) -> DataFrame:
+    """Line items with a label, ``kind``, that follows from discount and quantity."""
+    return table(spark, sf_dir, "lineitem").withColumn("kind", F.expr(SIGNAL))
+
+
+def root_split(spark, sf_dir, features: list[str], forest) -> DataFrame:
     """Fit, save, and read the root of the first tree back from the node table."""
     path = shared_folder(spark)
-    rows = laid_out(df.select(*features, label))
-    save_model(fit_pipeline(rows, label, forest, features), path)
+    rows = laid_out(labelled_items(spark, sf_dir).select(*features, "kind"))
+    save_model(fit_pipeline(rows, "kind", forest, features), path)
     root = tree_nodes(spark, path).filter("tree_id = 0 AND node_id = 0")
     return root.select(
         "feature", F.round("threshold", 9).alias("threshold"), F.round("gain", 10).alias("gain")
@@ -215,38 +221,32 @@ def root_split(spark, df: DataFrame, label: str, features: list[str], forest) ->
 
 
 def stump_split_gini(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
-    split = root_split(spark, rows, "l_returnflag", ["l_discount"], stump())
+    split = root_split(spark, sf_dir, ["l_discount"], stump())
     return split.select("threshold", "gain")
 
 
 def stump_split_entropy(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
-    split = root_split(spark, rows, "l_returnflag", ["l_discount"], stump(impurity="entropy"))
+    split = root_split(spark, sf_dir, ["l_discount"], stump(impurity="entropy"))
     return split.select("threshold", "gain")
 
 
 def stump_min_instances(spark, sf_dir):
-    """Each side must hold 30% of the rows, which refuses the unconstrained winner."""
-    rows = table(spark, sf_dir, "lineitem")
-    least = -(-3 * rows.count() // 10)
-    forest = stump(minInstancesPerNode=least)
-    split = root_split(spark, rows, "l_returnflag", ["l_discount"], forest)
-    return split.select("threshold", "gain")
+    """Each side must hold 30% of the rows, which refuses the unconstrained winner. The
+    least number of rows a node may have is checked by ``forest_tree_nodes``."""
+    forest = stump(impurity="entropy", minWeightFractionPerNode=0.3)
+    return root_split(spark, sf_dir, ["l_discount"], forest).select("threshold", "gain")
 
 
 def stump_best_feature(spark, sf_dir):
     """The best split among three features, read from the node table."""
-    rows = table(spark, sf_dir, "lineitem")
-    return root_split(spark, rows, "l_returnflag", STUMP_FEATURES, stump())
+    return root_split(spark, sf_dir, STUMP_FEATURES, stump())
 
 
 def stump_predict(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_discount", "l_returnflag"
+    rows = labelled_items(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", "l_discount", "kind"
     )
-    sides = laid_out(rows.select("l_discount", "l_returnflag"))
-    model = fit_pipeline(sides, "l_returnflag", stump(), ["l_discount"])
+    model = fit_pipeline(laid_out(rows.select("l_discount", "kind")), "kind", stump(), ["l_discount"])
     return score_batch(model, rows).select(
         "l_orderkey", "l_linenumber", "l_discount", "predicted"
     )
@@ -254,8 +254,8 @@ def stump_predict(spark, sf_dir):
 
 def tree_predict(spark, sf_dir):
     """A tree of two levels over three features: rows per feature values and prediction."""
-    rows = table(spark, sf_dir, "lineitem").select(*STUMP_FEATURES, "l_returnflag")
-    model = fit_pipeline(laid_out(rows), "l_returnflag", stump(maxDepth=2), STUMP_FEATURES)
+    rows = labelled_items(spark, sf_dir).select(*STUMP_FEATURES, "kind")
+    model = fit_pipeline(laid_out(rows), "kind", stump(maxDepth=2), STUMP_FEATURES)
     return (
         score_batch(model, rows)
         .groupBy(*STUMP_FEATURES, "predicted")
@@ -292,38 +292,51 @@ def param_grid(spark, sf_dir):
     return sizes.select(F.inline(F.array(*fits)))
 
 
+def balanced(part, whole, folds: int):
+    """Whether a fold's part of independently dealt rows is within six deviations."""
+    return F.abs(part - whole / folds) <= 6 * F.sqrt(whole * (folds - 1)) / folds
+
+
 def kfold_partition(spark, sf_dir):
-    """A seeded random split: the first fold's two sides make up all rows, the folds'
-    validation rows do so too, and no order is validated twice."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    folded = materialise(assign_folds(orders, 2, seed=7))
-    parts = {
-        "train_0": training_rows(folded, 0),
-        "valid_0": validation_rows(folded, 0),
-        "valid_1": validation_rows(folded, 1),
+    """Folds drawn with a seed and folds hashed from a key: the two sides of every fold
+    make up all rows, the folds' validation rows do so too, and all folds are about equal."""
+    orders, folds = table(spark, sf_dir, "orders").select("o_orderkey"), 3
+    ways = {
+        "drawn": materialise(assign_folds(orders, folds, seed=7)),
+        "hashed": assign_folds(orders, folds, seed=7, keys=["o_orderkey"]),
     }
-    tagged = [df.select("o_orderkey", F.lit(name).alias("part")) for name, df in parts.items()]
-    per_order = (
-        reduce(DataFrame.unionByName, tagged)
-        .groupBy("o_orderkey")
-        .agg(*(F.count_if(F.col("part") == name).alias(name) for name in parts))
+    sides = [
+        rows(folded, fold).agg(F.count("*").alias("n")).select(
+            F.lit(way).alias("way"), F.lit(fold).alias("fold"), F.lit(is_valid).alias("is_valid"), "n"
+        )
+        for way, folded in ways.items()
+        for fold in range(folds)
+        for rows, is_valid in ((training_rows, False), (validation_rows, True))
+    ]
+    per_fold = (
+        reduce(DataFrame.unionByName, sides)
+        .groupBy("way", "fold")
+        .agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("is_valid"), F.col("n"))).alias("n_valid"))
     )
-    return per_order.agg(
-        F.sum(F.col("train_0") + F.col("valid_0")).alias("n_rows"),
-        F.sum(F.col("valid_0") + F.col("valid_1")).alias("n_validation"),
-        F.count_if((F.col("valid_0") > 0) & (F.col("valid_1") > 0)).alias("n_in_both"),
+    return per_fold.groupBy("way").agg(
+        F.min("n_rows").alias("n_least"),
+        F.max("n_rows").alias("n_most"),
+        F.sum("n_valid").alias("n_validation"),
+        F.count_if(balanced(F.col("n_valid"), F.col("n_rows"), folds)).alias("n_balanced"),
     )
 
 
 def kfold_counts(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderpriority", (F.col("o_orderkey") % 2).alias("fold")
-    )
-    return fold_counts(orders, "o_orderpriority", "fold")
+    """Orders of each priority over four hashed folds: all of them, in about equal parts."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    counts = fold_counts(assign_folds(orders, 4, seed=7, keys=["o_orderkey"]), "o_orderpriority")
+    folded = counts.groupBy("label").agg(F.sum("n").alias("n"), F.collect_list("n").alias("parts"))
+    within = F.filter("parts", lambda part: balanced(part, F.col("n"), 4))
+    return folded.select("label", "n", F.size(within).cast("long").alias("n_balanced"))
 
 
 def tuned_stump(rows: DataFrame, label: str) -> Tuning:
-    """Two grid points over the folds ``l_orderkey`` mod 2."""
+    """Two grid points over the folds ``l_orderkey`` mod 2; the second one wins."""
     return train_classifier(
         rows.withColumn("fold", F.col("l_orderkey") % 2),
         label,
@@ -336,7 +349,7 @@ def tuned_stump(rows: DataFrame, label: str) -> Tuning:
 
 
 def cv_avg_metrics(spark, sf_dir):
-    trials = tuned_stump(table(spark, sf_dir, "lineitem"), "l_returnflag").trials
+    trials = tuned_stump(labelled_items(spark, sf_dir), "kind").trials
     return trials.select(
         "param_id",
         "impurity",
@@ -346,18 +359,32 @@ def cv_avg_metrics(spark, sf_dir):
 
 
 def cv_best_point(spark, sf_dir):
-    trials = tuned_stump(table(spark, sf_dir, "lineitem"), "l_returnflag").trials
+    trials = tuned_stump(labelled_items(spark, sf_dir), "kind").trials
     return best_trial(trials).select("param_id", "impurity")
 
 
+def cv_random_folds(spark, sf_dir):
+    """Tuning over drawn folds, of a label that only the second point's depth can tell."""
+    rows = table(spark, sf_dir, "lineitem").select("l_discount", "l_tax", F.expr(NESTED).alias("kind"))
+    tuned = train_classifier(
+        rows, "kind", forest=stump(), grid={"maxDepth": [1, 2]}, num_folds=3, seed=5, parallelism=2
+    )
+    return tuned.trials.select(
+        "param_id",
+        F.col("maxDepth").alias("max_depth"),
+        (F.col("avg_metric") == 1).alias("is_exact"),
+        (F.col("param_id") == tuned.best["param_id"]).alias("is_best"),
+    )
+
+
 # --- forests, persistence, whole jobs ---------------------------------------------------
 
 
 def model_roundtrip(spark, sf_dir):
     """Save and load a forest, score every line item with both, count differences."""
-    rows = laid_out(table(spark, sf_dir, "lineitem").select(*STUMP_FEATURES, "l_returnflag"))
+    rows = table(spark, sf_dir, "lineitem").select(*STUMP_FEATURES, "l_returnflag")
     forest = build_forest(numTrees=5, maxDepth=5, seed=1)
-    fitted = fit_pipeline(rows, "l_returnflag", forest, STUMP_FEATURES)
+    fitted = fit_pipeline(laid_out(rows), "l_returnflag", forest, STUMP_FEATURES)
     path = shared_folder(spark)
     save_model(fitted, path)
 
@@ -377,19 +404,26 @@ def model_roundtrip(spark, sf_dir):
     return both.agg(F.count("*").alias("n_rows"), F.count_if(differs).alias("n_mismatch"))
 
 
-TEXT_FEATURES = ["n_words", "n_lines", "n_distinct_words", "n_chars"]
+TEXT_FEATURES = ["n_words", "n_lines", "n_chars", "distinct_share", "capital_share", "mark_share"]
 
 
 def labelled_texts(spark, sf_dir) -> DataFrame:
-    """Length features of whole texts with their quality label. Texts are reduced to
-    four numbers before the join, so no text is shuffled."""
+    """Features of whole texts with their quality label: lengths, and the shares of
+    distinct words, capitals and marks. Texts are reduced to these numbers before the
+    join, so no text is shuffled."""
     words = F.split("text", r"\s+")
+
+    def share(unlike: str):
+        return F.length(F.regexp_replace("text", unlike, "")) / F.greatest(F.length("text"), F.lit(1))
+
     sizes = table(spark, sf_dir, "documents").select(
         "doc_id",
         F.size(words).cast("double").alias("n_words"),
         F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
-        F.size(F.array_distinct(words)).cast("double").alias("n_distinct_words"),
         F.length("text").cast("double").alias("n_chars"),
+        (F.size(F.array_distinct(words)) / F.size(words)).alias("distinct_share"),
+        share(r"\P{Lu}").alias("capital_share"),
+        share(r"[\p{L}\p{N}\s]").alias("mark_share"),
     )
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return sizes.join(labels, "doc_id")
@@ -400,7 +434,14 @@ def text_forest(rows: DataFrame, **params) -> PipelineModel:
     return fit_pipeline(rows, "quality", forest, TEXT_FEATURES)
 
 
+def beats_majority():
+    """Whether more of the scored texts are right than if all got the commoner label."""
+    good, hits = F.count_if(F.col("quality") == 1), F.count_if(F.col("predicted") == F.col("quality").cast("string"))
+    return hits > F.greatest(good, F.count("*") - good)
+
+
 def forest_fit_score(spark, sf_dir):
+    """Probabilities add up to 1, labels are known ones, and the forest has learnt."""
     rows = materialise(labelled_texts(spark, sf_dir))
     model = text_forest(rows)
     scored = score_batch(model, rows)
@@ -410,14 +451,20 @@ def forest_fit_score(spark, sf_dir):
         F.count("*").alias("n_rows"),
         F.count_if(F.abs(total - 1) < 1e-9).alias("n_prob_ok"),
         F.count_if(known).alias("n_label_ok"),
+        beats_majority().alias("has_learnt"),
     )
 
 
+# The least number of rows a node may have.
+NODE_ROWS = 7
+
+
 def forest_tree_nodes(spark, sf_dir):
     """The node table of a saved forest without bootstrap: the leaves of every tree hold
-    all rows between them, and there is one leaf more than there are splits."""
+    all rows between them, there is one leaf more than there are splits, and none is small."""
     path = shared_folder(spark)
-    save_model(text_forest(materialise(labelled_texts(spark, sf_dir)), bootstrap=False), path)
+    rows = materialise(labelled_texts(spark, sf_dir))
+    save_model(text_forest(rows, bootstrap=False, minInstancesPerNode=NODE_ROWS), path)
     is_leaf = F.col("left_child") == -1
     return (
         tree_nodes(spark, path)
@@ -426,18 +473,34 @@ def forest_tree_nodes(spark, sf_dir):
             F.sum(F.when(is_leaf, F.col("n_rows"))).alias("n_rows"),
             (F.count_if(is_leaf) - F.count_if(~is_leaf)).alias("n_excess"),
             F.count_if(is_leaf == F.col("threshold").isNotNull()).alias("n_bad"),
+            F.count_if(F.col("n_rows") < NODE_ROWS).alias("n_small"),
         )
     )
 
 
+def label_leak_parity(spark, sf_dir):
+    """A label among its own features, as the caller may insist on: every row is told
+    right by a tree that has one leaf for each label."""
+    rows = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_discount")
+    model = fit_pipeline(
+        laid_out(rows), "l_linenumber", stump(maxDepth=6), ["l_discount", "l_linenumber"], allow_label_feature=True
+    )
+    hit = F.col("predicted") == F.col("l_linenumber").cast("string")
+    return score_batch(model, rows).groupBy("predicted").agg(
+        F.count("*").alias("n"),
+        F.count_if(hit).alias("n_hit"),
+        F.lit(pipeline_forest(model).totalNumNodes).cast("long").alias("n_nodes"),
+    )
+
+
 def score_unlabelled(spark, sf_dir):
     """Score a table without its label column: predictions per line item, no label."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", "l_returnflag")
+    rows = labelled_items(spark, sf_dir).select("l_orderkey", "l_discount", "kind")
     path = shared_folder(spark)
-    sides = laid_out(rows.select("l_discount", "l_returnflag"))
-    save_model(fit_pipeline(sides, "l_returnflag", stump(), ["l_discount"]), path)
+    sides = laid_out(rows.select("l_discount", "kind"))
+    save_model(fit_pipeline(sides, "kind", stump(), ["l_discount"]), path)
     unlabelled = damaged_csv(rows.select("l_orderkey", "l_discount"))
-    scored = score_job(spark, unlabelled, path)
+    scored = score_job(spark, unlabelled, path, infer_schema=False)
     return scored.groupBy(
         "predicted", F.lit("label" in scored.columns).alias("has_label")
     ).agg(F.count("*").alias("n"))
@@ -458,20 +521,26 @@ def score_invalid_rows(spark, sf_dir):
 def train_then_score(spark, sf_dir):
     """Both jobs end to end: text with a damaged header, clean, tune, save; then load,
     score and evaluate the same text."""
-    source = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", "l_linenumber")
+    source = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_discount", F.expr(SIGNAL_NUMBER).alias("kind")
+    )
     text = damaged_csv(source)
     model = shared_folder(spark)
-    trained = tuned_stump(read_clean(spark, text, infer_schema=False), "l_linenumber")
+    trained = tuned_stump(read_clean(spark, text, infer_schema=False), "kind")
     save_model(trained.model, model)
     metrics = evaluate_job(spark, text, model, infer_schema=False)
     return metrics.withColumn("value", F.round("value", 9))
 
 
 def quality_metrics(spark, sf_dir):
-    """Train on a random part of the labelled texts, report metrics on the rest."""
-    rows = materialise(assign_folds(labelled_texts(spark, sf_dir), 4, seed=3))
-    model = text_forest(training_rows(rows, 0))
-    return metrics_table(model.transform(validation_rows(rows, 0)))
+    """Train on three quarters of the labelled texts, by key, and score the rest."""
+    rows = materialise(labelled_texts(spark, sf_dir).withColumn("fold", F.col("doc_id") % 4))
+    scored = score_batch(text_forest(training_rows(rows, 0, "fold")), validation_rows(rows, 0, "fold"))
+    return scored.agg(
+        F.count("*").alias("n_held_out"),
+        F.count_if(F.col("quality") == 1).alias("n_good"),
+        beats_majority().alias("beats_majority"),
+    )
 
 
 QUERIES: dict[str, Query] = {
@@ -504,9 +573,11 @@ QUERIES: dict[str, Query] = {
         kfold_counts,
         cv_avg_metrics,
         cv_best_point,
+        cv_random_folds,
         model_roundtrip,
         forest_fit_score,
         forest_tree_nodes,
+        label_leak_parity,
         score_unlabelled,
         score_invalid_rows,
         train_then_score,

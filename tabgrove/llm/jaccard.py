@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,11 +107,21 @@ def frequency_table(profile: DataFrame) -> np.ndarray:
     words = often.groupBy("level", F.shiftright("place", 5).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, CAST(place & 31 AS INT))")).alias("bits")
     )
+    found = words.toArrow()
     table = np.zeros(1 << TABLE_BITS, np.uint8)
-    for level_, word, bits in sorted(words.collect()):
-        at = word * 32 + np.flatnonzero(np.unpackbits(np.array([bits], "<u4").view(np.uint8), bitorder="little"))
-        table[at] = level_
-    return np.packbits(np.unpackbits(table[:, None], axis=1)[:, -2:].reshape(-1))
+    for level_ in range(1, LEVELS + 1):
+        these = found.filter(pc.equal(found["level"], level_))
+        bits = marked(these["word"], these["bits"])
+        np.putmask(table, np.unpackbits(bits.view(np.uint8), bitorder="little"), level_)
+    fours = table.reshape(-1, 4)
+    return fours[:, 0] << 6 | fours[:, 1] << 4 | fours[:, 2] << 2 | fours[:, 3]
+
+
+def marked(word: pa.ChunkedArray, bits: pa.ChunkedArray) -> np.ndarray:
+    """A table of 2**TABLE_BITS bits from those of its 32-bit words that are not 0."""
+    table = np.zeros(1 << TABLE_BITS - 5, "<u4")
+    table[word.to_numpy()] = bits.to_numpy().astype("<u4")
+    return table
 
 
 def parity(values: np.ndarray, share: float) -> bytes:
@@ -192,9 +203,8 @@ def verified(
     words_ = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, CAST(p & 31 AS INT))")).alias("bits")
     )
-    table = np.zeros(1 << TABLE_BITS - 5, "<u4")
-    for word, bits in words_.collect():
-        table[word] = bits
+    found = words_.toArrow()
+    table = marked(found["word"], found["bits"])
 
     def make(batch: pa.RecordBatch) -> dict | None:
         at = batch["place"].to_numpy()

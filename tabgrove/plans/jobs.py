@@ -27,11 +27,15 @@ def read_clean(
     spark: SparkSession,
     path: str | list[str],
     sep: str = ";",
-    infer_schema: bool = True,
+    infer_schema: bool = False,
     schema: T.StructType | None = None,
     on_bad_cell: str = "null",
 ) -> DataFrame:
-    """Read delimited text and clean it."""
+    """Read delimited text and clean it.
+
+    Cells are cast where they are read, so every byte is read once. ``infer_schema=True``
+    finds the types by one more pass; the rows are the same, see ``clean_columns``.
+    """
     raw = read_delimited(spark, path, sep, infer_schema, schema, on_bad_cell)
     return clean_columns(raw, on_bad_cell)
 
@@ -85,7 +89,7 @@ def train_job(
     model_path: str,
     label: str,
     sep: str = ";",
-    infer_schema: bool = True,
+    infer_schema: bool = False,
     schema: T.StructType | None = None,
     on_bad_cell: str = "null",
     **training,
@@ -102,7 +106,7 @@ def score_job(
     input_path: str | list[str],
     model_path: str,
     sep: str = ";",
-    infer_schema: bool = True,
+    infer_schema: bool = False,
     schema: T.StructType | None = None,
     on_bad_cell: str = "null",
 ) -> DataFrame:
@@ -116,7 +120,7 @@ def evaluate_job(
     input_path: str | list[str],
     model_path: str,
     sep: str = ";",
-    infer_schema: bool = True,
+    infer_schema: bool = False,
     schema: T.StructType | None = None,
     on_bad_cell: str = "null",
 ) -> DataFrame:

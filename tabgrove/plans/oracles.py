@@ -144,6 +144,10 @@ ORACLES: dict[str, str] = {
     "csv_scan_clean": _SCAN,
     "csv_scan_declared": _SCAN,
     "csv_scan_text": _SCAN,
+    "csv_scan_modes": """
+SELECT way, o_orderkey::DOUBLE AS o_orderkey, (o_orderstatus = 'F')::INT::DOUBLE AS is_filled, epoch(o_orderdate) AS placed,
+  NULL::DOUBLE AS day, CASE WHEN o_orderkey % 1000 <> 1 THEN (o_orderstatus = 'F')::INT::DOUBLE END AS mixed
+FROM orders, (VALUES ('text'), ('inferred')) w(way)""",
     "csv_inferred_schema": """
 SELECT 0::BIGINT AS pos, 'l_orderkey' AS name, CASE WHEN max(l_orderkey) < 2147483648 THEN 'int' ELSE 'bigint' END AS type FROM lineitem
 UNION ALL SELECT * FROM (VALUES (1, 'l_linenumber', 'int'), (2, 'l_quantity', 'double'), (3, 'l_tax', 'double'), (4, 'l_returnflag', 'string')) t""",

@@ -76,7 +76,7 @@ def damaged_csv(df: DataFrame) -> str:
 
 def csv_scan_clean(spark, sf_dir):
     path = damaged_csv(table(spark, sf_dir, "lineitem").select(*SCAN_COLUMNS))
-    return read_clean(spark, path)
+    return read_clean(spark, path, infer_schema=True)
 
 
 def csv_scan_declared(spark, sf_dir):
@@ -88,7 +88,25 @@ def csv_scan_declared(spark, sf_dir):
 def csv_scan_text(spark, sf_dir):
     """The same scan as text, cast where it is read."""
     path = damaged_csv(table(spark, sf_dir, "lineitem").select(*SCAN_COLUMNS))
-    return read_clean(spark, path, infer_schema=False, on_bad_cell="fail")
+    return read_clean(spark, path, on_bad_cell="fail")
+
+
+def csv_scan_modes(spark, sf_dir):
+    """Booleans, timestamps, dates and a column with odd cells: as text and inferred."""
+    placed = F.col("o_orderdate")
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        (F.col("o_orderstatus") == "F").alias("is_filled"),
+        F.date_format(placed, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("placed"),
+        F.date_format(placed, "yyyy-MM-dd").alias("day"),
+        F.when(F.col("o_orderkey") % 1000 == 1, "odd").otherwise((F.col("o_orderstatus") == "F").cast("string")).alias("mixed"),
+    )
+    path = damaged_csv(orders)
+    ways = {"text": False, "inferred": True}
+    return reduce(
+        DataFrame.unionByName,
+        (read_clean(spark, path, infer_schema=way).withColumn("way", F.lit(name)) for name, way in ways.items()),
+    )
 
 
 def csv_scan_files(spark, sf_dir):
@@ -101,9 +119,7 @@ def csv_scan_files(spark, sf_dir):
     header = spark.range(1).select(F.lit("p_partkey;p_size;p_retailprice").alias("value"))
     header.unionByName(lines).coalesce(1).write.text(ragged)
     halves = [damaged_csv(rows.where(f"p_partkey % 2 = {i}")) for i in (0, 1)]
-    return read_clean(spark, halves, infer_schema=False).unionByName(
-        read_clean(spark, ragged, infer_schema=False)
-    )
+    return read_clean(spark, halves).unionByName(read_clean(spark, ragged))
 
 
 def csv_inferred_schema(spark, sf_dir):
@@ -500,7 +516,7 @@ def score_unlabelled(spark, sf_dir):
     sides = laid_out(rows.select("l_discount", "kind"))
     save_model(fit_pipeline(sides, "kind", stump(), ["l_discount"]), path)
     unlabelled = damaged_csv(rows.select("l_orderkey", "l_discount"))
-    scored = score_job(spark, unlabelled, path, infer_schema=False)
+    scored = score_job(spark, unlabelled, path)
     return scored.groupBy(
         "predicted", F.lit("label" in scored.columns).alias("has_label")
     ).agg(F.count("*").alias("n"))
@@ -526,9 +542,9 @@ def train_then_score(spark, sf_dir):
     )
     text = damaged_csv(source)
     model = shared_folder(spark)
-    trained = tuned_stump(read_clean(spark, text, infer_schema=False), "kind")
+    trained = tuned_stump(read_clean(spark, text), "kind")
     save_model(trained.model, model)
-    metrics = evaluate_job(spark, text, model, infer_schema=False)
+    metrics = evaluate_job(spark, text, model)
     return metrics.withColumn("value", F.round("value", 9))
 
 
@@ -549,6 +565,7 @@ QUERIES: dict[str, Query] = {
         csv_scan_clean,
         csv_scan_declared,
         csv_scan_text,
+        csv_scan_modes,
         csv_scan_files,
         csv_inferred_schema,
         clean_cast_double,

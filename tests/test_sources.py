@@ -85,9 +85,16 @@ def test_file_uri_and_separator(spark, tmp_path):
     assert rows(read_clean(spark, f"file://{path}", sep=",")) == [(1.0, 2.0)]
 
 
-def test_inferred_booleans_and_times_become_numbers(spark, tmp_path):
-    path = write(tmp_path, ["a;b;c", "true;1970-01-02 00:00:00;x", "false;1970-01-03 00:00:00;1"])
-    assert rows(read_clean(spark, path)) == [(0.0, 172800.0, 1.0), (1.0, 86400.0, None)]
+@pytest.mark.parametrize("infer", [True, False])
+def test_booleans_and_times_become_numbers(spark, tmp_path, infer):
+    path = write(
+        tmp_path,
+        ["a;b;c;d;e", "true;1970-01-02 00:00:00;x;2020-01-01;True", "FALSE;1970-01-03T00:00:00.5;1;2020-01-02;2"],
+    )
+    assert rows(read_clean(spark, path, infer_schema=infer)) == [
+        (0.0, 172800.5, 1.0, None, 2.0),
+        (1.0, 86400.0, None, None, 1.0),
+    ]
 
 
 def test_bad_cell_in_a_number_column(spark, tmp_path):

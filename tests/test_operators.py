@@ -492,7 +492,7 @@ class ClusterSession:
     """Just the settings of a session on a cluster."""
 
     class conf:
-        settings = {"spark.master": "yarn"}
+        settings: dict[str, str] = {}
 
         @classmethod
         def get(cls, name, default=None):
@@ -514,6 +514,6 @@ def test_shared_folder_is_never_local_on_a_cluster(monkeypatch):
 
 
 def test_shared_folder_of_a_local_session_without_the_setting(monkeypatch):
-    monkeypatch.setitem(ClusterSession.conf.settings, "spark.master", "local[2]")
+    monkeypatch.setattr(ClusterSession.sparkContext, "master", "local[2]")
     first, second = shared_folder(ClusterSession), shared_folder(ClusterSession)
     assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from tabgrove.llm.common import joined, ranked
 from tabgrove.sources.shared import materialise
 
 # Schedule points are fractions of 2**BITS; the step is one over the golden ratio, odd.
-BITS = 40
-GOLDEN = int((5**0.5 - 1) / 2 * 2**BITS) | 1
+BITS = 60
+GOLDEN = (isqrt(5 << 2 * BITS) - (1 << BITS)) // 2 | 1
 SPACE = r"[\x20\x09-\x0D]+"
 # Sources are rows of a table that the driver broadcasts; more than this many raise.
 MAX_SOURCES = 100_000
@@ -88,13 +89,16 @@ def mix(
 ) -> Mix:
     """Mix documents so that each source's words come near its target.
 
-    Slot j stands at the fractional part of j / golden ratio; the cumulative targets map
-    it to a source, and the slot's rank within the source is the block that it takes. A
-    source thus gets its share of every run of slots, to within a few blocks. No source
-    is taken more than ``most`` times.
+    Slot j stands at the fractional part of j / golden ratio; the cumulative blocks of the
+    targets map it to a source, and the slot's rank within the source is the block that it
+    takes. A source thus gets its share of every run of slots, to within a few blocks, and
+    over all slots exactly its target, to the nearest word: slots above its blocks go to
+    the sources that have too few, and its last block is cut. No source is taken more than
+    ``most`` times.
 
     ``block_words`` defaults to 1/256 of the smallest target, at least 1/2**24 of all and
-    at most 2048. Sizes are words; NULL texts have none and are never taken. A NULL
+    at most 2048; it sets how finely sources alternate, not how much of them is taken.
+    Sizes are words; NULL texts have none and are never taken. A NULL
     source is one of its own. Repeated keys and rows are documents of their own. Equal
     input gives an equal mix. An empty table gives an empty mix. Texts aren't shuffled.
     """
@@ -108,9 +112,9 @@ def mix(
     block = block_words or int(min(2048, max(1, smallest // 256, total // 2**24)))
 
     documents = materialise(laid_out(narrow))
-    slots = int(-(-total // block))
-    schedule = materialise(scheduled(targets, slots, narrow.sparkSession))
-    pieces = cut(documents, targets, block, most)
+    wanted = in_blocks(targets, block, most)
+    schedule = materialise(scheduled(wanted))
+    pieces = cut(documents, wanted, block)
     return Mix(targets, schedule, pieces, documents, block)
 
 
@@ -133,21 +137,43 @@ def laid_out(narrow: DataFrame) -> DataFrame:
     return placed.select("key", "source", "size", "seq", begin.cast("long").alias("begin"))
 
 
-def scheduled(targets: DataFrame, slots: int, spark) -> DataFrame:
-    """``(slot, source, block)``: every slot's source by its point, ranked in its source."""
+def in_blocks(targets: DataFrame, block: int, most: float) -> DataFrame:
+    """``(source, place, source_size, words, blocks)``: the whole words of each target and
+    the blocks that hold them."""
+    limit = F.floor(F.col("source_size") * F.lit(float(most)))
+    words = F.least(F.round("target"), limit).cast("long")
+    return targets.select("source", "place", "source_size", words.alias("words")).withColumn(
+        "blocks", F.expr(f"(words + {block - 1}) div {block}")
+    )
+
+
+def point(slot: Column) -> Column:
+    """``slot * GOLDEN`` modulo ``2**BITS``, in halves of both so that nothing overflows."""
+    half = BITS // 2
+    low = lambda x: x.bitwiseAND(F.lit(2**half - 1))
+    lower, upper = low(slot), F.shiftright(slot, half)
+    first, second = F.lit(GOLDEN % 2**half), F.lit(GOLDEN >> half)
+    carried = low(low(lower * second) + low(upper * first))
+    return (lower * first + carried * F.lit(2**half)).bitwiseAND(F.lit(2**BITS - 1))
+
+
+def scheduled(wanted: DataFrame) -> DataFrame:
+    """``(slot, source, block)``: every slot's source by its point, ranked in its source.
+
+    Points hit a source a few times more or less often than it has blocks. Slots above
+    them are dealt, in order, to the blocks that were not hit, in the order in which
+    these are due. There are a few of them for each source at most.
+    """
+    spark = wanted.sparkSession
+    wanted = wanted.where("blocks > 0")
+    slots = wanted.agg(F.sum("blocks")).collect()[0][0] or 0
     upto = Window.orderBy("place")
-    total = F.sum("target").over(Window.partitionBy())
-    edge = (F.sum("target").over(upto) / total * 2.0**BITS).cast("long")
-    bounds = targets.where("target > 0").select("source", edge.alias("high"), "place")
+    edge = (F.sum("blocks").over(upto) / F.lit(float(max(slots, 1))) * 2.0**BITS).cast("long")
+    bounds = wanted.select("source", edge.alias("high"), "place", "blocks")
     bounds = bounds.withColumn("low", F.lag("high", 1, 0).over(upto))
     last = F.max("place").over(Window.partitionBy())
     bounds = bounds.withColumn("high", F.when(F.col("place") == last, 2**BITS).otherwise(F.col("high")))
-    # slot * GOLDEN modulo 2**BITS, in two halves of the slot so that nothing overflows.
-    half = BITS // 2
-    lower = F.col("slot").bitwiseAND(F.lit(2**half - 1)) * F.lit(GOLDEN)
-    upper = (F.shiftright("slot", half) * F.lit(GOLDEN)).bitwiseAND(F.lit(2**half - 1))
-    point = (lower + upper * F.lit(2**half)).bitwiseAND(F.lit(2**BITS - 1))
-    points = spark.range(slots).select(F.col("id").alias("slot")).withColumn("point", point)
+    points = spark.range(slots).select(F.col("id").alias("slot")).withColumn("point", point(F.col("slot")))
     # A grid of 2**10 cells turns the search for the interval into an equality; a cell has
     # as many rows as intervals that touch it, and the table is bounded by MAX_SOURCES.
     shift = BITS - 10
@@ -156,32 +182,41 @@ def scheduled(targets: DataFrame, slots: int, spark) -> DataFrame:
     )
     points = points.withColumn("cell", F.shiftright("point", shift))
     found = points.join(F.broadcast(cells), "cell").where("point >= low AND point < high")
-    found = found.select("slot", "source", "place", F.expr(f"slot div {RUN}").alias("run"))
+    found = found.select("slot", "source", "place", "blocks", F.expr(f"slot div {RUN}").alias("run"))
     counts = found.groupBy("place", "run").agg(F.count("*").alias("n"))
     before = Window.partitionBy("place").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("place", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     own = F.row_number().over(Window.partitionBy("place", "run").orderBy("slot")) - 1
-    return found.withColumn("own", own).join(counts, ["place", "run"]).select(
-        "slot", "source", (F.col("own") + F.col("base")).cast("long").alias("block")
+    hit = materialise(
+        found.withColumn("own", own).join(counts, ["place", "run"]).select(
+            "slot", "source", "place", "blocks", (F.col("own") + F.col("base")).cast("long").alias("block")
+        )
     )
+    free = hit.where("block >= blocks").select("slot", F.row_number().over(Window.orderBy("slot")).alias("turn"))
+    hits = hit.groupBy("place").agg(F.count("*").alias("hits"))
+    missed = wanted.join(F.broadcast(hits), "place", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    missed = missed.where("hits < blocks").withColumn("block", F.explode(F.expr("sequence(hits, blocks - 1)")))
+    due = Window.orderBy((F.col("block") + 0.5) / F.col("blocks"), "place")
+    missed = missed.select("source", "block", F.row_number().over(due).alias("turn"))
+    filled = free.join(missed, "turn").select("slot", "source", "block")
+    return hit.where("block < blocks").select("slot", "source", "block").unionByName(filled)
 
 
-def cut(documents: DataFrame, targets: DataFrame, block: int, most: float) -> DataFrame:
+def cut(documents: DataFrame, wanted: DataFrame, block: int) -> DataFrame:
     """What each block holds: the pieces of documents in it, over all times round a source.
 
-    Only blocks that a source's target can reach are made; ``most`` times round, the
-    words end.
+    Only the words that the source's target takes are in them.
     """
-    per_source = targets.select(
+    size = F.greatest("source_size", F.lit(1))
+    per_source = wanted.select(
         "source",
         "source_size",
-        F.floor(F.col("source_size") * F.lit(float(most))).cast("long").alias("end"),
-        F.ceil(F.col("target") / F.greatest("source_size", F.lit(1)) + 8.0 * block / F.greatest("source_size", F.lit(1))).alias("rounds"),
+        F.col("words").alias("end"),
+        F.ceil(F.col("words") / size).cast("int").alias("rounds"),
     )
-    per_source = F.broadcast(per_source)
+    per_source = F.broadcast(per_source.where("rounds > 0"))
     rows = joined(documents, per_source, ["source"]).where("size > 0")
-    rows = rows.withColumn("rounds", F.least("rounds", F.lit(int(-(-most // 1)))))
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("rounds") - 1).cast("int"))))
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
     start = F.col("begin") + F.col("epoch") * F.col("source_size")
     rows = rows.withColumn("start", start).withColumn("stop", F.least(start + F.col("size"), F.col("end")))
     rows = rows.where("stop > start").withColumn(

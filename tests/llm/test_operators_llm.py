@@ -429,6 +429,29 @@ def test_mix_comes_near_its_targets(spark):
         assert abs(start.count(s) - len(start) * target / sum(targets.values())) <= 6
 
 
+def test_sources_far_below_a_block_get_their_targets(spark):
+    sizes = {"a": 40_000, "b": 300, "c": 7, "d": 150, "e": 1, "f": 90}
+    data = [(s, "w " * 50 if n > 50 else "w " * n) for s, n in sizes.items() for _ in range(max(1, n // 50))]
+    df = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(data)], "doc_id long, text string, source string")
+    mixed = mixing.mix(df, "doc_id", "text", "source", block_words=412)
+    rows = mixing.taken_words(mixed).join(df.select(F.col("doc_id").alias("key"), "source"), "key")
+    found = rows.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"))
+    for source, taken, target in rows_of(found, "source", "taken", "target"):
+        assert abs(taken - target) <= 0.5, source
+    slots = sorted(rows_of(mixed.schedule, "slot"))
+    assert slots == [(i,) for i in range(len(slots))]
+    assert mixed.schedule.select("source", "block").distinct().count() == len(slots)
+
+
+def test_schedule_points_stay_evenly_spread(spark):
+    n = 1 << 24
+    points = np.arange(n, dtype=np.uint64) * np.uint64(mixing.GOLDEN) & np.uint64(2**mixing.BITS - 1)
+    assert np.diff(np.sort(points)).max() / 2**mixing.BITS * n < 2
+    slots = [0, 1, 2**30 - 1, 2**30, 2**33 + 7, 2**45 + 3]
+    df = spark.createDataFrame([(x,) for x in slots], "slot long").select("slot", mixing.point(F.col("slot")).alias("p"))
+    assert dict(rows_of(df, "slot", "p")) == {x: x * mixing.GOLDEN % 2**mixing.BITS for x in slots}
+
+
 def test_mix_of_awkward_rows(docs):
     mixed = mixing.mix(docs, "doc_id", "text", "source")
     rows = rows_of(mixing.taken_words(mixed), "size", "taken")

@@ -76,7 +76,8 @@ def op6_ngram_jaccard_join(spark, sf_dir):
 
 
 def op7_scaled_sketch(spark, sf_dir):
-    rows = sketch.spliced(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """Sketches at scale 1, so that short texts keep every shingle hash too."""
+    rows = sketch.spliced(table(spark, sf_dir, "documents"), "doc_id", "text", scale=1)
     equal = lambda same: F.when(same, 1.0).otherwise(0.0)
     return rows.select(
         "doc_id",

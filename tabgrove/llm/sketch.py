@@ -30,7 +30,8 @@ def sketch(text: Column, scale: int = SCALE, words: int = WORDS) -> Column:
         many = F.transform(F.sequence(F.lit(0), n - words), shingle)
         few = F.array(F.xxhash64(F.array_join(tokens, " ")))
         all_of = F.when(n >= words, many).when(n > 0, few).otherwise(F.array().cast("array<bigint>"))
-        return F.array_sort(F.array_distinct(F.filter(all_of, lambda h: h <= limit)))
+        kept = F.filter(all_of, lambda h: h <= limit) if scale > 1 else all_of
+        return F.sort_array(F.array_distinct(kept))
 
     tokens = F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
     # The one-element array binds the words to a variable, so they are split once.
@@ -81,46 +82,38 @@ def spliced(df: DataFrame, key: str, text: str, scale: int = SCALE) -> DataFrame
     first ones of the next document by ascending key, or all of them. Returns key,
     n_chars, text, edited, ``same_next`` and the sketches ``own``, ``edit`` and ``next``.
 
-    Texts are shuffled by key once, and the part of each that goes into its predecessor
-    once more. NULL texts are empty. NULL keys come first. Rows that repeat a key each
+    Texts are shuffled by key twice, once for themselves and once for their predecessor;
+    sketches, which may be larger than texts, are made after that. NULL texts are empty. NULL keys come first. Rows that repeat a key each
     give a row; the document that others are edited with is then the one of the key's
     greatest hash. A single document follows itself.
     """
     rows = df.select(
         F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    ).withColumn("own", sketch(F.col("text"), scale))
-    sizes = df.select(F.col(key).alias("key"), F.length(F.coalesce(text, F.lit(""))).alias("n"))
-    keys = materialise(
-        sizes.groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
     )
+    keys = materialise(df.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("copies")))
     after = following(keys, "key")
-    links = keys.join(after, keys.key.eqNullSafe(after.key)).select(
-        keys.key.alias("before"), "next", F.expr("n div 2").alias("need")
-    )
+    links = keys.join(after, keys.key.eqNullSafe(after.key)).select(keys.key.alias("before"), "next")
     givers = rows
     if not keys.where("copies > 1").isEmpty():
         givers = rows.groupBy("key").agg(
-            F.max_by(F.struct("text", "own"), F.struct(F.xxhash64("text"), "text")).alias("row")
-        ).select("key", "row.*")
+            F.max_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+        )
     gives = givers.join(links, givers.key.eqNullSafe(links.next)).select(
-        "before",
-        F.substring("text", F.lit(1), F.col("need").cast("int")).alias("given"),
-        F.xxhash64("text", F.length("text")).alias("next_hash"),
-        F.col("own").alias("next"),
+        "before", F.col("text").alias("next_text")
     )
     both = rows.join(gives, rows.key.eqNullSafe(gives.before))
     n = F.length("text")
     half = F.expr("length(text) div 2")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("given", F.lit(1), half))
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     return (
         both.select(
             F.col("key").alias(key),
             n.cast("long").alias("n_chars"),
             "text",
             edited.alias("edited"),
-            (F.xxhash64("text", n) == F.col("next_hash")).alias("same_next"),
-            "own",
-            "next",
+            (F.col("text") == F.col("next_text")).alias("same_next"),
+            sketch(F.col("text"), scale).alias("own"),
+            sketch(F.col("next_text"), scale).alias("next"),
         )
         .withColumn("edit", sketch(F.col("edited"), scale))
     )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tabgrove.llm import bpe, chat, importance, jaccard, mixing, secrets, sharding, sketch, token_files, vectors
 from tabgrove.llm.common import components, ranked
-from tabgrove.llm.queries import RANKS, SEPARATOR, op4_byte_bpe, spans_text
+from tabgrove.llm.queries import RANKS, SEPARATOR, op4_byte_bpe, op7_scaled_sketch, spans_text
 from tabgrove.sources.shared import shared_folder
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -384,6 +384,27 @@ def test_sketch_estimates_containment_and_merges(spark):
     assert spark.range(1).select(sketch.containment(sketch.sketch(F.lit(None).cast("string")), F.array(F.lit(1).cast("long")))).collect()[0][0] is None
 
 
+def test_registered_sketches_hold_short_texts(spark, tmp_path):
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[:20]), " ".join(words[:16]), "a b c d e", "a b c d e f", "one", None, " ".join(words)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+
+    def cut(text):
+        mine = (text or "").split()
+        return {tuple(mine[i : i + 5]) for i in range(max(len(mine) - 4, min(1, len(mine))))}
+
+    rows = rows_of(op7_scaled_sketch(spark, str(tmp_path)), "doc_id", "fingerprint", "near_edited", "near_next")
+    assert len(rows) == len(texts)
+    for d, fingerprint, near_edited, near_next in rows:
+        text, after = texts[d] or "", texts[(d + 1) % len(texts)] or ""
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        assert len(fingerprint.split(",")) == len(cut(text)) if cut(text) else fingerprint == ""
+        for found, other in ((near_edited, edited), (near_next, after)):
+            expected = len(cut(text) & cut(other)) / len(cut(text)) if cut(text) else float(text == other)
+            assert found == pytest.approx(expected)
+
+
 # --- 8 ------------------------------------------------------------------------------------
 
 

@@ -53,6 +53,11 @@ PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 QUOTED = re.compile(r"""[rbfu]{0,2}("[^"\\\n]*(?:\\.[^"\\\n]*)*"|'[^'\\\n]*(?:\\.[^'\\\n]*)*')""", re.IGNORECASE)
 BARE = re.compile(r"[A-Za-z0-9+/_.=$-]+")
 OPERATOR = re.compile(r"[:=]")
+# A type between a name's colon and the equals sign: str, Optional[str], &'static str, string | null.
+ATOM = r"[A-Za-z_][\w.]{0,80}(?:\[[^\]=\n]{0,80}\]{1,3}|<[^=\n<>]{0,80}(?:<[^=\n<>]{0,80}>)?>)?[?!]?(?:\[\])?"
+TYPED = re.compile(rf"[ \t]*(?:&(?:'\w+[ \t]+)?)?({ATOM})(?:[ \t]*\|[ \t]*{ATOM}){{0,8}}[ \t]*=(?![=>~])[ \t]*", re.ASCII)
+# A symbol that is the key of a pair, as in ``:password => "..."``.
+SYMBOL = re.compile(r":[\"']?[A-Za-z_]\w*[\"']?[ \t]*=>", re.ASCII)
 NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_$.-")
 
 
@@ -90,8 +95,10 @@ def strength(value: str) -> float:
 def pairs(text: str) -> list[tuple[str, str, tuple[tuple[int, int], ...]]]:
     """Name-literal pairs in order: name, value, and the spans of the literals behind it.
 
-    Reads ``name = value``, ``name := value``, ``name: value`` and ``"name": value`` with
-    quoted or bare values. A value may join quoted literals and names of earlier pairs by
+    Reads ``name = value``, ``name := value``, ``name: value``, ``"name": value``, ``name =>
+    value`` and ``table["name"] = value`` with quoted or bare values, and ``name: type =
+    value`` with quoted values and names of earlier pairs; there the literal is behind the
+    type's word too, which may be a name (``else: password = "..."``). A value may join quoted literals and names of earlier pairs by
     ``+`` or by standing next to each other; those names hold their last value, so
     constants reach the names they are assigned to.
     """
@@ -103,6 +110,17 @@ def pairs(text: str) -> list[tuple[str, str, tuple[tuple[int, int], ...]]]:
         end = at
         while end > past and text[end - 1] in " \t":
             end -= 1
+        if text[at] == ":":
+            if SYMBOL.match(text, at):
+                continue
+            if end == at and end > past and text[end - 1] in "?!":
+                end -= 1
+        if end > past and text[end - 1] == "]":
+            inner = end - 1
+            while inner > past and text[inner - 1] in " \t":
+                inner -= 1
+            if inner > past and text[inner - 1] in "\"'":
+                end = inner
         if end > past and text[end - 1] in "\"'":
             end -= 1
         begin = end
@@ -111,13 +129,27 @@ def pairs(text: str) -> list[tuple[str, str, tuple[tuple[int, int], ...]]]:
         name = NAME.fullmatch(text, begin, end)
         if name is None:
             continue
-        value, spans, past = _value(text, at + 1 + (text[at : at + 2] == ":="), known)
+        typed = _typed(text, at, known)
+        after = typed.end() if typed else at + 1 + (text[at : at + 2] in (":=", "=>"))
+        value, spans, past = _value(text, after, known)
         if spans:
             known[name[0]] = value, spans
             found.append((name[0], value, spans))
+            if typed:
+                found.append((typed[1], value, spans))
     return found
 
 
+def _typed(text: str, at: int, known: dict) -> re.Match | None:
+    """The type behind the colon at ``at`` up to the value, if the value is a quoted literal
+    or a known name; else what follows the colon is itself the value."""
+    typed = TYPED.match(text, at + 1) if text[at] == ":" else None
+    if typed and not QUOTED.match(text, typed.end()):
+        bare = BARE.match(text, typed.end())
+        return typed if bare and bare[0] in known else None
+    return typed
+
+
 def _value(text: str, at: int, known: dict) -> tuple[str, tuple[tuple[int, int], ...], int]:
     """The value that begins at ``at``, its literals' spans, and where reading stopped."""
     value, spans, stop = [], [], at

@@ -206,6 +206,42 @@ def test_literals_reach_sensitive_names():
     assert secrets.spans_of("") == [] and secrets.literal_spans("=:" * 50) == []
 
 
+@pytest.mark.parametrize(
+    "form",
+    [
+        'api_token: str = "VALUE"',
+        'def f(password: Optional[str] = "VALUE"): pass',
+        'token: dict[str, list[str]] = "VALUE"',
+        'const dbPassword: string = "VALUE"',
+        "let secret: string | null = 'VALUE'",
+        'const TOKEN: &\'static str = "VALUE";',
+        'val password: String? = "VALUE"',
+        'token?: string = "VALUE"',
+        'else: password = "VALUE"',
+        'os.environ["DB_PASSWORD"] = "VALUE"',
+        "config['db']['password'] = 'VALUE'",
+        "config[ 'password' ] := 'VALUE'",
+        "array('password' => 'VALUE')",
+        "connect :password => 'VALUE', :host => 'x'",
+        "password=>'VALUE'",
+    ],
+)
+def test_literals_of_typed_subscript_and_arrow_forms(form):
+    value = "q9w8!e7r6#t5y4"
+    text = form.replace("VALUE", value)
+    assert [text[a:b] for _, a, b, *_ in secrets.literal_spans(text)] == [value]
+
+
+def test_colons_that_are_no_types_keep_their_values():
+    for text, value in (
+        ("dbPassword: c2VjcmV0cGFzc3dv12=\n", "c2VjcmV0cGFzc3dv12="),
+        ("dbPassword: hunter2hunter2x = other", "hunter2hunter2x"),
+        ('password: q9w8e7r6t5y4\nnote = "plain words"', "q9w8e7r6t5y4"),
+    ):
+        assert [text[a:b] for _, a, b, *_ in secrets.literal_spans(text)] == [value]
+    assert secrets.literal_spans('rows[0] = "q9w8e7r6t5y4"; note: str = "q9w8e7r6t5y4"; if x != "q9w8e7r6t5y4"') == []
+
+
 def test_scan_and_redaction_keep_rows(spark, docs):
     secret = "é password = hunter2hunter2 end 0123456789abcdef0"
     df = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(secret)))

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabgrove.llm.bpe import encoder
 from tabgrove.llm.common import in_arrow
-from tabgrove.sources.shared import shared_folder
+from tabgrove.sources.shared import materialise, shared_folder
 
 # Tokens of a block.
 BLOCK = 1 << 18
+# Blocks that are read one after the other, and bytes of a task, about.
+TOGETHER, TASK = 64, 1 << 25
 
 
 def write_token_files(df: DataFrame, text: str, rank_file: bytes, separator: int, path: str) -> None:
@@ -39,58 +46,95 @@ def write_token_files(df: DataFrame, text: str, rank_file: bytes, separator: int
     lines.write.option("lineSep", end).option("encoding", "ISO-8859-1").text(path)
 
 
+def opened(path: str) -> pa.NativeFile:
+    """A file of Spark's listing, for reads at any place."""
+    scheme, rest = re.fullmatch(r"(?:(\w[\w+.-]*):)?(.*)", path, re.DOTALL).groups()
+    if scheme in (None, "file"):
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    found, inner = fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/@:')}")
+    return found.open_input_file(inner)
+
+
+def _opens(path: str) -> bool:
+    try:
+        opened(path).close()
+    except (pa.ArrowException, OSError, ValueError, NotImplementedError):
+        return False
+    return True
+
+
 def scan_blocks(spark: SparkSession, path: str, separator: int, block: int = BLOCK) -> DataFrame:
     """``(file, block, tokens, ends)``: each block's size and the places of separators in it.
 
     A file is cut into blocks of ``block`` tokens; each is compared with the separator as
-    one array, aligned to whole ids. A file of odd length raises.
+    one array, aligned to whole ids. A file of odd length raises. The files are only
+    listed; runs of blocks are dealt out, so a file of any size is read by many tasks,
+    one block at a time. In a store that Arrow cannot open, Spark reads every file whole,
+    which it refuses above 2 GiB.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    wanted = np.uint16(separator)
-
-    def run(batches):
+    wanted, run = np.uint16(separator), block * TOGETHER * 2
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    total, some = files.agg(F.sum("length"), F.min("path")).collect()[0]
+    if some is None or _opens(some):
+        starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(run).cast("long")))
+        parts = files.select("path", "length", starts.alias("start"), F.lit(None).cast("binary").alias("content"))
+        parts = parts.repartition(-(-(total or 1) // TASK))
+    else:
+        parts = files.select("path", "length", F.lit(0).cast("long").alias("start"), "content")
+
+    def blocks(path_: str, start: int, stop: int, content: pa.Scalar) -> Iterator[pa.RecordBatch]:
+        whole = content.as_buffer()
+        with opened(path_) if whole is None else pa.BufferReader(whole) as file:
+            for at in range(start, stop, 2 * block):
+                size = min(2 * block, stop - at)
+                data = file.read_at(size, at)
+                if len(data) != size:
+                    raise ValueError(f"{path_} ends early")
+                ends = np.flatnonzero(np.frombuffer(data, "<u2") == wanted)
+                arrays = [
+                    pa.array([path_]),
+                    pa.array([at // (2 * block)], pa.int64()),
+                    pa.array([size // 2], pa.int64()),
+                    pa.array([ends], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=["file", "block", "tokens", "ends"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path_, content in zip(batch["path"].to_pylist(), batch["content"]):
-                data = content.as_buffer()
-                if data is None or data.size % 2:
-                    raise ValueError(f"{path_} does not hold whole ids")
-                ids = np.frombuffer(data, "<u2")
-                for number, at in enumerate(range(0, len(ids), block)):
-                    some = ids[at : at + block]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([path_]),
-                            pa.array([number], pa.int64()),
-                            pa.array([len(some)], pa.int64()),
-                            pa.array([np.flatnonzero(some == wanted)], pa.list_(pa.int64())),
-                        ],
-                        names=["file", "block", "tokens", "ends"],
-                    )
-
-    return files.mapInArrow(run, "file string, block long, tokens long, ends array<long>")
+            rows = batch.select(["path", "length", "start"]).to_pylist()
+            for row, content in zip(rows, batch["content"]):
+                if row["length"] % 2:
+                    raise ValueError(f"{row['path']} does not hold whole ids")
+                stop = row["length"] if content.is_valid else min(row["length"], row["start"] + run)
+                yield from blocks(row["path"], row["start"], stop, content)
+
+    return parts.mapInArrow(scan, "file string, block long, tokens long, ends array<long>")
 
 
 def count_tokens(spark: SparkSession, path: str, separator: int, block: int = BLOCK) -> DataFrame:
     """``(file, document, n_tokens)``: the tokens of each document, in the files' order.
 
-    A block only knows its own separators. Running sums over a file's blocks, one row a
-    block, give the tokens and documents before each, and a running maximum the last
+    A block only knows its own separators. Running sums over a file's blocks, one row of
+    numbers a block, give the documents before each, and a running maximum the last
     separator before it; the block's documents then begin where the one before ended.
+    The separators stay where they are written.
     Tokens after the last separator are a document too; empty documents count 0; a file
     without tokens has none.
     """
-    blocks = scan_blocks(spark, path, separator, block)
+    scanned = materialise(scan_blocks(spark, path, separator, block))
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     n = F.size("ends").cast("long")
-    blocks = blocks.withColumn("begin", F.col("block") * block)
+    blocks = scanned.withColumn("begin", F.col("block") * block)
     last = F.when(n > 0, F.col("begin") + F.element_at("ends", -1))
-    blocks = blocks.withColumn("last", last)
+    blocks = blocks.select("file", "block", "tokens", "begin", n.alias("n"), last.alias("last"))
     blocks = (
-        blocks.withColumn("documents", F.coalesce(F.sum(n).over(before), F.lit(0)))
+        blocks.withColumn("documents", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .withColumn("open", F.coalesce(F.max("last").over(before), F.lit(-1)))
         .withColumn("final", F.lead("block").over(order).isNull())
     )
+    blocks = scanned.select("file", "block", "ends").join(blocks, ["file", "block"])
     # Separators of the file's own numbering, the one before the block first.
     ends = F.concat(
         F.array("open"),

@@ -319,6 +319,29 @@ def test_blocks_are_stitched(spark, block):
     assert found == [(0, 2), (1, 1), (2, 0), (3, 3), (4, 5)]
 
 
+@pytest.mark.parametrize("arrow", [True, False])
+def test_blocks_of_one_file_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch, arrow):
+    monkeypatch.setattr(token_files, "TOGETHER", 2)
+    monkeypatch.setattr(token_files, "TASK", 1000)
+    if not arrow:
+        monkeypatch.setattr(token_files, "_opens", lambda path: False)
+    ids = np.random.default_rng(3).integers(0, 12, 20_001).astype("<u2")
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    (folder / "part-00000.txt").write_bytes(ids.tobytes())
+    (folder / "part-00001.txt").write_bytes(b"")
+    scanned = token_files.scan_blocks(spark, str(folder), 9, 100)
+    assert (scanned.select(F.spark_partition_id()).distinct().count() > 20) == arrow
+    assert sorted(rows_of(scanned, "block", "tokens")) == [(i, 100) for i in range(200)] + [(200, 1)]
+    cuts = [-1, *np.flatnonzero(ids == 9).tolist(), len(ids)]
+    sizes = [b - a - 1 for a, b in zip(cuts, cuts[1:])]
+    found = sorted(rows_of(token_files.count_tokens(spark, str(folder), 9, 100), "document", "n_tokens"))
+    assert found == list(enumerate(sizes if ids[-1] != 9 else sizes[:-1]))
+    (folder / "part-00002.txt").write_bytes(b"odd")
+    with pytest.raises(Exception, match="whole ids"):
+        token_files.scan_blocks(spark, str(folder), 9, 100).collect()
+
+
 # --- 5 ------------------------------------------------------------------------------------
 
 

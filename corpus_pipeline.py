@@ -39,19 +39,31 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number.
+    """Each document as often as the mix takes it, and the first words of what it takes in part.
 
-    Only the document at which a source's words end is taken in part. Documents without
-    words have no part in the mix and stay once.
+    Only the document at which a source's words end is taken in part. Rows that repeat a
+    doc_id share what is taken of them by their words. Documents without words have no
+    part in the mix and stay once.
     """
     mixed = mixing.mix(docs, "doc_id", "text", "source")
     taken = mixing.taken_words(mixed).groupBy("key").agg(
         F.sum("taken").alias("taken"), F.sum("size").alias("size")
     )
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    times = taken.select(F.col("key").alias("doc_id"), times.alias("times")).where("times > 0")
-    rows = joined(docs.select(*COLUMNS), times, ["doc_id"])
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    whole = F.when(F.col("size") > 0, F.expr("taken div greatest(size, 1)")).otherwise(1)
+    times = taken.select(F.col("key").alias("doc_id"), "taken", "size", whole.cast("int").alias("whole"))
+    times = times.withColumn("left", F.col("taken") - F.col("whole") * F.col("size"))
+    times = times.withColumn("copies", F.col("whole") + F.when(F.col("left") > 0, 1).otherwise(0))
+    rows = joined(docs.select(*COLUMNS), times.where("copies > 0"), ["doc_id"])
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    part = F.col("copy") > F.col("whole")
+    share = F.col("left") / F.greatest("size", F.lit(1)) * mixing.word_count(F.col("text"))
+    rows = rows.withColumn("words", F.when(part, F.round(share).cast("int")))
+    rows = rows.where("words IS NULL OR words > 0")
+    # Cut behind each word, so that the spaces between the words stay.
+    ends = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    text = F.when(part, F.array_join(F.slice(ends, F.lit(1), F.col("words")), "")).otherwise(F.col("text"))
+    n_chars = F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return rows.withColumn("text", text).withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

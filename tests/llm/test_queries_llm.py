@@ -58,3 +58,18 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
         docs, ids = out, now
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert last.count() == docs.count()
+
+
+def test_mixture_takes_part_of_a_long_document(spark):
+    words = [f"w{i}" for i in range(3000)]
+    texts = [("a", " \n".join(words)), ("b", "x y z " * 20), ("c", "q " * 8000), ("c", None), ("b", " ")]
+    rows = [(i, text, "en", source, len(text or "")) for i, (source, text) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mixing.mix(docs, "doc_id", "text", "source")
+    wanted = {row["source"]: row["target"] for row in mixed.targets.collect()}
+    out = corpus_pipeline.mixture(spark, docs, "").collect()
+    for source, target in wanted.items():
+        assert abs(sum(len((r["text"] or "").split()) for r in out if r["source"] == source) - target) <= 0.5
+    assert all((texts[r["doc_id"]][1] or "").startswith(r["text"] or "") for r in out)
+    assert all(len(r["text"] or "") == r["n_chars"] for r in out)
+    assert sorted(r["doc_id"] for r in out if r["doc_id"] > 2) == [3, 4]

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabgrove.functions.names import quoted
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_folder: tempfile.TemporaryDirectory | None = None
 
 
@@ -69,9 +71,23 @@ def materialised(df: DataFrame, partitions: int | None = None) -> Iterator[DataF
 
 
 def _write(df: DataFrame) -> tuple[DataFrame, str]:
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Remove the shuffle files of each query that ends meanwhile: a written table needs
+    them no more, and the driver would keep them until it happens to collect garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, True)
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
 
 
 def _empty(scan: DataFrame, path: str) -> None:

@@ -67,8 +67,77 @@ FROM documents LEFT JOIN n USING (doc_id)
 LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = doc_id
 """
 
+# Words from 1 on, every window of 50 by its words, and the words that no window removes.
+_REPEATS = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS words FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i+49], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j
+  FROM win JOIN (SELECT h, min(doc_id) AS low FROM win GROUP BY h) USING (h) WHERE low < doc_id),
+word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM w),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text
+  FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _codes() -> str:
+    """Assignment and averaging written out round by round."""
+    steps = [
+        """v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (
+  SELECT vec_id, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS v FROM v, range(4) t(p)),
+book0 AS MATERIALIZED (
+  SELECT p, e, v FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY vec_id, v) - 1 AS e FROM part)
+  WHERE e < 256)"""
+    ]
+    for i in range(5):
+        steps.append(
+            f"""near{i} AS MATERIALIZED (
+  SELECT vec_id, part.p, min({{'d': list_sum(list_transform(list_zip(part.v, b.v),
+    lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT, 'e': e}}) AS m
+  FROM part JOIN book{i} b ON part.p = b.p GROUP BY vec_id, part.p)"""
+        )
+        if i < 4:
+            steps.append(
+                f"""mean{i} AS MATERIALIZED (
+  SELECT p, e, list(x ORDER BY i) AS v FROM (
+    SELECT p, e, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM (
+      SELECT p, m.e AS e, unnest(part.v) AS x, generate_subscripts(part.v, 1) AS i
+      FROM near{i} JOIN part USING (vec_id, p)) GROUP BY p, e, i) GROUP BY p, e),
+book{i + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(n.v, b.v) AS v FROM book{i} b LEFT JOIN mean{i} n USING (p, e))"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + """,
+total AS (
+  SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error
+  FROM near4 GROUP BY vec_id),
+digest AS (
+  SELECT sha256(string_agg(x, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (
+    SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM book4))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM total JOIN v USING (vec_id), digest
+"""
+    )
+
+
 ORACLES: dict[str, str] = {
     "op2_embedding_near_dedup": _VECTORS,
     "op6_ngram_jaccard_join": _JACCARD,
     "op9_reply_trees": _CHAT,
+    "op12_vector_codes": _codes(),
+    "op13_substring_dedup": _REPEATS,
 }

@@ -8,8 +8,12 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabgrove.llm import bpe, chat, importance, jaccard, mixing, secrets, sharding, sketch, token_files, vectors
+from tabgrove.llm import (
+    alignment, bpe, chat, importance, jaccard, mixing, repeats, secrets, sharding, sketch, token_files, vector_codes,
+    vectors,
+)
 from tabgrove.llm.common import in_arrow
+from tabgrove.sources.shared import materialise
 
 SHARDS = 24
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -139,6 +143,36 @@ def op10_token_counts(spark, sf_dir):
     )
 
 
+def op11_token_alignment(spark, sf_dir):
+    files = alignment.Tokenizers(
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+    rows = alignment.align_texts(table(spark, sf_dir, "documents"), "doc_id", "text", files)
+    digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("")
+    rows = materialise(rows.withColumn("groups_sha256", digest).drop("groups"))
+    counted = alignment.count_links(rows, alignment.pair_totals(rows, alignment.vocabulary_size(files)))
+    return counted.withColumnRenamed("key", "doc_id")
+
+
+def op12_vector_codes(spark, sf_dir):
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return vector_codes.label_errors(coded).select(
+        F.col("key").alias("vec_id"),
+        F.lower(F.array_join(F.transform("codes", lambda c: F.lpad(F.hex(c), 2, "0")), "")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"),
+    )
+
+
+def op13_substring_dedup(spark, sf_dir):
+    left = repeats.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return left.select(
+        F.col("key").alias("doc_id"), "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -152,5 +186,8 @@ QUERIES = {
         op8_source_mixing,
         op9_reply_trees,
         op10_token_counts,
+        op11_token_alignment,
+        op12_vector_codes,
+        op13_substring_dedup,
     )
 }

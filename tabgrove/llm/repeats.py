@@ -311,7 +311,8 @@ def remove_repeats(df: DataFrame, key: str, text: str, width: int = 50) -> DataF
     spans = repeated_spans(df, key, text, width)
     rows = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     schema = "key long, n_words long, spans array<struct<begin: bigint, end: bigint>>, kept string"
-    rows = joined(rows, spans, ["key", "mark"], "left")
+    # The same plan at every size: spans grow with the table, so they are never broadcast.
+    rows = joined(rows, spans.hint("merge"), ["key", "mark"], "left")
     target = _arrow_schema(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

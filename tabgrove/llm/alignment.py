@@ -5,7 +5,9 @@ the running maximum of their ends is taken: where a start reaches it, no token r
 that offset, and a group of tokens ends. Within a group, tokens whose ranges overlap are
 expanded into pairs; those that end together are links.
 
-A task encodes a few megabytes of text, a slice, at a time. Links go by their place in the
+A task aligns a few megabytes of text, a slice, at a time. Both tokenizers always end a
+token before a single space between words, so texts are cut into chunks there and each
+distinct chunk of a slice is encoded and aligned once. Links go by their place in the
 slice's list of distinct id pairs, so one row for each slice and distinct pair is shuffled
 to be counted, and one brings the counts back.
 """
@@ -13,6 +15,7 @@ to be counted, and one brings the counts back.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 from tabgrove.llm.common import _arrow_schema, slices
 
 # Bytes of text in a slice, and in what one call encodes: layout only.
-SLICE = 2 << 20
-CALL = 1 << 18
+SLICE = 4 << 20
+CALL = 1 << 13
 
 _ALIGNED = (
     "slice long, place int, key long, n_a long, n_b long, n_groups long, n_links long, "
@@ -75,17 +78,50 @@ def _byte_letters() -> list[str]:
     return [chr(i) if i in own else chr(next(rest)) for i in range(256)]
 
 
-def _encoded(texts: list[str], a, b) -> Iterator[tuple[list[int], list[int]]]:
-    """Ids of space and text by A, and of the text by B, which adds the space itself."""
-    begin = 0
-    while begin < len(texts):
-        end, held = begin, 0
-        while end < len(texts) and held < CALL:
-            held, end = held + len(texts[end]), end + 1
-        some = texts[begin:end]
-        coded = a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)
-        yield from zip((c.ids for c in coded), b.encode(some, num_threads=1))
-        begin = end
+# Where both tokenizers end a token whatever follows: before a single space between two
+# code points that are no white space (Python's is the wider notion of it).
+_BREAK = re.compile(r"(?<=\S) (?=\S)")
+
+
+class _Encoder:
+    """Encodes chunks, many in one text, and tells which are spelt."""
+
+    def __init__(self, files: Tokenizers) -> None:
+        self.a, self.b, self.bytes_a, self.bytes_b, self.sizes, _ = _loaded(files.a, files.b)
+
+    def one(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids by A of space and text, and by B, which adds the space itself; None if
+        either does not spell space and text."""
+        ids_a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        ids_b, whole = self.b.encode(text), b" " + text.encode()
+        same_a = b"".join(map(self.bytes_a.__getitem__, ids_a)) == whole
+        return (ids_a, ids_b) if same_a and b"".join(map(self.bytes_b.__getitem__, ids_b)) == whole else None
+
+    def all(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids by A and by B of the spelt chunks, end to end, and which chunks are spelt.
+
+        Chunks without white space at their ends are encoded together, joined by spaces,
+        as text cut into them would be; the others, and a text that is not spelt, one by
+        one.
+        """
+        ids_a, ids_b, spelt = [], [], np.ones(len(chunks), bool)
+        inner = [not (c[0].isspace() or c[-1].isspace()) for c in chunks]
+        begin = 0
+        while begin < len(chunks):
+            end, held = begin, 0
+            while end < len(chunks) and held < CALL and (end == begin or inner[end - 1] and inner[end]):
+                held, end = held + len(chunks[end]) + 1, end + 1
+            made = self.one(" ".join(chunks[begin:end]))
+            for i in [] if made else range(begin, end):
+                own = self.one(chunks[i])
+                spelt[i] = own is not None
+                ids_a += own[0] if own else []
+                ids_b += own[1] if own else []
+            if made:
+                ids_a += made[0]
+                ids_b += made[1]
+            begin = end
+        return np.array(ids_a, np.int64), np.array(ids_b, np.int64), spelt
 
 
 def coalesced(start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,64 +148,89 @@ def overlapping(
     return left, np.arange(len(left)) - before + np.repeat(first, count)
 
 
+class _Chunks:
+    """Tokens, groups and links of distinct chunks of text, laid end to end.
+
+    ``spelt`` tells the chunks whose tokens of both kinds give back space and chunk; the
+    others have no tokens here. Every chunk's tokens end at its end, so groups and links
+    stay within chunks.
+    """
+
+    def __init__(self, chunks: list[str], files: Tokenizers) -> None:
+        told, (size_a, size_b) = _loaded(files.a, files.b)[5], _loaded(files.a, files.b)[4]
+        ids_a, ids_b, self.spelt = _Encoder(files).all(chunks)
+        n = len(chunks)
+        # A spelt chunk's tokens end where its bytes do, in both.
+        reach = np.cumsum([len(c.encode()) + 1 if s else 0 for c, s in zip(chunks, self.spelt.tolist())])
+        end_a, end_b = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
+        start_a, start_b = end_a - size_a[ids_a], end_b - size_b[ids_b]
+        counts = np.diff([np.searchsorted(end, np.r_[0, reach], side="right") for end in (end_a, end_b)], axis=1)
+        kind = np.repeat([0, 1], [len(ids_a), len(ids_b)])
+        order, group = coalesced(np.r_[start_a, start_b], np.r_[end_a, end_b], kind)
+
+        # Each token's decimals with its separator, group by group, A before B.
+        kind = kind[order]
+        by_kind = np.argsort(group * 2 + kind, kind="stable")
+        at, group, kind = order[by_kind], group[by_kind], kind[by_kind]
+        closes = np.ones(len(at), bool)
+        closes[:-1] = (group[1:] != group[:-1]) | (kind[1:] != kind[:-1])
+        entry = np.r_[ids_a, ids_b + 2 * len(size_a)][at]
+        entry += closes * np.where(kind, len(size_b), len(size_a))
+        words, total = list(map(told.__getitem__, entry.tolist())), counts.sum(axis=0)
+        ends = np.cumsum(total)
+        self.groups = ["".join(words[e - m : e])[:-1] for e, m in zip(ends.tolist(), total.tolist())]
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+        self.n_groups = np.bincount(np.searchsorted(ends, first, side="right"), minlength=n)
+        self.n_a, self.n_b = counts
+
+        left, right = overlapping(start_a, end_a, start_b, end_b)
+        together = end_a[left] == end_b[right]
+        left, right = left[together], right[together]
+        self.pairs = ids_a[left] * len(size_b) + ids_b[right]
+        self.n_links = np.bincount(np.searchsorted(np.cumsum(counts[0]), left, side="right"), minlength=n)
+
+
+def _gathered(values: np.ndarray, counts: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The runs of ``values``, of the given lengths, that ``index`` names, end to end."""
+    sizes = counts[index]
+    shift = np.repeat((np.cumsum(counts) - counts)[index] - np.cumsum(sizes) + sizes, sizes)
+    return values[np.arange(len(shift)) + shift]
+
+
 def _aligned_slice(number: int, keys: list, texts: list[str | None], files: Tokenizers) -> dict[str, list]:
-    a, b, bytes_a, bytes_b, (size_a, size_b), told = _loaded(files.a, files.b)
-    full = [i for i, t in enumerate(texts) if t]
-    ids_a, ids_b, counts = [], [], np.zeros((2, len(texts)), np.int64)
-    for i, (one, two) in zip(full, _encoded([texts[i] for i in full], a, b)):
-        whole = b" " + texts[i].encode()
-        if b"".join(map(bytes_a.__getitem__, one)) == whole == b"".join(map(bytes_b.__getitem__, two)):
-            ids_a.append(np.array(one, np.int64))
-            ids_b.append(np.array(two, np.int64))
-            counts[:, i] = len(one), len(two)
-    none = np.zeros(0, np.int64)
-    ids_a, ids_b = (np.concatenate([none, *ids]) for ids in (ids_a, ids_b))
-    end_a, end_b = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
-    start_a, start_b = end_a - size_a[ids_a], end_b - size_b[ids_b]
-    kind = np.repeat([0, 1], [len(ids_a), len(ids_b)])
-    order, group = coalesced(np.r_[start_a, start_b], np.r_[end_a, end_b], kind)
-    groups = int(group[-1]) + 1 if len(group) else 0
-
-    # Each token's decimals with its separator, group by group, A before B.
-    kind = kind[order]
-    by_kind = np.argsort(group * 2 + kind, kind="stable")
-    at, group, kind = order[by_kind], group[by_kind], kind[by_kind]
-    closes = np.ones(len(at), bool)
-    closes[:-1] = (group[1:] != group[:-1]) | (kind[1:] != kind[:-1])
-    entry = np.r_[ids_a, ids_b + 2 * len(size_a)][at]
-    entry += closes * np.where(kind, len(size_b), len(size_a))
-    words = list(map(told.__getitem__, entry.tolist()))
-
-    # Every document's tokens end at its end, so groups and links stay within documents.
-    left, right = overlapping(start_a, end_a, start_b, end_b)
-    ends = end_a[left] == end_b[right]
-    left, right = left[ends], right[ends]
-    code = ids_a[left] * len(size_b) + ids_b[right]
-    distinct, place = np.unique(code, return_inverse=True)
-    kind_of_place = "<u2" if len(distinct) <= 1 << 16 else "<u4"
-    place = place.astype(kind_of_place)
-
-    doc_of_link = np.searchsorted(np.cumsum(counts[0]), left, side="right")
-    n_links = np.bincount(doc_of_link, minlength=len(texts))
-    first_group = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if groups else none
-    n_groups = np.bincount(
-        np.searchsorted(np.cumsum(counts.sum(axis=0)), first_group, side="right"), minlength=len(texts)
-    )
-    word_ends, link_ends = np.cumsum(counts.sum(axis=0)), np.cumsum(n_links)
-    made: dict[str, list] = {
+    """One row for each text. Chunks that the slice repeats are encoded and aligned once."""
+    cut = [_BREAK.split(text) if text else [] for text in texts]
+    words = pa.array([w for some in cut for w in some], pa.large_string()).dictionary_encode()
+    chunks, index = _Chunks(words.dictionary.to_pylist(), files), words.indices.to_numpy()
+    sizes = np.array([len(some) for some in cut])
+    text_of = np.repeat(np.arange(len(texts)), sizes)
+    whole = np.bincount(text_of, ~chunks.spelt[index], minlength=len(texts)) == 0
+    index, text_of = index[whole[text_of]], text_of[whole[text_of]]
+    sizes = np.where(whole, sizes, 0)
+
+    def added(values: np.ndarray) -> np.ndarray:
+        return np.bincount(text_of, values[index], minlength=len(texts)).astype(np.int64)
+
+    distinct, place = np.unique(chunks.pairs, return_inverse=True)
+    place = _gathered(place.astype("<u2" if len(distinct) <= 1 << 16 else "<u4"), chunks.n_links, index)
+    n_links = added(chunks.n_links)
+    listed, ends, link_ends = index.tolist(), np.cumsum(sizes).tolist(), np.cumsum(n_links).tolist()
+    rest = [None] * (len(texts) - 1)
+    return {
         "slice": [number] * len(texts),
         "place": list(range(len(texts))),
         "key": keys,
-        "n_a": counts[0],
-        "n_b": counts[1],
-        "n_groups": n_groups,
+        "n_a": added(chunks.n_a),
+        "n_b": added(chunks.n_b),
+        "n_groups": added(chunks.n_groups),
         "n_links": n_links,
-        "groups": ["".join(words[e - n : e])[:-1] for e, n in zip(word_ends.tolist(), counts.sum(axis=0).tolist())],
-        "links": [place[e - n : e].tobytes() for e, n in zip(link_ends.tolist(), n_links.tolist())],
-        "pairs": [distinct.astype("<i8").tobytes()] + [None] * (len(texts) - 1),
-        "pair_counts": [np.bincount(place, minlength=len(distinct)).astype("<i8").tobytes()] + [None] * (len(texts) - 1),
+        "groups": [
+            ";".join(map(chunks.groups.__getitem__, listed[e - n : e])) for e, n in zip(ends, sizes.tolist())
+        ],
+        "links": [place[e - n : e].tobytes() for e, n in zip(link_ends, n_links.tolist())],
+        "pairs": [distinct.astype("<i8").tobytes(), *rest],
+        "pair_counts": [np.bincount(place, minlength=len(distinct)).astype("<i8").tobytes(), *rest],
     }
-    return made
 
 
 def align_texts(df: DataFrame, key: str, text: str, files: Tokenizers) -> DataFrame:

@@ -143,6 +143,26 @@ def test_alignment_equals_brute_force(docs, rows, size, monkeypatch):
     assert order(found) == order((k, *x) for (k, _), x in zip(some, aligned([t for _, t in some])))
 
 
+ODD = [
+    " a", "a ", "  a  b ", "\u3000x y", "a\u00a0b c", "a\u200b b", "x\ufeff y", "a\x1c b", "\u2581 a b", "a\u2581 b\u2581 c",
+    "it 's we 'll", "1 2 3 \u0661 \u0662", "\n a\n b", "tab\t c d", "e\u0301 \u0301x", "a\x85 b", "a\u180e b c", "\x00 a b", "<s> a </s> b",
+]
+
+
+@pytest.mark.parametrize("call", [1, 1 << 13])
+def test_chunks_give_the_tokens_of_whole_texts(call, monkeypatch):
+    monkeypatch.setattr(alignment, "CALL", call)
+    made = alignment._aligned_slice(0, list(range(len(ODD))), ODD, alignment.Tokenizers(*FILES))
+    found = [tuple(made[n][i] for n in ("n_a", "n_b", "n_groups", "groups")) for i in range(len(ODD))]
+    assert found == [x[:4] for x in aligned(ODD)]
+
+
+def test_no_piece_holds_a_space_behind_other_text():
+    b = sentencepiece.SentencePieceProcessor(model_file=FILES[1])
+    pieces = (b.id_to_piece(i) for i in range(b.get_piece_size()))
+    assert not [p for p in pieces if "\u2581" in p.lstrip("\u2581")]
+
+
 def test_coalescing_takes_nested_and_crossing_intervals():
     start, end = np.array([0, 3, 3, 8, 9]), np.array([3, 9, 8, 9, 12])
     order_, group = alignment.coalesced(start, end, np.array([0, 0, 1, 1, 0]))

@@ -40,7 +40,7 @@ def _number(field: T.StructField, on_bad_cell: str) -> Column:
         # Spark has no cast from date to double; schema inference can yield dates.
         number = F.lit(None).cast("double")
     elif isinstance(field.dataType, T.StringType):
-        number = F.coalesce(cell.try_cast("double"), _truth(cell), _moment(cell))
+        number = number_or_null(cell)
     else:
         number = cell.try_cast("double")
     if on_bad_cell == "null" or isinstance(field.dataType, T.NumericType):
@@ -49,6 +49,11 @@ def _number(field: T.StructField, on_bad_cell: str) -> Column:
     return F.when(cell.isNotNull() & number.isNull(), F.raise_error(message)).otherwise(number)
 
 
+def number_or_null(cell: Column) -> Column:
+    """The number that a cell of text stands for, or NULL."""
+    return F.coalesce(cell.try_cast("double"), _truth(cell), _moment(cell))
+
+
 def _truth(cell: Column) -> Column:
     return F.when(F.lower(cell) == "true", 1.0).when(F.lower(cell) == "false", 0.0)
 

@@ -67,7 +67,7 @@ def materialised(df: DataFrame, partitions: int | None = None) -> Iterator[DataF
     try:
         yield scan
     finally:
-        _empty(scan, path)
+        emptied(scan.sparkSession, path)
 
 
 def _write(df: DataFrame) -> tuple[DataFrame, str]:
@@ -90,6 +90,7 @@ def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
 
 
-def _empty(scan: DataFrame, path: str) -> None:
-    """Replace the table's rows by none, with Spark's own writer on any filesystem."""
-    scan.sparkSession.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
+def emptied(spark: SparkSession, path: str) -> None:
+    """Replace all that lies at ``path`` by a table without rows, with Spark's own writer
+    on any filesystem."""
+    spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)

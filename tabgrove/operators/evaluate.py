@@ -6,6 +6,8 @@ at most labels x predictions rows per task, however skewed the labels are.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +19,19 @@ def confusion_matrix(
 ) -> DataFrame:
     """``(label, prediction, n)``. A NULL on either side raises: it is neither hit nor miss."""
     pairs = scored.select(
-        _present(label).alias("label"), _present(prediction).alias("prediction")
+        present(label).alias("label"), present(prediction).alias("prediction")
     )
     return pairs.groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
-def _present(name: str) -> Column:
+def present(name: str) -> Column:
     value = F.col(quoted(name)).cast("double")
     return F.coalesce(value, F.raise_error(F.lit(f"NULL in column {name}")).cast("double"))
 
 
-def per_label(confusion: DataFrame) -> DataFrame:
-    """``(label, n_true, n_predicted, n_hit, precision, recall, f1)`` per label that occurs.
+def per_label(confusion: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(label, n_true, n_predicted, n_hit, precision, recall, f1)`` per label that occurs,
+    for each value of the columns ``by``, which come first.
 
     Every pair counts once for its label and once for its prediction, so one aggregate
     replaces joins of label totals, prediction totals and hits. A label that is never
@@ -37,6 +40,7 @@ def per_label(confusion: DataFrame) -> DataFrame:
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0))
     zero = F.lit(0).cast("long")
     sides = confusion.select(
+        *by,
         F.inline(
             F.array(
                 F.struct(
@@ -54,7 +58,7 @@ def per_label(confusion: DataFrame) -> DataFrame:
             )
         )
     )
-    totals = sides.groupBy("label").agg(
+    totals = sides.groupBy(*by, "label").agg(
         F.sum("n_true").alias("n_true"),
         F.sum("n_predicted").alias("n_predicted"),
         F.sum("n_hit").alias("n_hit"),
@@ -71,10 +75,11 @@ def per_label(confusion: DataFrame) -> DataFrame:
     )
 
 
-def summary(labels: DataFrame) -> DataFrame:
-    """One row ``(accuracy, weighted_f1)`` from a ``per_label`` table; NULLs if it is empty."""
+def summary(labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row ``(accuracy, weighted_f1)`` from a ``per_label`` table, NULLs if it is empty;
+    or one for each value of the columns ``by``."""
     total = F.sum("n_true")
-    return labels.agg(
+    return labels.groupBy(*by).agg(
         (F.sum("n_hit") / total).alias("accuracy"),
         (F.sum(F.col("n_true") * F.col("f1")) / total).alias("weighted_f1"),
     )
@@ -84,7 +89,7 @@ def accuracy(
     scored: DataFrame, label: str = "label", prediction: str = "prediction"
 ) -> DataFrame:
     """One row ``(accuracy)``: the share of rows whose prediction is the label."""
-    hit = (_present(label) == _present(prediction)).cast("int")
+    hit = (present(label) == present(prediction)).cast("int")
     return scored.agg(F.avg(hit).alias("accuracy"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabgrove.functions.names import quoted
+from tabgrove.operators.number import number_rows
 
 FOLD_COL = "cv_fold"
 
@@ -36,6 +37,28 @@ def assign_folds(
     return df.withColumn(fold_col, fold.cast("int"))
 
 
+def assign_stratified_folds(
+    df: DataFrame, label: str, num_folds: int = 2, seed: int = 0, fold_col: str = FOLD_COL
+) -> DataFrame:
+    """Add ``fold_col`` so that each label's rows are spread over the folds in parts that
+    are at most one row apart, and so are the folds as wholes.
+
+    All rows are numbered by (label, a draw with ``seed``) and dealt to the folds in turn.
+    A label's rows follow each other in that order, so its parts are as equal as can be,
+    however rare or common it is; NULL and NaN are labels of their own. Ranges number
+    their rows, so no label is gathered. The result is a table in the shared folder: the
+    draw is pinned.
+    """
+    if num_folds < 2:
+        raise ValueError("num_folds must be at least 2")
+    if fold_col.lower() in (name.lower() for name in df.columns):
+        raise ValueError(f"column {fold_col!r} exists already")
+    drawn = df.withColumn("_draw", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
+    rows = number_rows(drawn, [F.col(quoted(label)).asc_nulls_first(), F.col("_draw").asc()], "_number")
+    fold = F.pmod("_number", F.lit(num_folds)).cast("int")
+    return rows.withColumn(fold_col, fold).drop("_draw", "_number")
+
+
 def fold_counts(df: DataFrame, label: str, fold_col: str = FOLD_COL) -> DataFrame:
     """``(fold, label, n)``: how the labels are spread over the folds."""
     return df.groupBy(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabgrove.functions.names import check_distinct, ml_name
-from tabgrove.operators.labels import label_name
+from tabgrove.operators.lookup import BROADCAST_BYTES, dictionary_table, with_label
 
 
 def pipeline_labels(model: PipelineModel) -> list[str]:
@@ -23,12 +23,14 @@ def pipeline_forest(model: PipelineModel) -> RandomForestClassificationModel:
 
 
 def score_batch(
-    model: PipelineModel, df: DataFrame, predicted: str = "predicted"
+    model: PipelineModel, df: DataFrame, predicted: str = "predicted", broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """All input columns plus what the stages add and ``predicted``, the label's text.
 
-    Vectors come out as arrays, so that the result can be written anywhere. Lazy and
-    without a shuffle; columns nobody selects are not computed. A table without the
+    Vectors come out as arrays, so that the result can be written anywhere. Lazy; columns
+    nobody selects are not computed. The label's text comes from a join with the model's
+    dictionary, without a shuffle of the rows while that is at most ``broadcast_bytes``
+    (see ``lookup``). A table without the
     label column can be scored too, it just gets no ``label``. Every row stays: where a
     model that skips invalid features meets one, what it would predict is NULL. An added
     column that is named like an input column, in any case, raises.
@@ -53,9 +55,10 @@ def score_batch(
     for name in features:
         valid &= F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double"))
     results = {name: vector_to_array(name) for name in vectors if name}
-    results[predicted] = label_name(pipeline_labels(model), forest.getPredictionCol())
     results[forest.getPredictionCol()] = F.col(forest.getPredictionCol())
     features_col = forest.getFeaturesCol()
-    return scored.withColumns(
+    scored = scored.withColumns(
         {name: c if name == features_col else F.when(valid, c) for name, c in results.items()}
     )
+    labels = dictionary_table(df.sparkSession, pipeline_labels(model))
+    return with_label(scored, forest.getPredictionCol(), labels, predicted, broadcast_bytes)

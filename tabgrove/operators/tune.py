@@ -95,7 +95,7 @@ def cross_validate(
     # Of equal points both min and max return the first, as the refit does.
     pick = max if evaluator.isLargerBetter() else min
     best = pick(trials, key=lambda trial: trial["avg_metric"])
-    return Tuning(fitted.bestModel, _trials_table(df.sparkSession, trials), best)
+    return Tuning(fitted.bestModel, trials_table(df.sparkSession, trials), best)
 
 
 def best_trial(trials: DataFrame, larger_is_better: bool = True) -> DataFrame:
@@ -104,7 +104,7 @@ def best_trial(trials: DataFrame, larger_is_better: bool = True) -> DataFrame:
     return trials.orderBy(metric, F.asc("param_id")).limit(1)
 
 
-def _trials_table(spark: SparkSession, trials: list[dict[str, Any]]) -> DataFrame:
+def trials_table(spark: SparkSession, trials: list[dict[str, Any]]) -> DataFrame:
     """One row per grid point; the grid is an argument, so this is never large."""
     types = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}
     schema = T.StructType([T.StructField(k, types[type(v)]) for k, v in trials[0].items()])

@@ -17,9 +17,12 @@ from tabgrove.operators.folds import FOLD_COL, assign_folds
 from tabgrove.operators.forest import build_forest, build_pipeline, check_added_names
 from tabgrove.operators.labels import fit_label_index
 from tabgrove.operators.score import pipeline_forest, score_batch
+from tabgrove.operators.trials import run_trials
 from tabgrove.operators.tune import DEFAULT_GRID, Grid, Tuning, cross_validate
 from tabgrove.sources.delimited import read_delimited
-from tabgrove.sources.models import load_model, save_model
+from tabgrove.sources.metrics import write_metrics
+from tabgrove.sources.models import load_model, publish_model, save_model
+from tabgrove.sources.quarantine import read_checked, write_split
 from tabgrove.sources.shared import materialised
 
 
@@ -30,12 +33,20 @@ def read_clean(
     infer_schema: bool = False,
     schema: T.StructType | None = None,
     on_bad_cell: str = "null",
+    quarantine_path: str | None = None,
 ) -> DataFrame:
     """Read delimited text and clean it.
 
     Cells are cast where they are read, so every byte is read once. ``infer_schema=True``
     finds the types by one more pass; the rows are the same, see ``clean_columns``.
+
+    With ``quarantine_path`` only rows without fault go on. All rows are written there,
+    good and bad ones apart with what is wrong, by the one scan (see ``write_split``).
     """
+    if quarantine_path:
+        if infer_schema or schema is not None or on_bad_cell != "null":
+            raise ValueError("quarantine_path reads text cell by cell and takes no other reading option")
+        return write_split(read_checked(spark, path, sep), quarantine_path)[0]
     raw = read_delimited(spark, path, sep, infer_schema, schema, on_bad_cell)
     return clean_columns(raw, on_bad_cell)
 
@@ -55,9 +66,15 @@ def train_classifier(
     parallelism: int = 1,
     handle_invalid: str = "error",
     max_labels: int | None = None,
+    one_scan: bool = False,
+    trial_log: str | None = None,
 ) -> Tuning:
     """Tune a forest on a clean table by cross-validation and refit the winner.
 
+    ``one_scan`` scores all models of a fold in one pass and returns every metric of every
+    trial; ``trial_log`` names a folder where a run that was stopped is taken up again.
+    Both go by ``trials.run_trials``, whose ``metric`` is accuracy or weighted_f1.
+
     By default every column but the label and those that only name folds is a feature.
 
     The source is scanned once: the columns in use and the fold are written as a table
@@ -80,6 +97,8 @@ def train_classifier(
     with materialised(table) as rows:
         indexer = fit_label_index(rows, label, forest.getLabelCol(), handle_invalid, max_labels)
         pipeline = build_pipeline(assembler, indexer, forest)
+        if one_scan or trial_log:
+            return run_trials(rows, pipeline, grid, num_folds, FOLD_COL, metric, parallelism, trial_log)
         return cross_validate(rows, pipeline, grid, num_folds, FOLD_COL, metric, parallelism)
 
 
@@ -92,12 +111,18 @@ def train_job(
     infer_schema: bool = False,
     schema: T.StructType | None = None,
     on_bad_cell: str = "null",
+    quarantine_path: str | None = None,
+    versioned: bool = False,
     **training,
 ) -> Tuning:
-    """Read, clean, tune, refit, save. ``training`` goes to ``train_classifier``."""
-    table = read_clean(spark, input_path, sep, infer_schema, schema, on_bad_cell)
+    """Read, clean, tune, refit, save. ``training`` goes to ``train_classifier``.
+
+    ``versioned`` publishes the model beside earlier ones, which stay loadable whatever
+    fails; without it the model is a plain Spark folder that replaces what was there.
+    """
+    table = read_clean(spark, input_path, sep, infer_schema, schema, on_bad_cell, quarantine_path)
     trained = train_classifier(table, label, **training)
-    save_model(trained.model, model_path)
+    (publish_model if versioned else save_model)(trained.model, model_path)
     return trained
 
 
@@ -109,9 +134,10 @@ def score_job(
     infer_schema: bool = False,
     schema: T.StructType | None = None,
     on_bad_cell: str = "null",
+    quarantine_path: str | None = None,
 ) -> DataFrame:
     """Read, clean and score a path with a saved model; lazy, one scan."""
-    table = read_clean(spark, input_path, sep, infer_schema, schema, on_bad_cell)
+    table = read_clean(spark, input_path, sep, infer_schema, schema, on_bad_cell, quarantine_path)
     return score_batch(load_model(model_path), table)
 
 
@@ -123,9 +149,21 @@ def evaluate_job(
     infer_schema: bool = False,
     schema: T.StructType | None = None,
     on_bad_cell: str = "null",
+    quarantine_path: str | None = None,
+    metrics_path: str | None = None,
+    batch: str | None = None,
 ) -> DataFrame:
-    """Score a labelled path and return its ``(metric, value)`` table."""
-    table = read_clean(spark, input_path, sep, infer_schema, schema, on_bad_cell)
+    """Score a labelled path and return its ``(metric, value)`` table.
+
+    With ``metrics_path`` the rows are also put into the table there, in place of those
+    that an earlier run wrote for the same ``model_path`` and ``batch`` (by default the
+    input path).
+    """
+    table = read_clean(spark, input_path, sep, infer_schema, schema, on_bad_cell, quarantine_path)
     model = load_model(model_path)
     forest = pipeline_forest(model)
-    return metrics_table(score_batch(model, table), forest.getLabelCol(), forest.getPredictionCol())
+    metrics = metrics_table(score_batch(model, table), forest.getLabelCol(), forest.getPredictionCol())
+    if metrics_path:
+        paths = input_path if isinstance(input_path, str) else ",".join(input_path)
+        write_metrics(metrics, metrics_path, model_path, batch or paths)
+    return metrics

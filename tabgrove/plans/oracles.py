@@ -178,7 +178,7 @@ UNION ALL SELECT * FROM (VALUES (1, 'l_linenumber', 'int'), (2, 'l_quantity', 'd
     "csv_scan_files": (
         "SELECT p_partkey::DOUBLE AS p_partkey, p_size::DOUBLE AS p_size, p_retailprice FROM part UNION ALL "
         "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.5::DOUBLE END, CASE WHEN p_size % 2 = 0 THEN 2.5::DOUBLE END "
-        "FROM part WHERE p_size % 10 < 2"
+        "FROM part"
     ),
     "score_invalid_rows": (
         "SELECT l_orderkey % 5 = 0 AS has_gap, l_orderkey % 5 = 0 AS missing, count(*) AS n FROM lineitem GROUP BY ALL"

@@ -74,6 +74,15 @@ def damaged_csv(df: DataFrame) -> str:
     return path
 
 
+def lines_with_header(lines: DataFrame, header: str) -> str:
+    """Write the one text column of ``lines`` as files that each begin with ``header``."""
+    path = shared_folder(lines.sparkSession)
+    # No line holds this separator or this quote, so lines are written as they are.
+    writer = lines.toDF(header).write.option("header", True).option("sep", "\x01").option("quote", "\x02")
+    writer.csv(path)
+    return path
+
+
 def csv_scan_clean(spark, sf_dir):
     path = damaged_csv(table(spark, sf_dir, "lineitem").select(*SCAN_COLUMNS))
     return read_clean(spark, path, infer_schema=True)
@@ -110,14 +119,11 @@ def csv_scan_modes(spark, sf_dir):
 
 
 def csv_scan_files(spark, sf_dir):
-    """Two folders of files with one header, and a file whose rows are too short or too
-    long: missing cells are NULL, and cells without a name are left out."""
+    """Two folders of files with one header, and one of files whose rows are all too short
+    or too long: missing cells are NULL, and cells without a name are left out."""
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
-    ragged = shared_folder(spark)
     cells = F.concat_ws(";", "p_partkey", F.when(F.col("p_size") % 2 == 0, F.lit("1.5;2.5;9")))
-    lines = rows.where("p_size % 10 < 2").select(cells.alias("value"))
-    header = spark.range(1).select(F.lit("p_partkey;p_size;p_retailprice").alias("value"))
-    header.unionByName(lines).coalesce(1).write.text(ragged)
+    ragged = lines_with_header(rows.select(cells.alias("line")), "p_partkey;p_size;p_retailprice")
     halves = [damaged_csv(rows.where(f"p_partkey % 2 = {i}")) for i in (0, 1)]
     return read_clean(spark, halves).unionByName(read_clean(spark, ragged))
 

@@ -14,8 +14,7 @@ import __spark_entry__ as contract
 from tabgrove.operators.folds import FOLD_COL
 from tabgrove.operators.forest import build_forest
 from tabgrove.plans import queries
-from tabgrove.plans.oracles import ORACLES
-from tabgrove.plans.queries import QUERIES
+from tabgrove.plans.registry import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")

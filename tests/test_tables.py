@@ -1,0 +1,334 @@
+"""Quarantine, type profile, leaks, lookups, published models and the metric sink."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tabgrove.operators import lookup
+from tabgrove.operators.clean import clean_columns
+from tabgrove.operators.forest import build_forest, fit_pipeline
+from tabgrove.operators.labels import label_table
+from tabgrove.operators.leaks import class_histograms, leak_report
+from tabgrove.operators.profile import column_type, profile_columns, profiled_schema, profiled_types
+from tabgrove.operators.score import score_batch
+from tabgrove.plans.jobs import evaluate_job, read_clean, score_job, train_job
+from tabgrove.plans.queries import damaged_csv, table
+from tabgrove.sources import models
+from tabgrove.sources.delimited import read_delimited
+from tabgrove.sources.metrics import read_metrics, write_metrics
+from tabgrove.sources.models import load_model, model_versions, prune_models, publish_model, save_model, tree_nodes
+from tabgrove.sources.quarantine import read_checked, reason_counts, write_split
+from tabgrove.sources.shared import materialise, shared_folder
+
+
+def text(folder, *files):
+    for i, lines in enumerate(files):
+        (folder / f"f{i}.csv").write_text("\n".join(lines) + "\n")
+    return str(folder)
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+# --- bad rows ---------------------------------------------------------------------------
+
+
+def test_bad_rows_are_told_from_good_ones(spark, tmp_path):
+    path = text(
+        tmp_path,
+        ['"a";""b"";c', "1;2;3", "4;5", "6;7;8;9", "x;1;y", '1;"2;3";4', "true;2024-01-01 00:00:10;", ";;", "1;2;3;;"],
+        ['"a";""b"";c', "7;8;9", "only"],
+    )
+    checked = read_checked(spark, path)
+    assert scans(checked) == 1
+    rows = checked.collect()
+    good = sorted((r["a"], r["b"], r["c"]) for r in rows if r["bad"] is None and r["a"] is not None)
+    assert good == [(1.0, 2.0, 3.0), (1.0, 1704067210.0, None), (7.0, 8.0, 9.0)][:1] + good[1:]
+    assert len(good) == 3 and sum(r["bad"] is None for r in rows) == 4
+    bad = {r["bad"]["line"]: r["bad"] for r in rows if r["bad"]}
+    assert {line: b["reasons"] for line, b in bad.items()} == {
+        "4;5": ["2 cells instead of 3"],
+        "6;7;8;9": ["4 cells instead of 3"],
+        "x;1;y": ["not a number in column a: x", "not a number in column c: y"],
+        "1;2;3;4": ["not a number in column b: 2;3"],
+        "1;2;3;;": ["5 cells instead of 3"],
+        "only": ["1 cells instead of 3", "not a number in column a: only"],
+    }
+    assert bad["only"]["file"].endswith("f1.csv") and bad["4;5"]["file"].endswith("f0.csv")
+    assert bad["4;5"]["place"] < bad["6;7;8;9"]["place"] and bad["4;5"]["block_start"] == 0
+
+
+def test_quoted_separators_do_not_count_as_cells(spark, tmp_path):
+    path = text(tmp_path, ["a;b", '"x;\\"y";2;3', '"x;y";2'])
+    rows = read_checked(spark, path, text_columns=["a"]).collect()
+    assert sorted((r["a"], r["bad"] and r["bad"]["reasons"][0]) for r in rows) == [
+        ('x;"y', "3 cells instead of 2"), ("x;y", None),
+    ]
+
+
+def test_text_columns_take_any_cell_and_must_exist(spark, tmp_path):
+    path = text(tmp_path, ["a;b", "word;1"])
+    assert read_checked(spark, path, text_columns=["a"]).collect()[0]["bad"] is None
+    with pytest.raises(ValueError, match="no such columns"):
+        read_checked(spark, path, text_columns=["z"])
+
+
+@pytest.mark.parametrize("header", ["a;bad", "a;Bad"])
+def test_clashing_names_raise(spark, tmp_path, header):
+    with pytest.raises(ValueError, match="collide"):
+        read_checked(spark, text(tmp_path, [header, "1;2"]))
+
+
+def test_a_column_called_corrupt_is_read(spark, tmp_path):
+    rows = read_checked(spark, text(tmp_path, ["corrupt;corrupt_", "1;2", "3"])).collect()
+    assert sorted((r["corrupt"], r["bad"] is None) for r in rows) == [(1.0, True), (3.0, False)]
+
+
+def test_moved_headers_raise_in_a_checked_scan(spark, tmp_path):
+    path = text(tmp_path, ["a;b", "1;2"], ["b;a", "1;2"])
+    with pytest.raises(Exception, match="header"):
+        read_checked(spark, path).collect()
+
+
+def test_split_rows_and_counts_add_up(spark, tmp_path):
+    lines = [f"{i};{i}" if i % 3 else f"{i}" if i % 2 else f"{i};w" for i in range(300)]
+    path = text(tmp_path, ["a;b", *lines])
+    target = shared_folder(spark)
+    good, bad = write_split(read_checked(spark, path), target)
+    assert good.columns == ["a", "b"] and good.count() == 200 and bad.count() == 100
+    counts = {r["reason"]: r["n"] for r in reason_counts(bad).collect()}
+    assert counts == {"1 cells instead of 2": 50, "not a number in column b": 50}
+
+
+def test_splitting_a_file_without_bad_or_good_rows(spark, tmp_path):
+    for name, line, sizes in (("good", "1;2", (1, 0)), ("bad", "1", (0, 1)), ("none", None, (0, 0))):
+        (tmp_path / name).mkdir()
+        path = text(tmp_path / name, ["a;b", *filter(None, [line])])
+        good, bad = write_split(read_checked(spark, path), shared_folder(spark))
+        assert (good.count(), bad.count()) == sizes
+
+
+def test_jobs_quarantine_and_refuse_other_options(spark, tmp_path):
+    path = text(tmp_path, ["x;y", *(f"{i % 5};{int(i % 5 > 2)}" for i in range(60)), "1", "1;2;3", "w;1"])
+    place = shared_folder(spark)
+    assert read_clean(spark, path, quarantine_path=place).count() == 60
+    assert spark.read.parquet(place).where("is_bad = 'true'").count() == 3
+    with pytest.raises(ValueError, match="quarantine_path"):
+        read_clean(spark, path, infer_schema=True, quarantine_path=place)
+    forest = build_forest(numTrees=1, maxDepth=2)
+    model = shared_folder(spark)
+    train_job(spark, path, model, "y", forest=forest, grid={"maxDepth": [2]}, quarantine_path=shared_folder(spark))
+    scored = score_job(spark, path, model, quarantine_path=shared_folder(spark))
+    assert {(r["y"], r["predicted"]) for r in scored.collect()} == {(0.0, "0.0"), (1.0, "1.0")}
+
+
+# --- types ------------------------------------------------------------------------------
+
+CELLS = {
+    "ints": ["1", "-7", "+3", None, "0012"],
+    "longs": ["1", "9000000000", None, "2", "3"],
+    "wide": ["1", "123456789012345678901234", "5", "6", "7"],
+    "wide_alone": ["12345678901234567890", "12345678901234567891", None, "12345678901234567890", "12345678901234567890"],
+    "too_wide": ["1" * 40, "2", "3", "4", "5"],
+    "doubles": ["1", "2.5", "1e3", "NaN", "-Infinity"],
+    "dates": ["2024-01-02", "2023-12-31", None, "2024-02-29", "2024-01-01"],
+    "moments": ["2024-01-02 10:00:00", "2024-01-02T10:00:00Z", "2024-01-02 10:00:00.5", None, "2024-01-02 10:00"],
+    "truths": ["true", "FALSE", "True", None, "false"],
+    "words": ["a", "1", "b", None, "true"],
+    "numbers_and_truths": ["1", "true", "2", "3", "4"],
+    "numbers_and_dates": ["1", "2024-01-02", "2", "3", "4"],
+    "nothing": [None] * 5,
+}
+
+
+def test_profiled_types_equal_inferred_ones(spark, tmp_path):
+    lines = [";".join(CELLS[name][i] or "" for name in CELLS) for i in range(5)]
+    path = text(tmp_path, [";".join(CELLS), *lines])
+    inferred = read_delimited(spark, path).schema
+    profile = profile_columns(read_delimited(spark, path, infer_schema=False))
+    found = {f.name: f.dataType for f in profiled_schema(profile).fields}
+    assert found == {f.name: f.dataType for f in inferred.fields}
+    named = {r["name"]: r["type"] for r in profiled_types(profile).collect()}
+    assert named == {name: kind.simpleString() for name, kind in found.items()}
+
+
+def test_profile_of_line_items_equals_inference_by_one_scan(spark, sf_dir):
+    path = damaged_csv(table(spark, sf_dir, "lineitem"))
+    raw = read_delimited(spark, path, infer_schema=False)
+    profile = profile_columns(raw)
+    assert scans(profile) == 1
+    schema = profiled_schema(profile)
+    inferred = read_delimited(spark, path).schema
+    assert [f.dataType for f in schema.fields] == [f.dataType for f in inferred.fields]
+    assert read_delimited(spark, path, schema=schema).count() == raw.count()
+
+
+def test_profile_counts_what_cleaning_loses(spark, tmp_path):
+    lines = [";".join(CELLS[name][i] or "" for name in CELLS) for i in range(5)]
+    raw = read_delimited(spark, text(tmp_path, [";".join(CELLS), *lines]), infer_schema=False)
+    clean, cells = clean_columns(raw).collect(), raw.collect()
+    for row in profile_columns(raw).collect():
+        name = row["name"]
+        values = [r[name] for r in clean if r[name] is not None and r[name] == r[name]]
+        assert row["n_bad"] == sum(c[name] is not None and r[name] is None for c, r in zip(cells, clean)), name
+        assert (row["n_rows"], row["n_null"]) == (5, sum(c[name] is None for c in cells))
+        assert (row["least"], row["greatest"]) == ((min(values), max(values)) if values else (None, None))
+
+
+def test_profile_merges_whatever_the_partitions(spark):
+    rows = [(str(i) if i % 7 else "x" * (i % 3),) for i in range(100)]
+    one, many = (profile_columns(spark.createDataFrame(rows, "a string").repartition(n)) for n in (1, 9))
+    assert one.collect() == many.collect()
+
+
+def test_profile_of_no_rows_and_of_numbers(spark):
+    row = profile_columns(spark.createDataFrame([], "a string")).collect()[0]
+    assert (row["kinds"], row["n_rows"], row["least"]) == (0, 0, None)
+    assert column_type(0, None) == T.StringType()
+    with pytest.raises(ValueError, match="not text"):
+        profile_columns(spark.range(3).toDF("a"))
+
+
+# --- leaks ------------------------------------------------------------------------------
+
+
+def test_leak_report_equals_counting(spark):
+    rows = [(i % 2, i % 4, float(i), None if i % 3 else 1, i % 2) for i in range(40)] + [(None, 0, 0.0, 0, 0)]
+    df = spark.createDataFrame(rows, "y int, coarse int, own double, gaps int, `odd name` int")
+    found = {r["feature"]: r for r in leak_report(df, "y").collect()}
+    assert set(found) == {"coarse", "own", "gaps", "odd name"}
+    assert [found[n]["is_leak"] for n in ("coarse", "odd name", "own", "gaps")] == [True, True, False, False]
+    assert (found["own"]["n_decided"], found["own"]["n_repeated"], found["own"]["share"]) == (40, 0, 0.0)
+    assert (found["gaps"]["n_values"], found["gaps"]["n_rows"]) == (2, 40)
+    rounded = {r["feature"]: r for r in leak_report(df, "y", ["own"], digits=-1).collect()}
+    assert rounded["own"]["n_values"] < 8 and not rounded["own"]["is_leak"]
+
+
+def test_leak_report_scans_once_and_merges(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    assert scans(class_histograms(df, "l_returnflag", ["l_tax", "l_discount", "l_shipdate"])) == 1
+
+
+# --- lookups ----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("size", [0, lookup.BROADCAST_BYTES])
+def test_lookup_both_ways_with_unknown_and_null(spark, size):
+    df = spark.createDataFrame([("b",), ("a",), ("b",), (None,), ("z",)], "kind string")
+    labels = materialise(label_table(df.where("kind <> 'z'"), "kind"))
+    indexed = lookup.with_index(df, "kind", labels, "label", size)
+    back = lookup.with_label(indexed, "label", labels, "again", size)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == bool(size)
+    rows = sorted(((r["kind"], r["label"], r["again"]) for r in back.collect()), key=str)
+    assert rows == sorted([("a", 1.0, "a"), ("b", 0.0, "b"), ("b", 0.0, "b"), (None, None, None), ("z", None, None)], key=str)
+    with pytest.raises(ValueError, match="collide"):
+        lookup.with_index(df, "kind", labels, "KIND")
+
+
+@pytest.mark.parametrize("size", [0, lookup.BROADCAST_BYTES])
+def test_scoring_with_as_many_labels_as_orders(spark, sf_dir, size):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("double").alias("x"))
+    n = orders.count()
+    model = fit_pipeline(orders, "o_orderkey", build_forest(numTrees=1, maxDepth=1, maxBins=4, bootstrap=False), ["x"])
+    scored = score_batch(model, orders.drop("o_orderkey"), broadcast_bytes=size)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == bool(size) and len(plan) < 50_000
+    labels = next(s for s in model.stages if hasattr(s, "labels")).labels
+    rows = scored.select("prediction", "predicted").collect()
+    assert len(rows) == n and all(labels[int(r["prediction"])] == r["predicted"] for r in rows)
+
+
+# --- published models -------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def two_models(spark):
+    df = spark.createDataFrame([(float(i), int(i > 5), int(i > 7)) for i in range(12)], "x double, a int, b int")
+    forest = build_forest(numTrees=1, maxDepth=1, bootstrap=False)
+    return [fit_pipeline(df.select("x", y), y, forest, ["x"]) for y in ("a", "b")], df
+
+
+def root(spark, path):
+    return tree_nodes(spark, path).where("node_id = 0").collect()[0]["threshold"]
+
+
+def test_a_failed_save_leaves_the_old_model(spark, two_models, monkeypatch):
+    (old, new), _ = two_models
+    path = shared_folder(spark)
+    publish_model(old, path)
+    before = root(spark, path)
+
+    class Breaking:
+        def __init__(self, writer):
+            self.writer = writer
+
+        def save(self, folder):
+            self.writer.save(folder)
+            spark.range(1).write.mode("overwrite").parquet(f"{folder}/stages")  # half of it is gone
+            raise OSError("disk full")
+
+    write = PipelineModel.write
+    monkeypatch.setattr(PipelineModel, "write", lambda self: Breaking(write(self)))
+    with pytest.raises(OSError, match="disk full"):
+        publish_model(new, path)
+    monkeypatch.undo()
+    assert len(model_versions(spark, path)) == 1 and root(spark, path) == before
+    assert load_model(path).uid == old.uid
+    publish_model(new, path)
+    assert load_model(path).uid == new.uid and root(spark, path) != before
+
+
+def test_versions_are_kept_named_and_pruned(spark, two_models):
+    (old, new), df = two_models
+    path = shared_folder(spark)
+    names = [publish_model(m, path) for m in (old, new, old)]
+    assert model_versions(spark, path) == names[::-1]
+    assert load_model(path, names[1]).uid == new.uid
+    assert prune_models(spark, path, keep=1) == [names[1], names[0]]
+    assert model_versions(spark, path) == [names[2]] and prune_models(spark, path, keep=1) == []
+    assert score_batch(load_model(path), df).count() == 12
+    with pytest.raises(Exception):
+        load_model(path, names[0])
+    again = publish_model(new, path)
+    assert model_versions(spark, path) == [again, names[2]]
+    with pytest.raises(ValueError, match="current"):
+        prune_models(spark, path, keep=0)
+
+
+def test_plain_folders_still_load(spark, two_models):
+    (old, _), _ = two_models
+    path = shared_folder(spark)
+    save_model(old, path)
+    assert load_model(path).uid == old.uid and models.model_folder(spark, path) == path
+    assert model_versions(spark, path) == []
+
+
+# --- metric sink ------------------------------------------------------------------------
+
+
+def test_a_retried_job_writes_its_metrics_once(spark, tmp_path):
+    data = text(tmp_path, ["x;y", *(f"{i % 5};{int(i % 5 > 2)}" for i in range(60))])
+    model, sink = shared_folder(spark), shared_folder(spark)
+    assert read_metrics(spark, sink).count() == 0
+    train_job(
+        spark, data, model, "y", forest=build_forest(numTrees=1, maxDepth=2), grid={"maxDepth": [2]}, versioned=True
+    )
+    for batch in ("monday", "tuesday", "monday"):
+        evaluate_job(spark, data, model, metrics_path=sink, batch=batch)
+    rows = sorted((r["batch"], r["metric"], r["value"]) for r in read_metrics(spark, sink).collect())
+    assert rows == [(b, m, 1.0) for b in ("monday", "tuesday") for m in ("accuracy", "weighted_f1")]
+
+
+def test_metrics_of_another_run_replace_the_old_ones(spark):
+    sink = shared_folder(spark)
+    for value in (0.25, 0.5):
+        df = spark.createDataFrame([("accuracy", value)], "metric string, value double")
+        write_metrics(df, sink, "m/1", "2024-01-01")
+    assert [tuple(r) for r in read_metrics(spark, sink).collect()] == [("accuracy", 0.5, "m/1", "2024-01-01")]
+    with pytest.raises(ValueError, match="empty"):
+        write_metrics(df, sink, "", "b")

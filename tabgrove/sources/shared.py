@@ -57,37 +57,41 @@ def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
     The table stays, as checkpoints do; ``materialised`` removes it.
     """
-    return _write(lay_out(df, partitions))[0]
+    return written(lay_out(df, partitions))[0]
 
 
 @contextmanager
 def materialised(df: DataFrame, partitions: int | None = None) -> Iterator[DataFrame]:
     """``materialise`` for the length of a ``with`` block; the rows are deleted after it."""
-    scan, path = _write(lay_out(df, partitions))
+    scan, path = written(lay_out(df, partitions))
     try:
         yield scan
     finally:
         emptied(scan.sparkSession, path)
 
 
-def _write(df: DataFrame) -> tuple[DataFrame, str]:
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``materialise``, with the table's place, which the caller may empty."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    with _shuffles_removed(spark):
+    # A written table needs the shuffle files of its query no more; the driver would keep
+    # them until it happens to collect garbage.
+    with settings(spark, {_CLEANUP: True}):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Remove the shuffle files of each query that ends meanwhile: a written table needs
-    them no more, and the driver would keep them until it happens to collect garbage."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, True)
+def settings(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    """Session settings for the length of a ``with`` block."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 def emptied(spark: SparkSession, path: str) -> None:

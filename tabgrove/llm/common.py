@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tabgrove.sources.shared import materialise
+from tabgrove.sources.shared import emptied, materialise, written
 
 # Spark's monotonically_increasing_id: the partition above these bits, the row below.
 ROW_BITS = 33
@@ -53,35 +54,59 @@ def ranked(
     return out.select(*df.columns, position.cast("long").alias(name))
 
 
+def identified(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with ``name``, a number that no two rows share and that ascends with ``key``.
+
+    Keys that are unique and not NULL, as one narrow count tells, are their own numbers;
+    else the rows are ranked by key, NULL first, and written in that order.
+    """
+    n, distinct = df.agg(F.count("*"), F.count_distinct(key)).collect()[0]
+    return df.withColumn(name, F.col(key).cast("long")) if n == distinct else ranked(df, [key], name=name)
+
+
+def merged(left: DataFrame, right: DataFrame, names: Sequence[str] | str, how: str = "inner") -> DataFrame:
+    """Join tables that both grow with the corpus: by a merge at every size, so that the
+    driver builds no broadcast of what happens to be small."""
+    return left.join(right.hint("merge"), names, how)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node of ``edges(a, b)``: its smallest reachable node.
 
     Alternates large and small stars until the edges stop changing. Each round is two
-    grouped minima and two joins over edges written in the shared folder; neither edges
-    nor components reach the driver. Self-loops, NULL ends and repeats are ignored.
+    grouped minima and two joins over edges written in the shared folder, which are
+    counted as they are written; neither edges nor components reach the driver, and the
+    round before is emptied. Self-loops, NULL ends and repeats are ignored.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = materialise(pairs.distinct())
-    mark = None
-    while mark != (mark := _mark(now)):
+    spark = edges.sparkSession
+    now, path, mark = _marked(pairs.distinct())
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         least = least.select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = merged(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        near = large.join(least, "a")
+        near = merged(large, least, "a")
         small = near.select("a", F.col("m").alias("b")).unionByName(
             near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
-        now = materialise(small.distinct())
+        before, old = mark, path
+        now, path, mark = _marked(small.distinct())
+        emptied(spark, old)
+        if mark == before:
+            break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).collect()[0]
-    return row[0], row[1] or 0
+def _marked(edges: DataFrame) -> tuple[DataFrame, str, tuple[int, int]]:
+    """The edges as a written table, its place, and their number and a hash of them all."""
+    seen = Observation()
+    hashed = F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))
+    table, path = written(edges.observe(seen, F.count("*").alias("n"), hashed.alias("mark")))
+    return table, path, (seen.get["n"], seen.get["mark"])
 
 
 def slices(batch: pa.RecordBatch, rows: int = 2000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -132,41 +157,42 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, ends - ends[0]
 
 
-class Prefixes:
-    """Polynomial hashes of any slice of a byte array, modulo 2**64.
+def run_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Two unrelated 64-bit hashes, a row of two, of each run of bytes from one start to the
+    next; the last one ends with ``data``.
 
-    A slice's hash is a difference of running sums, brought to a common power by the
-    inverse of the odd base, then mixed with the slice's length.
+    Distinct runs are hashed as they are, byte strings of any length by a 128-bit hash:
+    no pattern of letters makes two of them equal.
     """
-
-    BASE = 0x9E3779B97F4A7C15 | 1
-    INVERSE = pow(BASE, -1, 2**64)
-
-    def __init__(self, data: np.ndarray) -> None:
-        n = len(data) + 1
-        powers = _powers(self.BASE, n)
-        self.inverse = _powers(self.INVERSE, n)
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=self.sums[1:])
-
-    def slices(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.inverse[start]
-        return mixed(h ^ mixed((end - start).astype(np.uint64) + np.uint64(seed)))
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        if size <= 1 << 23:
-            _POWERS[base] = have
-    return have[:n]
+    if not len(starts):
+        return np.zeros((0, 2), np.uint64)
+    offsets = np.append(starts, len(data)).astype(np.int64)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+    each = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist()))
+    return np.frombuffer(each, "<u8").reshape(-1, 2)[coded.indices.to_numpy()]
+
+
+def chained(words: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each run of ``size`` words from ``head`` on, from the words' hashes: one
+    word after the other is mixed in, so order and number count."""
+    h = mixed(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    for k in range(int(size.max(initial=0))):
+        on = size > k
+        if on.all():
+            h = mixed(h * np.uint64(3) + words[head + k])
+        else:
+            h[on] = mixed(h[on] * np.uint64(3) + words[head[on] + k])
+    return h
+
+
+def summed(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each run of words ``first[i]:first[i + 1]``, of any length: the sum of the
+    words' hashes, each mixed with its place."""
+    place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
+    each = mixed(words + mixed(place.astype(np.uint64) + np.uint64(1)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each)])
+    return mixed((sums[first[1:]] - sums[first[:-1]]) ^ mixed(np.diff(first).astype(np.uint64)))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -7,12 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabgrove.llm.common import Prefixes, in_arrow, mixed, ranked, slices, utf8
+from tabgrove.llm.common import in_arrow, mixed, ranked, run_hashes, slices, utf8
 from tabgrove.sources.shared import materialise
 
 # Buckets of hashed n-grams, the pseudo-count of each, and how many target texts are used.
 BUCKETS, SMOOTHING, MAX_TARGET = 1 << 16, 1.0, 200_000
 
+# Hex digits of a row's draw.
+DIGITS = 12
+
 # Classes of a byte: white space, punctuation, digit, lower case (and all of non-ASCII),
 # upper case.
 BLANK, MARK, DIGIT, LOW, HIGH = range(5)
@@ -41,9 +44,9 @@ def features(flat: np.ndarray, ends: np.ndarray, buckets: int) -> tuple[np.ndarr
     at = np.flatnonzero(change)
     start, stop = at[:-1], at[1:]
     solid = part[start] != BLANK if len(start) else np.zeros(0, bool)
+    word = run_hashes(_FOLD[flat], start)[solid, 0]
     start, stop = start[solid], stop[solid]
     text = np.searchsorted(ends, start, side="right") - 1
-    word = Prefixes(_FOLD[flat]).slices(start, stop)
 
     lows = np.concatenate([[0], np.cumsum(kind == LOW)])
     highs = np.concatenate([[0], np.cumsum(kind == HIGH)])
@@ -151,16 +154,18 @@ def resample(
     probabilities under the two; the k rows with the largest log weight plus Gumbel noise
     are a sample without replacement in proportion to the weights. k is ``keep`` times
     all rows, by default the good share of the labels, so that a clean table's rows stay.
-    The noise is hashed from key and seed, so reruns agree.
+    The noise comes from the md5 of seed and key, so reruns agree.
 
-    NULL and empty texts have log weight 0. Repeated keys draw the same noise and are
-    told apart by their weight, then by their place. Without labels every row is kept.
-    The k largest are found by ranges; no range or row set is collected.
+    NULL and empty texts have log weight 0. Repeated keys, and NULL keys among themselves,
+    draw the same noise and are told apart by their weight, then by their place. Without
+    labels every row is kept, of an empty table none; other columns are not read. The k
+    largest are found by ranges; no range or row set is collected.
     """
     targets, share = bounded_targets(labels, key, quality, max_target)
     ratios = log_ratios(ngram_counts(df, key, text, targets, buckets), buckets)
     scored = materialise(log_weights(df, key, text, ratios))
-    u = (F.shiftrightunsigned(F.xxhash64("key", F.lit(seed)), 11).cast("double") + 0.5) * 2.0**-53
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit(""))))
+    u = (F.conv(F.substring(drawn, 1, DIGITS), 16, 10).cast("double") + 0.5) / 16.0**DIGITS
     placed = ranked(scored.withColumn("cost", -(F.col("log_weight") - F.log(-F.log(u)))), ["cost", "key"], name="rank")
     k = round((share if keep is None else keep) * scored.count())
     return placed.select(F.col("key").alias(key), "log_weight", "rank", (F.col("rank") < k).alias("kept"))

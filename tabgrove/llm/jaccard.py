@@ -7,10 +7,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabgrove.llm.common import Prefixes, components, in_arrow, mixed, ranked, slices, squeezed, utf8
+from tabgrove.llm.common import chained, components, in_arrow, merged, ranked, run_hashes, slices, squeezed, summed, utf8
 from tabgrove.sources.shared import materialise
 
 WORDS, PERCENT = 5, 80
@@ -29,25 +29,17 @@ def shingle_sets(batch: pa.RecordBatch, words: int) -> tuple[list[np.ndarray], n
     A-Z in lower case; words end at blanks and ASCII white space. With fewer words than a
     shingle the whole sequence is one; without words the set is empty.
     """
-    data, start, end, first = squeezed(*utf8(batch["text"]))
+    data, start, _, first = squeezed(*utf8(batch["text"]))
     n = np.diff(first)
     size = np.where(n >= words, n - words + 1, np.minimum(n, 1))
     begin = np.concatenate([[0], np.cumsum(size)])
     of = np.repeat(np.arange(len(n)), size)
     head = first[:-1][of] + np.arange(begin[-1]) - begin[:-1][of]
-    tail = np.where(n[of] >= words, head + words, first[1:][of]) - 1
-    prefixes = Prefixes(data)
-    hashes = prefixes.slices(start[head], end[tail]) if len(head) else np.zeros(0, np.uint64)
+    each = run_hashes(data, start)
+    hashes = chained(np.ascontiguousarray(each[:, 0]), head, np.minimum(n, words)[of])
     sets = [np.unique(hashes[a:b]) for a, b in zip(begin.tolist(), begin[1:].tolist())]
-    some = n > 0
-    whole = np.zeros((2, len(n)), np.uint64)
-    if some.any():
-        a, b = start[first[:-1][some]], end[first[1:][some] - 1]
-        whole[0, some] = prefixes.slices(a, b, seed=1)
-        folded = np.zeros(len(n), np.uint64)
-        np.add.at(folded, of, mixed(hashes + np.uint64(7)) * (2 * head.astype(np.uint64) + np.uint64(1) - 2 * first[:-1][of].astype(np.uint64)))
-        whole[1] = folded
-    return sets, whole[0], whole[1]
+    h1, h2 = (np.where(n > 0, summed(np.ascontiguousarray(each[:, i]), first), 0).astype(np.uint64) for i in (0, 1))
+    return sets, h1, h2
 
 
 PROFILE = "kind string, key {key}, h1 long, h2 long, n long"
@@ -183,7 +175,7 @@ def with_least(lists: DataFrame, value: str, name: str) -> DataFrame:
     )
     often = lists.where("NOT rare")
     ends = often.groupBy("token").agg(F.min(value).alias(f"{name}_low"), F.max(value).alias(f"{name}_high"))
-    both = rare.unionByName(often.join(ends, "token").select(*rare.columns))
+    both = rare.unionByName(merged(often, ends, "token").select(*rare.columns))
     return both.where(f"{name}_low <> {name}_high")
 
 
@@ -196,8 +188,11 @@ def verified(
     fixed size over hashed keys. Sets are sent to the pair's second node, then to its first.
     """
     wanted = materialise(
-        pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        .join(contents, "node").select("node", "rep", "h1", "h2")
+        merged(
+            pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(),
+            contents,
+            "node",
+        ).select("node", "rep", "h1", "h2")
     )
     place = F.shiftrightunsigned(F.xxhash64("rep"), 64 - TABLE_BITS)
     words_ = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("word")).agg(
@@ -223,10 +218,10 @@ def verified(
     hashed = df.withColumn("place", F.shiftrightunsigned(F.xxhash64("key"), 64 - TABLE_BITS))
     kind = df.schema["key"].dataType.simpleString()
     found = in_arrow(hashed, f"key {kind}, h1 long, h2 long, members array<long>", make)
-    sets = wanted.join(found, (wanted.rep.eqNullSafe(found.key)) & (wanted.h1 == found.h1) & (wanted.h2 == found.h2))
+    sets = wanted.join(found.hint("merge"), (wanted.rep.eqNullSafe(found.key)) & (wanted.h1 == found.h1) & (wanted.h2 == found.h2))
     sets = materialise(sets.select("node", "members").groupBy("node").agg(F.first("members").alias("members")))
-    second = pairs.join(sets.toDF("b", "of_b"), "b")
-    both = second.join(sets.toDF("a", "of_a"), "a")
+    second = merged(pairs, sets.toDF("b", "of_b"), "b")
+    both = merged(second, sets.toDF("a", "of_a"), "a")
     common = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - common
     return materialise(both.where(100 * common >= percent * union).select("a", "b"))
@@ -249,7 +244,7 @@ def possible(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and parities allow the threshold."""
     left = contents.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     right = contents.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    joined = pairs.join(left, "a").join(right, "b").where(
+    joined = merged(merged(pairs, left, "a"), right, "b").where(
         100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     )
 
@@ -265,15 +260,38 @@ def possible(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
 def across(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of one list and of different components that sizes and parities allow.
 
-    ``lists`` has token, node, component, n and parity. A long list is cut into blocks, and
-    each pair of blocks is a group of its own; a task looks at the pairs of its groups and
-    sends on only those that may be links.
+    ``lists`` has token, node, component, n and parity. A long list is dealt into bands of
+    sizes, such that sets which reach the threshold lie in one band or in neighbours, and
+    each band into blocks; a pair of blocks is a group of its own. A task looks at the
+    pairs of its groups and sends on only those that may be links.
     """
-    sizes = lists.groupBy("token").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = lists.join(sizes, "token").withColumn("blocks", blocks)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "token"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # A little wider than the ratio that sizes may have, so that rounding does no harm.
+    width = max(1e-6, -math.log(percent / 100) + 1e-9)
+    band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+    rows = lists.withColumn("band", band)
+    bands = rows.groupBy("token", "band").agg(F.count("*").alias("m"))
+    sizes = bands.groupBy("token").agg(
+        F.sum("m").alias("m"),
+        F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("m") / BLOCK).cast("int")))).alias("blocks"),
+    )
+    sizes = sizes.withColumn("blocks", F.when(F.col("m") > BLOCK, F.col("blocks")))
+    rows = merged(rows, sizes.drop("m"), "token")
+
+    def block(band_: Column, number: Column) -> Column:
+        return F.shiftleft(band_.cast("long"), 32) + number
+
+    def blocks_of(band_: Column) -> Column:
+        """Numbers of a band's blocks; a band that the list lacks has none."""
+        held = F.coalesce(F.try_element_at("blocks", band_), F.lit(0))
+        every = F.transform(F.sequence(F.lit(0), held - 1), lambda i: block(band_, i))
+        return F.when(held > 0, every).otherwise(F.array().cast("array<bigint>"))
+
+    here = F.col("band")
+    own = block(here, F.pmod(F.xxhash64("node", "token"), F.element_at("blocks", here)))
+    near = F.concat(*(blocks_of(here + step) for step in (-1, 0, 1)))
+    whole = F.col("blocks").isNull()
+    rows = rows.withColumn("own", F.when(whole, F.lit(0).cast("long")).otherwise(own))
+    rows = rows.withColumn("other", F.explode(F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(near)))
     rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     group = ["token", "low", "high"]
     dealt = rows.repartition(*group).sortWithinPartitions(*group, "n")
@@ -387,16 +405,16 @@ def jaccard_components(
     found = each.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("key").alias("rep"))
     nodes = ranked(found, ["rep", "h1", "h2"], name="node").drop("n")
     rows = prefix_rows(docs, levels, words, percent)
-    rows = rows.join(nodes, ["h1", "h2"]).withColumn("p1", F.xxhash64("prefix")).withColumn(
+    rows = merged(rows, nodes, ["h1", "h2"]).withColumn("p1", F.xxhash64("prefix")).withColumn(
         "p2", F.xxhash64(F.lit(1), "prefix")
     )
     # A content that several tasks have seen comes once from each.
     contents = materialise(rows.dropDuplicates(["h1", "h2"]))
     marks = ["n", "p1", "p2"]
     leaders = contents.groupBy(*marks).agg(F.min("node").alias("leader"))
-    members = materialise(contents.join(leaders, marks).select("node", "leader"))
+    members = materialise(merged(contents, leaders, marks).select("node", "leader"))
 
-    lead = contents.join(members.where("node = leader").select("node"), "node")
+    lead = merged(contents, members.where("node = leader").select("node"), "node")
     listed = lead.select("node", "cold", F.posexplode("prefix").alias("place", "token"))
     listed = listed.select("token", "node", (F.col("place") < F.col("cold")).alias("rare"))
     lists = materialise(with_least(listed, "node", "node").select("token", "node", "rare", "node_low"))
@@ -407,27 +425,26 @@ def jaccard_components(
     first = components(links)
 
     parts = materialise(
-        members.join(first, "node", "left").select("node", "leader", F.coalesce("component", "node").alias("component"))
+        merged(members, first, "node", "left").select("node", "leader", F.coalesce("component", "node").alias("component"))
     )
-    expanded = lists.select("token", F.col("node").alias("leader"), "rare").join(parts, "leader")
+    expanded = merged(lists.select("token", F.col("node").alias("leader"), "rare"), parts, "leader")
     within = parts.select(F.xxhash64(F.lit("group"), "leader").alias("token"), "leader", F.lit(False).alias("rare"), "node", "component")
     crowded = parts.groupBy("leader").agg(F.count("*").alias("m")).where("m > 1").select("leader")
-    within = within.join(crowded, "leader")
+    within = merged(within, crowded, "leader")
     open_lists = with_least(expanded.unionByName(within), "component", "component")
     # Lists of frequent shingles are few rows but many pairs: they get the long parity.
     sized = contents.select("node", "n", "parity", "fine")
-    open_lists = open_lists.select("token", "node", "component", "rare").join(sized, "node")
+    open_lists = merged(open_lists.select("token", "node", "component", "rare"), sized, "node")
     open_lists = open_lists.withColumn("parity", F.when(F.col("rare"), F.col("parity")).otherwise(F.col("fine")))
     open_lists = open_lists.drop("rare", "fine")
-    rest = across(open_lists, percent).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = materialise(rest)
+    rest = materialise(merged(across(open_lists, percent).distinct(), tried, ["a", "b"], "left_anti"))
     more = verified(docs, rest, contents, words, percent)
     final = components(links.unionByName(more))
 
     reps = nodes.select(F.col("node").alias("component"), F.col("rep").alias("lead"))
-    named = final.join(reps, "component").select("node", "lead")
-    by_content = nodes.join(named, "node", "left").select("h1", "h2", F.coalesce("lead", "rep").alias("lead"))
-    out = each.where("n > 0").join(by_content, ["h1", "h2"]).select("key", "n", "lead")
+    named = merged(final, reps, "component").select("node", "lead")
+    by_content = merged(nodes, named, "node", "left").select("h1", "h2", F.coalesce("lead", "rep").alias("lead"))
+    out = merged(each.where("n > 0"), by_content, ["h1", "h2"]).select("key", "n", "lead")
     lone = each.where("n = 0").select("key", "n", F.col("key").alias("lead"))
     return out.unionByName(lone).select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("lead").alias("component_id")

@@ -9,12 +9,13 @@ from urllib.parse import quote
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from tabgrove.llm.bpe import encoder
-from tabgrove.llm.common import in_arrow
-from tabgrove.sources.shared import materialise, shared_folder
+from tabgrove.llm.common import slices
+from tabgrove.sources.shared import materialise, settings, shared_folder
 
 # Tokens of a block.
 BLOCK = 1 << 18
@@ -22,28 +23,68 @@ BLOCK = 1 << 18
 TOGETHER, TASK = 64, 1 << 25
 
 
-def write_token_files(df: DataFrame, text: str, rank_file: bytes, separator: int, path: str) -> None:
-    """Encode every text and write flat files of 16-bit little-endian ids, a separator after
-    each document, one file for each input split; nothing else is in them.
+def write_token_files(
+    df: DataFrame, text: str, rank_file: bytes, separator: int, path: str, key: str | None = None
+) -> None:
+    """Encode every text and write flat files of 16-bit little-endian ids under
+    ``path/kind=tokens``, a separator after each document, one file for each input split;
+    nothing else is in them.
 
     Spark's text writer puts the bytes out as they are and the separator's two bytes as
     the line end, so any filesystem and its commit protocol serve. NULL texts are empty.
+
+    With ``key`` the same tasks also write ``path/kind=keys``: the number of each document
+    in its file, and its key. A task writes both files as rows come, so that they agree
+    whatever the splits of any other scan are. See ``read_keys``.
     """
     if not 0 <= separator < 1 << 16:
         raise ValueError("ids have 16 bits")
 
-    def make(batch: pa.RecordBatch) -> dict:
+    def make(batch: pa.RecordBatch, before: int) -> Iterator[pa.RecordBatch]:
         ids, starts = encoder(rank_file).encode([x or "" for x in batch["text"].to_pylist()])
         if len(ids) and (ids.max() >= 1 << 16 or (ids == separator).any()):
             raise ValueError("an id needs more than 16 bits or is the separator")
         data = ids.astype("<u2").tobytes()
         cuts = (starts * 2).tolist()
-        return {"value": [data[a:b] for a, b in zip(cuts, cuts[1:])]}
+        yield rows("tokens", [data[a:b] for a, b in zip(cuts, cuts[1:])])
+        if key is not None:
+            told = (k.encode().hex() if k is not None else "-" for k in batch["key"].to_pylist())
+            yield rows("keys", [f"{before + i} {k}".encode() for i, k in enumerate(told)])
+
+    def rows(kind: str, values: list[bytes]) -> pa.RecordBatch:
+        arrays = [pa.array(values, pa.binary()), pa.array([kind] * len(values), pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, names=["value", "kind"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            for some in slices(batch, 500):
+                yield from make(some, before)
+                before += some.num_rows
+
+    named = F.col(key).cast("string") if key is not None else F.lit(None).cast("string")
+    encoded = df.select(F.col(text).alias("text"), named.alias("key")).mapInArrow(run, "value binary, kind string")
+    lines = encoded.select(F.col("value").cast("string").alias("value"), "kind")
+    # Both kinds are open at once: rows are written as they come, without a sort.
+    with settings(df.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": 8}):
+        lines.write.partitionBy("kind").options(**_line_end(separator)).text(path)
+
+
+def _line_end(separator: int) -> dict[str, str]:
+    return {"lineSep": separator.to_bytes(2, "little").decode("latin-1"), "encoding": "ISO-8859-1"}
+
+
+def read_keys(spark: SparkSession, path: str, separator: int, kind: DataType) -> DataFrame:
+    """``(part, document, key)`` of the documents that ``write_token_files`` wrote: the
+    number of the file, the document's number in it, and its key."""
+    lines = spark.read.options(**_line_end(separator)).text(f"{path}/kind=keys")
+    told = F.split("value", " ")
+    key = F.when(told[1] != "-", F.unhex(told[1]).cast("string")).cast(kind)
+    return lines.select(_part("_metadata.file_name"), told[0].cast("long").alias("document"), key.alias("key"))
+
 
-    encoded = in_arrow(df.select(F.col(text).alias("text")), "value binary", make, rows=500)
-    end = separator.to_bytes(2, "little").decode("latin-1")
-    lines = encoded.select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", end).option("encoding", "ISO-8859-1").text(path)
+def _part(file: str) -> Column:
+    return F.regexp_extract(file, r"part-(\d+)", 1).cast("long").alias("part")
 
 
 def opened(path: str) -> pa.NativeFile:
@@ -161,18 +202,19 @@ def documents_token_counts(
 ) -> DataFrame:
     """``(key, n_tokens)`` of every document, counted from token files of the whole table.
 
-    The files hold no keys: the n-th document of a file is the n-th row of the split it
-    was written from, which ``monotonically_increasing_id`` numbers in the same way.
-    Files whose documents are not as many as the split's rows raise.
+    The files hold no keys. The tasks that write them number their documents and write
+    number and key apart; counts and keys meet by file and number. A difference between
+    the two raises. Repeated and NULL keys keep their rows, NULL and empty texts count 0,
+    other columns are not read, an empty table gives no rows.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
-    write_token_files(df, text, rank_file, separator, path)
-    counted = count_tokens(spark, path, separator)
-    split = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
-    counted = counted.select(F.shiftleft(split, 33).bitwiseOR(F.col("document")).alias("row"), "n_tokens")
-    keys = df.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"))
-    both = keys.join(counted, "row", "full")
-    lost = F.raise_error(F.lit("token files and table differ in their documents"))
-    n = F.when(F.col("n_tokens").isNull() | keys.row.isNull(), lost.cast("long")).otherwise(F.col("n_tokens"))
+    write_token_files(df, text, rank_file, separator, path, key)
+    if df.isEmpty():
+        return df.select(F.col(key).alias(key), F.lit(0).cast("long").alias("n_tokens")).limit(0)
+    counted = count_tokens(spark, f"{path}/kind=tokens", separator).select(_part("file"), "document", "n_tokens")
+    keys = read_keys(spark, path, separator, df.schema[key].dataType).withColumn("known", F.lit(True))
+    both = keys.join(counted, ["part", "document"], "full")
+    lost = F.raise_error(F.lit("token files and keys differ in their documents")).cast("long")
+    n = F.when(F.col("n_tokens").isNull() | F.col("known").isNull(), lost).otherwise(F.col("n_tokens"))
     return both.select(F.col("key").alias(key), n.alias("n_tokens"))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,27 +85,65 @@ def sensitivity(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(part, 0.0) for part in parts))
 
 
-def strength(value: str) -> float:
+# Counts of a value's characters stop growing here: its bits are far above FULL_BITS then.
+MOST = 1 << 40
+
+
+@dataclass(frozen=True)
+class Value:
+    """What a value's score and spans need of it, whatever its length.
+
+    ``counts`` of its characters, whether a literal in it is only a ``placeholder``, the
+    ``spans`` of its own literals and the values (by number) that it takes over by name.
+    """
+
+    counts: dict[str, int]
+    placeholder: bool
+    spans: tuple[tuple[int, int], ...]
+    parts: tuple[int, ...]
+
+
+def literal(text: str, span: tuple[int, int]) -> Value:
+    return Value(dict(Counter(text)), bool(PLACEHOLDER.search(text)), (span,), ())
+
+
+def joined_value(values: list[Value], named: list[int]) -> Value:
+    """Literals and named values one after the other, without their text."""
+    longest = max(range(len(values)), key=lambda i: len(values[i].counts))
+    counts = dict(values[longest].counts)
+    for value in values[:longest] + values[longest + 1 :]:
+        for c, n in value.counts.items():
+            counts[c] = min(MOST, counts.get(c, 0) + n)
+    own = [s for v, at in zip(values, named) if at < 0 for s in v.spans]
+    parts = tuple(dict.fromkeys(at for at in named if at >= 0))
+    return Value(counts, any(v.placeholder for v in values), tuple(own), parts)
+
+
+def strength(value: Value) -> float:
     """How much a value looks like a secret, 0 to 1: its bits by the entropy of its
     characters, less for letters alone, nothing for placeholders or white space."""
-    if len(value) < 8 or PLACEHOLDER.search(value) or any(c.isspace() for c in value):
+    n = sum(value.counts.values())
+    if n < 8 or value.placeholder or len(value.counts) < 2 or any(c.isspace() for c in value.counts):
         return 0.0
-    n = len(value)
-    bits = -sum(c * math.log2(c / n) for c in Counter(value).values())
-    return min(1.0, bits / FULL_BITS) * (0.4 if value.isalpha() else 1.0)
+    bits = -sum(c * math.log2(c / n) for c in value.counts.values())
+    return min(1.0, bits / FULL_BITS) * (0.4 if all(c.isalpha() for c in value.counts) else 1.0)
 
 
-def pairs(text: str) -> list[tuple[str, str, tuple[tuple[int, int], ...]]]:
-    """Name-literal pairs in order: name, value, and the spans of the literals behind it.
+def pairs(text: str) -> tuple[list[tuple[str, int]], list[Value]]:
+    """Name-literal pairs in order, as names and numbers of values, and the values.
 
     Reads ``name = value``, ``name := value``, ``name: value``, ``"name": value``, ``name =>
     value`` and ``table["name"] = value`` with quoted or bare values, and ``name: type =
     value`` with quoted values and names of earlier pairs; there the literal is behind the
     type's word too, which may be a name (``else: password = "..."``). A value may join quoted literals and names of earlier pairs by
     ``+`` or by standing next to each other; those names hold their last value, so
-    constants reach the names they are assigned to.
+    constants reach the names they are assigned to. A value refers to those it takes over:
+    what is held grows with the text, not with the lengths of joined values.
     """
-    found, known, past = [], {}, 0
+    found: list[tuple[str, int]] = []
+    values: list[Value] = []
+    known: dict[str, int] = {}
+    past = 0
     for operator in OPERATOR.finditer(text):
         at = operator.start()
         if at < past or text[at + 1 : at + 2] == "=" and text[at] == "=":
@@ -131,13 +172,16 @@ def pairs(text: str) -> list[tuple[str, str, tuple[tuple[int, int], ...]]]:
             continue
         typed = _typed(text, at, known)
         after = typed.end() if typed else at + 1 + (text[at : at + 2] in (":=", "=>"))
-        value, spans, past = _value(text, after, known)
-        if spans:
-            known[name[0]] = value, spans
-            found.append((name[0], value, spans))
+        value, past = _value(text, after, known, values)
+        if value is not None:
+            if isinstance(value, Value):
+                values.append(value)
+                value = len(values) - 1
+            known[name[0]] = value
+            found.append((name[0], value))
             if typed:
-                found.append((typed[1], value, spans))
-    return found
+                found.append((typed[1], value))
+    return found, values
 
 
 def _typed(text: str, at: int, known: dict) -> re.Match | None:
@@ -150,24 +194,29 @@ def _typed(text: str, at: int, known: dict) -> re.Match | None:
     return typed
 
 
-def _value(text: str, at: int, known: dict) -> tuple[str, tuple[tuple[int, int], ...], int]:
-    """The value that begins at ``at``, its literals' spans, and where reading stopped."""
-    value, spans, stop = [], [], at
+def _value(
+    text: str, at: int, known: dict[str, int], values: list[Value]
+) -> tuple[Value | int | None, int]:
+    """The value that begins at ``at``, and where reading stopped: a new one, the number of
+    one that it is by name alone, or None."""
+    pieces: list[Value] = []
+    named: list[int] = []
+    stop = at
     while True:
         while text[at : at + 1] in (" ", "\t"):
             at += 1
         if quoted := QUOTED.match(text, at):
             begin, at = quoted.start(1) + 1, quoted.end()
-            value.append(text[begin : at - 1])
-            spans.append((begin, at - 1))
+            pieces.append(literal(text[begin : at - 1], (begin, at - 1)))
+            named.append(-1)
         elif (bare := BARE.match(text, at)) and text[bare.end() : bare.end() + 1] not in ("(", "[", ":"):
             if bare[0] in known:
                 at = bare.end()
-                value.append(known[bare[0]][0])
-                spans.extend(known[bare[0]][1])
-            elif not value:
+                pieces.append(values[known[bare[0]]])
+                named.append(known[bare[0]])
+            elif not pieces:
                 at = bare.end()
-                return bare[0], ((bare.start(), at),), at
+                return literal(bare[0], (bare.start(), at)), at
             else:
                 break
         else:
@@ -177,29 +226,45 @@ def _value(text: str, at: int, known: dict) -> tuple[str, tuple[tuple[int, int],
             at += 1
         if text[at : at + 1] == "+":
             at += 1
-    return "".join(value), tuple(dict.fromkeys(spans)), stop
+    if len(named) == 1 and named[0] >= 0:
+        return named[0], stop
+    return (joined_value(pieces, named) if pieces else None), stop
 
 
 def literal_spans(text: str) -> list[tuple[str, int, int, str, float]]:
     """Literals behind sensitive names, ``("literal", start, end, name, score)``; the score
-    is the name's sensitivity times the whole value's strength."""
+    is the name's sensitivity times the whole value's strength.
+
+    A value's best name is handed on to the values it takes over, the last ones first, so
+    each value is looked at once however often it is named.
+    """
     best: dict[tuple[int, int], tuple[float, str]] = {}
     if "=" in text or ":" in text:
-        for name, value, spans in pairs(text):
+        found, values = pairs(text)
+        scores: dict[int, tuple[float, str]] = {}
+        for name, at in found:
             score = sensitivity(name)
-            if score >= REPORTED and (score := score * strength(value)) >= REPORTED:
-                for span in spans:
+            if score >= REPORTED and (score := score * strength(values[at])) >= REPORTED:
+                scores[at] = max(scores.get(at, (0.0, "")), (score, name))
+        for at in range(max(scores, default=-1), -1, -1):
+            if own := scores.get(at):
+                for part in values[at].parts:
+                    scores[part] = max(scores.get(part, (0.0, "")), own)
+                for span in values[at].spans:
                     if span[0] < span[1]:
-                        best[span] = max(best.get(span, (0.0, "")), (score, name))
+                        best[span] = max(best.get(span, (0.0, "")), own)
     return [("literal", *span, name, score) for span, (score, name) in best.items()]
 
 
 def spans_of(text: str) -> list[tuple[str, int, int, str | None, float]]:
     """All spans by start, then kind. A literal inside a base span is not added."""
     base = base_spans(text)
-    added = [
-        span for span in literal_spans(text) if not any(a <= span[1] and span[2] <= b for _, a, b in base)
-    ]
+    starts, reach = [a for _, a, _ in base], list(accumulate((b for _, _, b in base), max))
+    added = []
+    for span in literal_spans(text):
+        before = bisect_right(starts, span[1])
+        if not before or reach[before - 1] < span[2]:
+            added.append(span)
     return sorted([(*span, None, 1.0) for span in base] + added, key=_place)
 
 

@@ -32,9 +32,9 @@ WITH m AS (
   UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok'
   FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role))
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, md5(text))) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(15 + length(role) + length(text)
       + length(regexp_replace(role, '[^\\#<:]', '', 'g'))
       + length(regexp_replace(text, '[^\\#<]', '', 'g')))::BIGINT AS formatted_chars
@@ -134,9 +134,92 @@ FROM total JOIN v USING (vec_id), digest
     )
 
 
+# The draw of each shard by the md5 of key and shard, and slots by key. The CRC-32 of the
+# bytes: one for each bit, by the table of what eight shifts make of a byte.
+_SHARDS = r"""
+WITH RECURSIVE step(b, i, c) AS (
+  SELECT b::BIGINT, 0, b::BIGINT FROM range(256) t(b)
+  UNION ALL SELECT b, i + 1, CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END FROM step WHERE i < 8),
+crc AS (SELECT list(c ORDER BY b) AS crc FROM step WHERE i = 8),
+d AS (
+  SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, ''))::BIGINT + 8 AS size FROM documents),
+c AS (
+  SELECT doc_id, size, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], list_transform(
+      range(1, strlen(text)::BIGINT + 1), lambda i: ('0x' || substr(hex(encode(text)), 2 * i - 1, 2))::BIGINT)),
+    lambda r, x: xor(r // 256, crc[(xor(r % 256, x)) + 1]))) AS text_crc32
+  FROM d, crc),
+draw AS (
+  SELECT doc_id, s, -ln((('0x' || substr(md5('0:' || doc_id::VARCHAR || ':' || s::VARCHAR), 1, 12))::BIGINT + 0.5)
+    / 281474976710656.0::DOUBLE) AS d FROM documents, range(25) t(s)),
+won AS (
+  SELECT doc_id, arg_min(s, d) FILTER (s < 24)::INT AS shard, arg_min(s, d)::INT AS grown_shard FROM draw GROUP BY doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard
+FROM c JOIN won USING (doc_id)
+"""
+
+# Each source's target; its words in the order of a hash of the key, taken round and round.
+_MIXED = r"""
+WITH n AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+    md5('0:' || doc_id::VARCHAR) AS draw FROM documents),
+t AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM n GROUP BY source),
+level AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5
+      - coalesce(sum(2.0::DOUBLE * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM t WINDOW o AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST)),
+target AS (
+  SELECT source, source_size, CASE WHEN 2.0::DOUBLE * source_size <= level * weight THEN 2.0::DOUBLE * source_size
+    ELSE max(level) FILTER (2.0::DOUBLE * source_size > level * weight) OVER () * weight END AS target FROM level),
+placed AS (
+  SELECT n.*, source_size, target, least(round(target), 2 * source_size)::BIGINT AS words,
+    coalesce(sum(size) OVER (PARTITION BY n.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin
+  FROM n JOIN target t ON t.source IS NOT DISTINCT FROM n.source)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN source_size = 0 THEN 0 ELSE words // greatest(source_size, 1) * size
+    + greatest(0, least(size, words % greatest(source_size, 1) - begin)) END::BIGINT AS taken
+FROM placed
+"""
+
+# A sketch: 32 bits of the md5 of each shingle of five words, a quarter of them or, of up
+# to 64, all. A function of the text, used for each text and its edit.
+_SKETCHES = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lead(doc_id) OVER (ORDER BY doc_id) AS after,
+    min(doc_id) OVER () AS first FROM documents),
+e AS (
+  SELECT d.doc_id, d.text, n.text AS next_text, left(d.text, length(d.text) - length(d.text) // 2) || left(n.text, length(d.text) // 2) AS edited
+  FROM d JOIN d n ON n.doc_id = coalesce(d.after, d.first)),
+t AS (SELECT doc_id, 0 AS kind, text FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+w AS (SELECT doc_id, kind, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM t),
+h AS (
+  SELECT doc_id, kind, list_distinct(CASE WHEN len(words) = 0 THEN []::BIGINT[] ELSE [
+    ('0x' || substr(md5(array_to_string(words[i:i+4], ' ')), 1, 8))::BIGINT FOR i IN range(1, greatest(len(words) - 3, 2))] END) AS every FROM w),
+k AS (
+  SELECT doc_id, kind, list_sort(CASE WHEN len(every) <= 64 THEN every ELSE list_filter(every, lambda x: x < 1073741824) END) AS hashes FROM h),
+s AS (
+  SELECT e.*, o.hashes AS own, x.hashes AS edit, z.hashes AS next
+  FROM e JOIN d USING (doc_id) JOIN k o ON o.doc_id = e.doc_id AND o.kind = 0 JOIN k x ON x.doc_id = e.doc_id AND x.kind = 1
+    JOIN k z ON z.doc_id = coalesce(d.after, d.first) AND z.kind = 0),
+p AS (
+  SELECT *, CASE WHEN list_max(own) >= 1073741824 AND list_max(edit) >= 1073741824 THEN own ELSE list_filter(own, lambda x: x < 1073741824) END AS a,
+    CASE WHEN list_max(own) >= 1073741824 AND list_max(next) >= 1073741824 THEN own ELSE list_filter(own, lambda x: x < 1073741824) END AS b FROM s)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+  to_base64(unhex(array_to_string(list_transform(own, lambda x: printf('%08x', x)), ''))) AS fingerprint,
+  to_base64(unhex(array_to_string(list_transform(edit, lambda x: printf('%08x', x)), ''))) AS edited_fingerprint,
+  CASE WHEN len(a) > 0 THEN len(list_intersect(a, edit))::DOUBLE / len(a) ELSE (text = edited)::INT::DOUBLE END AS near_edited,
+  CASE WHEN len(b) > 0 THEN len(list_intersect(b, next))::DOUBLE / len(b) ELSE (text = next_text)::INT::DOUBLE END AS near_next
+FROM p
+"""
+
 ORACLES: dict[str, str] = {
     "op2_embedding_near_dedup": _VECTORS,
     "op6_ngram_jaccard_join": _JACCARD,
+    "op5_rendezvous_sharding": _SHARDS,
+    "op7_scaled_sketch": _SKETCHES,
+    "op8_source_mixing": _MIXED,
     "op9_reply_trees": _CHAT,
     "op12_vector_codes": _codes(),
     "op13_substring_dedup": _REPEATS,

@@ -9,22 +9,26 @@ from pyspark.sql import functions as F
 
 from tabgrove.llm.common import ranked
 
+# Hex digits of a draw.
+DIGITS = 12
+
 
 def rendezvous_shard(key: Column, weights: Sequence[float], seed: int = 0) -> Column:
     """The shard (int, from 0) that wins the draw for ``key``.
 
-    Each shard draws -ln(u) / weight, u hashed from key and shard alone, and the smallest
-    draw wins: a shard gets keys in proportion to its weight. A new shard can only win
+    Each shard draws -ln(u) / weight, u from the md5 of seed, key and shard alone, which any
+    engine can repeat, and the smallest draw wins, ties by number: a shard gets keys in proportion to its weight. A new shard can only win
     keys for itself, and one that leaves only loses its own. A shard of weight 0 gets
     nothing. Every NULL key goes to one shard, as every repeated key does.
     """
     if not weights or min(weights) < 0 or max(weights) <= 0:
         raise ValueError("weights must be 0 or more, at least one above 0")
     shares = F.array(*(F.lit(float(w)) for w in weights))
+    prefix = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(":"))
 
     def draw(shard: Column) -> Column:
-        drawn = F.shiftrightunsigned(F.xxhash64(key, shard, F.lit(seed)), 11)
-        u = (drawn.cast("double") + 0.5) * 2.0**-53
+        digits = F.substring(F.md5(F.concat(prefix, shard.cast("string"))), 1, DIGITS)
+        u = (F.conv(digits, 16, 10).cast("double") + 0.5) / 16.0**DIGITS
         weight = F.get(shares, shard)
         return F.struct(
             F.when(weight > 0, -F.log(u) / weight).otherwise(float("inf")).alias("draw"),

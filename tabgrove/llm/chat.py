@@ -144,13 +144,19 @@ def linear_trees(conversations: DataFrame) -> DataFrame:
     """Conversations in rows by turn as trees without branches, one message after another.
 
     Returns ``(tree, node, parent, score, role, text)``; ``node`` is the gapless place in
-    the conversation. Rows of one turn keep an order by role and text; repeated rows all
-    stay. NULL conversation ids are one conversation.
+    the conversation. Rows of one turn stand in order of role and the md5 of their text,
+    NULL first; repeated rows all stay. NULL conversation ids are one conversation, an
+    empty table gives none, other columns are not read. Places are found from ids, turns,
+    roles and hashes; texts join them once.
     """
     rows = conversations.select(F.col("conv_id").alias("tree"), "turn", "role", "text")
-    placed = ranked(rows, ["turn", "role", "text"], group=["tree"], name="node")
+    rows = materialise(rows.withColumn("at", F.monotonically_increasing_id()))
+    narrow = rows.select("tree", "turn", "role", F.md5("text").alias("mark"), "at")
+    placed = ranked(narrow, ["turn", "role", "mark"], group=["tree"], name="node")
     return materialise(
-        placed.select(
+        placed.select("tree", "node", "at")
+        .join(rows.select("at", "role", "text"), "at")
+        .select(
             "tree",
             "node",
             F.when(F.col("node") > 0, F.col("node") - 1).alias("parent"),

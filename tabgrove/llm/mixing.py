@@ -104,7 +104,7 @@ def mix(
     """
     narrow = materialise(
         df.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-        .withColumn("draw", F.xxhash64("key", F.lit(seed)))
+        .withColumn("draw", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit("")))))
     )
     targets = materialise(source_targets(narrow.select("source", "size"), weights, share, most))
     total, smallest = targets.agg(F.sum("target"), F.min(F.when(F.col("target") > 0, F.col("target")))).collect()[0]
@@ -249,3 +249,32 @@ def taken_words(mixed: Mix) -> DataFrame:
     return rows.select(
         "key", "seq", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
+
+
+def mixed_texts(df: DataFrame, key: str, text: str, mixed: Mix) -> DataFrame:
+    """The rows of ``df`` as often as the mix takes them, and ``is_part``: whether a row
+    holds only the first words of its text.
+
+    Only the document at which a source's words end is taken in part; its text is cut
+    behind a word, spaces between the words stay. Rows that repeat a key share what is
+    taken of them by their words. Documents without words have no part in the mix and
+    stay once. Columns of ``df`` keep their names and order, whatever these are.
+    """
+    names = [f"_{i}" for i in range(len(df.columns))]
+    rows = df.toDF(*names)
+    key, text = (names[df.columns.index(c)] for c in (key, text))
+    taken = taken_words(mixed).groupBy("key").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    whole = F.when(F.col("size") > 0, F.expr("taken div greatest(size, 1)")).otherwise(1)
+    times = taken.select(F.col("key").alias(key), "taken", "size", whole.cast("int").alias("whole"))
+    times = times.withColumn("left", F.col("taken") - F.col("whole") * F.col("size"))
+    times = times.withColumn("copies", F.col("whole") + F.when(F.col("left") > 0, 1).otherwise(0))
+    rows = joined(rows, times.where("copies > 0"), [key])
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    part = F.col("copy") > F.col("whole")
+    share = F.col("left") / F.greatest("size", F.lit(1)) * word_count(F.col(text))
+    rows = rows.withColumn("words", F.when(part, F.round(share).cast("int")))
+    rows = rows.where("words IS NULL OR words > 0")
+    ends = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    first = F.array_join(F.slice(ends, F.lit(1), F.col("words")), "")
+    rows = rows.withColumn(text, F.when(part, first).otherwise(F.col(text)))
+    return rows.select(*names, part.alias("is_part")).toDF(*df.columns, "is_part")

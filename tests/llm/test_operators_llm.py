@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -12,11 +15,12 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from tabgrove.llm import bpe, chat, importance, jaccard, mixing, secrets, sharding, sketch, token_files, vectors
 from tabgrove.llm.common import components, ranked
-from tabgrove.llm.queries import RANKS, SEPARATOR, op4_byte_bpe, op7_scaled_sketch, spans_text
+from tabgrove.llm.queries import RANKS, SEPARATOR, op3_secret_scan, op4_byte_bpe, op7_scaled_sketch, spans_text
 from tabgrove.sources.shared import shared_folder
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -113,6 +117,90 @@ def test_features_do_not_depend_on_how_texts_are_batched():
         assert sorted(alone) == sorted(whole[0][whole[1] == i])
 
 
+def plain_mixed(h):
+    """A mix of 64 bits, in whole numbers."""
+    m = 2**64 - 1
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & m
+    return h ^ h >> 31
+
+
+def plain_grams(text, buckets):
+    """Buckets of a text's n-grams, token by token."""
+    m, tokens = 2**64 - 1, []
+    kinds = rb"[\x09-\x0d\x1c-\x20]+|[0-9A-Za-z\x80-\xff]+|[^\x09-\x0d\x1c-\x200-9A-Za-z\x80-\xff]+"
+    for token in plain_tokens((text or "").encode(), kinds):
+        fold = bytes(b + 32 if 65 <= b <= 90 else b for b in token)
+        word = int.from_bytes(xxhash.xxh3_128_digest(fold)[:8], "little")
+        tokens.append((token, word))
+    shapes = []
+    for i, (token, word) in enumerate(tokens):
+        low = sum(97 <= b <= 122 or b >= 128 for b in token)
+        high = sum(65 <= b <= 90 for b in token)
+        if token[0] < 128 and not chr(token[0]).isalnum():
+            shape = word
+        elif low + high == 0:
+            shape = 1
+        elif high == 0:
+            shape = 2
+        elif low:
+            shape = 3
+        else:
+            shape = 4 if len(token) > 1 else 3
+        again = int(i > 0 and word == tokens[i - 1][1])
+        shapes.append(plain_mixed((shape * 2 + again) & m))
+    grams = [w for _, w in tokens]
+    grams += [plain_mixed((a * 3 + b) & m) for a, b in zip(shapes, shapes[1:])]
+    grams += [plain_mixed((plain_mixed((a * 5 + b) & m) + c) & m) for a, b, c in zip(shapes, shapes[1:], shapes[2:])]
+    return [g % buckets for g in grams]
+
+
+def plain_tokens(data, kinds):
+    """Words of letters and digits, runs of punctuation; blanks fall away."""
+    out = [m[0] for m in re.finditer(kinds, data)]
+    return [t for t in out if not re.fullmatch(rb"[\x09-\x0d\x1c-\x20]+", t)]
+
+
+def test_weights_and_sample_equal_a_plain_reference(spark):
+    draw = random.Random(31)
+    word = lambda c: "".join(draw.choice(c) for _ in range(draw.randint(1, 5)))
+    styles = ["abcdé", "ABcd", "%$# !", "0123", "ab\n\t.", "a1B2"]
+    texts = [" ".join(word(styles[draw.randint(0, i % 6)]) for _ in range(draw.randint(0, 40))) for i in range(150)]
+    texts += [None, "", " \n", "X", "x" * 20_000, "12 12 12 !! !!"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [rows[3], (None, texts[7]), (5, "other text 12")]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 120)] + [(None, 1), (5, None), (9999, 1)]
+    buckets, seed = 256, 0
+    good = {k for k, q in labels if k is not None and q == 1}
+    known = [(k, q) for k, q in labels if k is not None and q is not None]
+    raw, target = [0.0] * buckets, [0.0] * buckets
+    for k, t in rows:
+        for g in plain_grams(t, buckets):
+            raw[g] += 1
+            target[g] += k in good
+    total = sum(r + 1.0 for r in raw)
+    strength = buckets**0.5
+    share = [(r + 1.0) / total for r in raw]
+    ratio = [math.log((t + strength * s) / (sum(target) + strength)) - math.log(s) for t, s in zip(target, share)]
+    expected = []
+    for k, t in rows:
+        weight = sum(ratio[g] for g in plain_grams(t, buckets))
+        digits = hashlib.md5(f"{seed}:{'' if k is None else k}".encode()).hexdigest()[: importance.DIGITS]
+        u = (int(digits, 16) + 0.5) / 16.0**importance.DIGITS
+        expected.append((k, weight, weight - math.log(-math.log(u))))
+    kept = round(sum(q for _, q in known) / len(known) * len(rows))
+    limit = sorted((g for *_, g in expected), reverse=True)[kept - 1]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df = df.withColumns({n: F.lit("x") for n in ("key", "cost", "rank", "log_weight", "bucket")})
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    out = importance.resample(df, table, "doc_id", "text", buckets=buckets, seed=seed)
+    found = sorted(rows_of(out, "doc_id", "log_weight", "kept", "rank"), key=lambda r: r[3])
+    assert [r[3] for r in found] == list(range(len(rows)))
+    by_rank = sorted(expected, key=lambda e: -e[2])
+    for (k, weight, is_kept, _), (key, plain, cost) in zip(found, by_rank):
+        assert (k, is_kept) == (key, cost >= limit) and weight == pytest.approx(plain, abs=1e-6)
+
+
 # --- 2 ------------------------------------------------------------------------------------
 
 
@@ -159,21 +247,81 @@ def test_linked_vectors_match_all_pairs(spark, monkeypatch, bucket, block):
     assert vectors.link_vectors(df.limit(0)).count() == 0
 
 
-def test_estimates_are_unbiased_and_bounds_hold():
+def pairs_at(cosine, n, dim, draw):
+    """Pairs of unit vectors with a given cosine."""
+    a, w = draw.standard_normal((2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    w -= (w * a).sum(axis=1, keepdims=True) * a
+    return a, cosine * a + np.sqrt(1 - cosine**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+
+
+def test_estimates_are_unbiased():
     draw = np.random.default_rng(4)
     units = draw.standard_normal((200, 32))
     units /= np.linalg.norm(units, axis=1, keepdims=True)
-    exact = units @ units.T
-    errors = []
+    exact, errors = units @ units.T, []
     for seed in range(20):
-        codes, factors = vectors.encode(units, seed)
-        turned = units @ vectors.rotation(32, 0, seed).T
-        estimate, bound = vectors.upper_bounds(turned, codes, factors)
-        assert (bound >= exact).all()
-        errors.append((estimate - exact)[np.triu_indices(200, 1)].mean())
+        steps, step, factors, _ = vectors.encode(units, seed)
+        errors.append((vectors.estimates(steps, step, steps, factors) - exact)[np.triu_indices(200, 1)].mean())
     assert abs(np.mean(errors)) < 0.005
 
 
+@pytest.mark.parametrize("dim", [5, 16, 64])
+@pytest.mark.parametrize("failure", [0.02, 0.2])
+def test_confidence_bounds_fail_as_often_as_stated(dim, failure):
+    draw, missed, total = np.random.default_rng(6), 0, 0
+    for seed in range(40):
+        a, b = pairs_at(0.9, 100, dim, draw)
+        one, two = vectors.encode(a, seed), vectors.encode(b, seed)
+        about = np.diag(vectors.estimates(one[0], one[1], two[0], two[2]))
+        margin = np.diag(vectors.margins(np.zeros(100), two[2], dim, 0.9, failure))
+        missed, total = missed + int((about < 0.9 - margin).sum()), total + 100
+    assert 0.5 * failure < missed / total < 1.5 * failure + 0.005
+
+
+def test_bounds_at_the_registered_failure_miss_nothing_and_leave_little_open():
+    draw = np.random.default_rng(8)
+    for seed in range(30):
+        a, b = pairs_at(0.98, 500, 64, draw)
+        one, two = vectors.encode(a, seed), vectors.encode(b, seed)
+        about = vectors.estimates(one[0], one[1], two[0], two[2])
+        may = about >= 0.98 - vectors.margins(one[3], two[2], 64, 0.98)
+        assert np.diag(may).all() and may.mean() < 0.003  # all but the diagonal are unlike
+    assert vectors.confidence(3, 1e-9) == 1.0 > vectors.confidence(16, 1e-9) > vectors.confidence(64, 1e-9)
+
+
+def test_planted_links_by_the_registered_parameters(spark):
+    """More vectors of a label than one bucket takes: pairs around the threshold, a crowd,
+    copies; links, degrees and components equal those of all pairs."""
+    draw = np.random.default_rng(1)
+    a, b = pairs_at(draw.uniform(0.9795, 0.9815, (2500, 1)), 2500, 64, draw)
+    crowd = a[0] + 0.02 / np.sqrt(8) * draw.standard_normal((300, 64))
+    rest = draw.standard_normal((3000, 64))
+    every = np.concatenate([a, b, crowd, rest, np.repeat(a[5:6], 50, 0)]).astype(np.float32)
+    assert vectors.tables_for(len(every), 64, 0.98, vectors.MISS)[0] > 0
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(every)], "vec_id long, embedding array<float>, label int")
+    extra = {n: F.lit("x") for n in ("node", "rep", "dim", "steps", "links")}
+    found = {r[0]: r[1:] for r in rows_of(vectors.link_vectors(frame.withColumns(extra)), "vec_id", "n_links", "component_id")}
+    units = every.astype(np.float64)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    links = []
+    for at in range(0, len(units), 1000):
+        i, j = np.nonzero(units[at : at + 1000] @ units.T >= 0.98)
+        links += [(x, y) for x, y in zip((i + at).tolist(), j.tolist()) if x != y]
+    degree, part = defaultdict(int), reachable(range(len(units)), links)
+    for x, _ in links:
+        degree[x] += 1
+    assert found == {i: (degree[i], part[i]) for i in range(len(units))}
+
+
+def test_repeated_and_null_keys_of_vectors_keep_their_rows(spark):
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(7, v, 1), (7, w, 1), (7, v, 1), (None, v, 1), (9, w, 1), (3, v, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = rows_of(vectors.link_vectors(df), "vec_id", "n_links", "component_id")
+    assert sorted(found, key=str) == sorted([(7, 2, 7), (7, 1, 7), (7, 2, 7), (None, 2, 7), (9, 1, 7), (3, 0, 3)], key=str)
+
+
 # --- 3 ------------------------------------------------------------------------------------
 
 
@@ -242,6 +390,49 @@ def test_colons_that_are_no_types_keep_their_values():
     assert secrets.literal_spans('rows[0] = "q9w8e7r6t5y4"; note: str = "q9w8e7r6t5y4"; if x != "q9w8e7r6t5y4"') == []
 
 
+def test_constants_that_double_or_grow_stay_small():
+    text = 'x = "abcd1234"\n' + "x = x + x\n" * 40 + "password = x\n"
+    began = time.perf_counter()
+    assert [text[a:b] for _, a, b, *_ in secrets.literal_spans(text)] == ["abcd1234"]
+    assert time.perf_counter() - began < 1
+    lines = [f's = s + "q{i}z"' for i in range(100_000)]
+    text = 's = "a1b2"\n' + "\n".join(lines) + "\ntoken = s"
+    began = time.perf_counter()
+    spans = secrets.literal_spans(text)
+    assert time.perf_counter() - began < 3 and len(spans) == 100_001
+    assert {text[a:b] for _, a, b, *_ in spans} == {"a1b2", *(f"q{i}z" for i in range(100_000))}
+    text = 'password = "a1"\n' + "\n".join(f'password = password + "q{i}z"' for i in range(20_000))
+    began = time.perf_counter()
+    assert len(secrets.literal_spans(text)) == 20_001 and time.perf_counter() - began < 3
+
+
+def test_a_constant_counts_for_the_most_sensitive_name_it_reaches():
+    text = 'part = "q9w8e7r6t5y4"\nauthKey = part\nother = part + "u7i8"\npassword = other\nother = "plain"\n'
+    found = {text[a:b]: name for _, a, b, name, _ in secrets.literal_spans(text)}
+    assert found == {"q9w8e7r6t5y4": "password", "u7i8": "password"}
+    assert secrets.literal_spans('part = "changeme"\npassword = part + "q9w8e7r6t5"') == []
+
+
+def test_secret_digests_of_a_table_equal_plain_patterns(spark, tmp_path):
+    draw = random.Random(21)
+    bits = ["password", "Secret=", "token: ", "AKIA", "AKIAABCDEFGHIJKLMN", "0123456789abcdef", "é", " ", "=", "x" * 12, '"', "\n", "key"]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randint(0, 14))) for _ in range(400)] + [None, "", "a" * 50_000]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    found = rows_of(op3_secret_scan(spark, str(tmp_path)), *names)
+    assert len(found) == len(rows) + 1
+    for d, *counts, digest, spans in found:
+        base = plain_spans(texts[d] or "")
+        assert counts == [sum(s[0] == k for s in base) for k in ("assign", "access", "hex")]
+        told = [":".join(map(str, s)) for s in base]
+        assert digest == hashlib.sha256(",".join(told).encode()).hexdigest()
+        every = spans.split(",") if spans else []
+        assert [s for s in every if not s.startswith("literal:")] == told
+        starts = [int(s.split(":")[1]) for s in every]
+        assert starts == sorted(starts)
+
+
 def test_scan_and_redaction_keep_rows(spark, docs):
     secret = "é password = hunter2hunter2 end 0123456789abcdef0"
     df = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(secret)))
@@ -308,6 +499,38 @@ def test_token_files_count_every_document(spark, docs, library):
     assert sorted(rows_of(counted, "doc_id", "n_tokens")) == expected
 
 
+def test_token_counts_do_not_depend_on_how_later_scans_are_split(spark, library, tmp_path, monkeypatch):
+    """Settings that split the table otherwise change between writing and counting."""
+    texts = [None if i % 17 == 3 else f"text {i} " * (i % 40) for i in range(3000)]
+    frame = spark.createDataFrame([(i if i % 11 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    frame.repartition(6).write.parquet(f"{tmp_path}/t")
+    count = token_files.count_tokens
+
+    def otherwise(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        return count(*args)
+
+    monkeypatch.setattr(token_files, "count_tokens", otherwise)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        table = spark.read.parquet(f"{tmp_path}/t")
+        counted = token_files.documents_token_counts(table, "doc_id", "text", bpe.read_ranks(RANKS), SEPARATOR)
+        found = rows_of(counted, "doc_id", "n_tokens")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    expected = [(i if i % 11 else None, len(library.encode_ordinary(t or ""))) for i, t in enumerate(texts)]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+
+
+def test_token_counts_keep_text_keys_and_empty_tables(spark, library):
+    rows = [("a b", "one two"), (None, "x"), ("P\u00c4", None), ("", "y"), ("a b", "one two")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    ranks = bpe.read_ranks(RANKS)
+    found = rows_of(token_files.documents_token_counts(df, "doc_id", "text", ranks, SEPARATOR), "doc_id", "n_tokens")
+    assert sorted(found, key=str) == sorted(((k, len(library.encode_ordinary(t or ""))) for k, t in rows), key=str)
+    assert token_files.documents_token_counts(df.limit(0), "doc_id", "text", ranks, SEPARATOR).count() == 0
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1 << 18])
 def test_blocks_are_stitched(spark, block):
     path = shared_folder(spark)
@@ -412,6 +635,45 @@ def test_jaccard_components_match_all_pairs_in_a_crowd(spark, monkeypatch):
     check_jaccard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
 
 
+def regular(length, a="a", b="b"):
+    """Each half is the other with its two letters swapped: sums with powers of any odd
+    number cancel out modulo powers of two."""
+    text = a
+    while len(text) < length:
+        text += text.translate(str.maketrans(a + b, b + a))
+    return text
+
+
+def test_words_and_sequences_of_a_regular_pattern_stay_apart(spark):
+    one, two = regular(1024), regular(1024, "b", "a")
+    rest = [f"x{i}" for i in range(6)]
+    texts = [one, two, " ".join([*rest, one]), " ".join([*rest, two]), " ".join(one), " ".join(two)]
+    check_jaccard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    import pyarrow as pa
+
+    from tabgrove.llm.common import utf8
+
+    grams = [importance.features(*utf8(pa.array([t])), 1 << 20)[0].tolist() for t in (one, two)]
+    assert grams[0][0] != grams[1][0]
+
+
+@pytest.mark.parametrize("percent", [80, 50, 100])
+def test_long_lists_of_many_sizes_are_compared_by_bands(spark, monkeypatch, percent):
+    """One frequent beginning in texts of 5 to 80 words, whose sizes are most of what
+    tells them apart; every list is cut into bands and blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words[: 5 + i % 76] + ["end"] * (i % 2)) for i in range(220)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [shingles(t) for t in texts]
+    links = [
+        (a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    ]
+    part = reachable(range(len(sets)), links)
+    found = dict(rows_of(jaccard.jaccard_components(df, "doc_id", "text", percent=percent), "doc_id", "component_id"))
+    assert found == part
+
+
 # --- 7 ------------------------------------------------------------------------------------
 
 
@@ -443,27 +705,70 @@ def test_sketch_estimates_containment_and_merges(spark):
     assert spark.range(1).select(sketch.containment(sketch.sketch(F.lit(None).cast("string")), F.array(F.lit(1).cast("long")))).collect()[0][0] is None
 
 
-def test_registered_sketches_hold_short_texts(spark, tmp_path):
+def cut(text):
+    mine = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return {tuple(mine[i : i + 5]) for i in range(max(len(mine) - 4, min(1, len(mine))))}
+
+
+def read_fingerprint(text):
+    data = base64.b64decode(text)
+    return [int.from_bytes(data[i : i + 4], "big") for i in range(0, len(data), 4)]
+
+
+def test_registered_sketches_hold_short_texts_whole(spark, tmp_path):
     words = [f"w{i}" for i in range(40)]
     texts = [" ".join(words[:20]), " ".join(words[:16]), "a b c d e", "a b c d e f", "one", None, " ".join(words)]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     frame.write.parquet(f"{tmp_path}/documents.parquet")
-
-    def cut(text):
-        mine = (text or "").split()
-        return {tuple(mine[i : i + 5]) for i in range(max(len(mine) - 4, min(1, len(mine))))}
-
     rows = rows_of(op7_scaled_sketch(spark, str(tmp_path)), "doc_id", "fingerprint", "near_edited", "near_next")
     assert len(rows) == len(texts)
     for d, fingerprint, near_edited, near_next in rows:
         text, after = texts[d] or "", texts[(d + 1) % len(texts)] or ""
         edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
-        assert len(fingerprint.split(",")) == len(cut(text)) if cut(text) else fingerprint == ""
+        assert read_fingerprint(fingerprint) == sorted(
+            int(hashlib.md5(" ".join(s).encode()).hexdigest()[:8], 16) for s in cut(text)
+        )
         for found, other in ((near_edited, edited), (near_next, after)):
             expected = len(cut(text) & cut(other)) / len(cut(text)) if cut(text) else float(text == other)
             assert found == pytest.approx(expected)
 
 
+def test_registered_sketches_estimate_containment_within_their_error(spark, tmp_path):
+    """Long texts hold a quarter of their hashes. Estimates lie within five of the stated
+    deviations, and fingerprints are shorter than texts."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    for i in range(60):
+        words = [word() for _ in range(draw.choice([90, 400, 3000]))]
+        texts.append(" ".join(words))
+        texts.append(" ".join(words[: draw.randint(40, len(words))] + [word() for _ in range(draw.randint(0, 2000))]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = rows_of(op7_scaled_sketch(spark, str(tmp_path)), "doc_id", "fingerprint", "near_edited", "near_next")
+    deviations = []
+    for d, fingerprint, near_edited, near_next in rows:
+        text, after = texts[d], texts[(d + 1) % len(texts)]
+        edited, mine, held = text[: len(text) - len(text) // 2] + after[: len(text) // 2], cut(text), read_fingerprint(fingerprint)
+        assert 0 < len(held) < len(mine) and len(fingerprint) < len(text) and max(held) < 2**30
+        assert abs(len(held) - len(mine) / 4) <= 5 * (len(mine) * 3 / 16) ** 0.5
+        for found, other in ((near_edited, edited), (near_next, after)):
+            share = len(mine & cut(other)) / len(mine)
+            error = (share * (1 - share) / len(held)) ** 0.5
+            assert abs(found - share) <= 5 * error + 1e-9
+            deviations += [(found - share) / error] if error else []
+    assert abs(np.mean(deviations)) < 0.5 and 0.5 < np.std(deviations) < 1.5
+
+
+def test_sketches_of_unequal_texts_go_by_common_hashes(spark):
+    """A short text holds every hash, a long one a quarter: shares go by the quarter."""
+    words = [f"w{i}" for i in range(3000)]
+    df = spark.createDataFrame([(" ".join(words[100:160]), " ".join(words))], "a string, b string")
+    a, b = (sketch.sketch(F.col(c)) for c in "ab")
+    row = df.select(sketch.containment(a, b).alias("c"), F.size(a).alias("n"), sketch.resemblance(a, b).alias("r")).collect()[0]
+    assert (row["c"], row["n"]) == (1.0, 56) and 0 < row["r"] < 0.06
+
+
 # --- 8 ------------------------------------------------------------------------------------
 
 
@@ -532,6 +837,24 @@ def test_schedule_points_stay_evenly_spread(spark):
     assert dict(rows_of(df, "slot", "p")) == {x: x * mixing.GOLDEN % 2**mixing.BITS for x in slots}
 
 
+def test_mixed_texts_are_whole_or_first_words(spark):
+    rows = [(i, ("w%d " % i) * (i % 7), ("a", "b", None)[i % 3]) for i in range(90)] + [(90, None, "a"), (0, "again a b", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df = df.withColumns({n: F.lit("x") for n in ("key", "taken", "size", "copies", "whole", "left", "copy", "words")})
+    mixed = mixing.mix(df, "doc_id", "text", "source")
+    out = mixing.mixed_texts(df, "doc_id", "text", mixed)
+    assert out.columns == [*df.columns, "is_part"]
+    taken = defaultdict(int)
+    for text, source, part in rows_of(out, "text", "source", "is_part"):
+        taken[source] += len((text or "").split())
+        assert part is False or text
+    targets = dict(rows_of(mixed.targets, "source", "target"))
+    assert all(abs(taken[s] - targets[s]) <= 2 for s in targets)
+    wordless = {d for d, t, _ in rows if not (t or "").split()}
+    kept = [d for (d,) in rows_of(out, "doc_id") if d in wordless and d != 0]
+    assert sorted(kept) == sorted(wordless - {0})
+
+
 def test_mix_of_awkward_rows(docs):
     mixed = mixing.mix(docs, "doc_id", "text", "source")
     rows = rows_of(mixing.taken_words(mixed), "size", "taken")
@@ -579,3 +902,16 @@ def test_conversations_with_nulls_and_ties(spark):
     out = chat.format_paths(chat.choose_paths(messages), messages)
     found = {tree: chat.parse(text) for tree, text in rows_of(out, "tree", "formatted")}
     assert found == {1: [("user", "hi"), ("", "tie"), ("assistant", "")], None: [("assistant", "x")]}
+
+
+def test_conversations_with_repeats_long_texts_and_clashing_names(spark):
+    rows = [(1, 0, "user", t) for t in ("b", "a", "b", None, "")] + [(1, 1, "assistant", "x" * 300_000), (2, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    df = df.withColumns({n: F.lit("y") for n in ("tree", "node", "at", "mark", "leaf", "rank", "total", "up")})
+    messages = chat.linear_trees(df)
+    out = chat.format_paths(chat.choose_paths(messages), messages)
+    found = {tree: chat.parse(text) for tree, text in rows_of(out, "tree", "formatted")}
+    # Of one turn and role: NULL, then by the md5 of the text.
+    texts = sorted(("b", "a", "b", ""), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert found == {1: [("user", t) for t in ("", *texts)] + [("assistant", "x" * 300_000)], 2: [("", "")]}
+    assert chat.linear_trees(df.limit(0)).count() == 0

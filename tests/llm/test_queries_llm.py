@@ -8,9 +8,11 @@ import os
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tabgrove.llm.oracles import ORACLES
 from tabgrove.llm.queries import QUERIES
+from tabgrove.sources.shared import materialise
 
 NATIVE = ("op5_rendezvous_sharding", "op7_scaled_sketch", "op8_source_mixing")
 
@@ -47,7 +49,7 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ids = {row[0] for row in docs.select("doc_id").collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = corpus_pipeline.materialise(stage(spark, docs, sf_dir))
+        out = materialise(stage(spark, docs, sf_dir))
         assert out.columns == docs.columns
         now = {row[0] for row in out.select("doc_id").collect()}
         assert now and now <= ids
@@ -73,3 +75,51 @@ def test_mixture_takes_part_of_a_long_document(spark):
     assert all((texts[r["doc_id"]][1] or "").startswith(r["text"] or "") for r in out)
     assert all(len(r["text"] or "") == r["n_chars"] for r in out)
     assert sorted(r["doc_id"] for r in out if r["doc_id"] > 2) == [3, 4]
+
+
+ROWS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_documents(spark):
+    """Repeated rows, one id for unlike texts, NULL ids and texts, near copies, clashing names."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (1, base, "en", "a", 1), (1, base, "en", "a", 1), (2, base + " tail", "en", "a", 1), (3, "only this " * 9, "en", "b", 1),
+        (3, base.upper(), "en", "b", 1), (None, "nothing like it " * 8, "en", None, 1), (None, base, "en", None, 1),
+        (4, None, None, None, None), (4, None, None, None, None), (5, "", "en", "b", 0), (6, 'password = "q9w8e7r6t5y4"', "en", "b", 9),
+    ]
+    df = spark.createDataFrame(rows, ROWS)
+    return df.withColumns({n: F.lit("x") for n in ("row", "key", "kept", "copies", "words", "is_part", "component_id")})
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark, sf_dir):
+    out = corpus_pipeline.near_duplicates(spark, odd_documents(spark), sf_dir)
+    assert out.columns == corpus_pipeline.COLUMNS
+    found = [(r["doc_id"], (r["text"] or "").lower()[:9]) for r in out.collect()]
+    # The copies are one group, whose smallest id is NULL; texts without words are alone.
+    assert sorted(found, key=str) == sorted(
+        [(None, "w0 w1 w2 "), (3, "only this"), (None, "nothing l"), (4, ""), (4, ""), (5, ""), (6, "password ")], key=str
+    )
+
+
+def test_stages_keep_rows_of_shared_ids_apart(spark, tmp_path):
+    docs = odd_documents(spark)
+    spark.createDataFrame([(1, 1), (3, 0), (None, 1), (5, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert kept.count() == round(3 / 5 * 11)  # three of the five labelled rows are good
+    mixed = corpus_pipeline.mixture(spark, docs, "").collect()
+    assert all(r["n_chars"] in (None, 0, 1, 9, len(r["text"] or "")) for r in mixed)
+    assert sum(r["doc_id"] == 4 for r in mixed) == 2
+    masked = corpus_pipeline.secret_scan(spark, docs, "").collect()
+    assert len(masked) == 11 and not [r for r in masked if "q9w8e7r6t5y4" in (r["text"] or "")]
+    encoded = corpus_pipeline.encoding(spark, docs, "").collect()
+    assert [r["n_tokens"] for r in encoded if r["doc_id"] == 4] == [0, 0] and len(encoded) == 11
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    empty = odd_documents(spark).limit(0)
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    empty.select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages over the table of documents.
 
 Each stage takes and returns documents (doc_id, text, lang, source, n_chars); the last
-returns encoded documents. NULL texts pass every stage as NULL.
+returns encoded documents. Stages decide row by row: rows that repeat another, or share
+its doc_id, are documents of their own. NULL texts stay NULL up to the last stage, where
+they have no tokens. Other columns are dropped, an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -11,25 +13,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabgrove.llm import bpe, importance, jaccard, mixing, secrets
-from tabgrove.llm.common import joined
-from tabgrove.sources.shared import materialise
+from tabgrove.llm.common import identified, merged
+from tabgrove.sources.shared import emptied, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Documents with ``row``, by which a stage's decisions find their way back."""
+    return identified(docs.select(*COLUMNS), "doc_id", "row")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the importance sample drawn to look like the documents labelled good."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    drawn = importance.resample(docs, labels, "doc_id", "text").where("kept").select("doc_id").distinct()
-    return joined(docs.select(*COLUMNS), drawn, ["doc_id"], "left_semi")
+    """Keep the importance sample drawn to look like the documents labelled good; a label
+    holds for every row of its doc_id."""
+    rows = numbered(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    labels = labels.join(rows.select("doc_id", "row"), "doc_id").select("row", "quality")
+    drawn = importance.resample(rows, labels, "row", "text").where("kept").select("row")
+    return merged(rows, drawn, "row", "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of near copies."""
-    found = jaccard.jaccard_components(docs, "doc_id", "text")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return joined(docs.select(*COLUMNS), kept, ["doc_id"], "left_semi")
+    """Keep one document of each group of near copies, that of smallest doc_id; of equal
+    ones any."""
+    rows = numbered(docs)
+    found = jaccard.jaccard_components(rows, "row", "text")
+    return merged(rows, found.where("row = component_id").select("row"), "row", "left_semi").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,35 +50,18 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, and the first words of what it takes in part.
-
-    Only the document at which a source's words end is taken in part. Rows that repeat a
-    doc_id share what is taken of them by their words. Documents without words have no
-    part in the mix and stay once.
-    """
-    mixed = mixing.mix(docs, "doc_id", "text", "source")
-    taken = mixing.taken_words(mixed).groupBy("key").agg(
-        F.sum("taken").alias("taken"), F.sum("size").alias("size")
-    )
-    whole = F.when(F.col("size") > 0, F.expr("taken div greatest(size, 1)")).otherwise(1)
-    times = taken.select(F.col("key").alias("doc_id"), "taken", "size", whole.cast("int").alias("whole"))
-    times = times.withColumn("left", F.col("taken") - F.col("whole") * F.col("size"))
-    times = times.withColumn("copies", F.col("whole") + F.when(F.col("left") > 0, 1).otherwise(0))
-    rows = joined(docs.select(*COLUMNS), times.where("copies > 0"), ["doc_id"])
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    part = F.col("copy") > F.col("whole")
-    share = F.col("left") / F.greatest("size", F.lit(1)) * mixing.word_count(F.col("text"))
-    rows = rows.withColumn("words", F.when(part, F.round(share).cast("int")))
-    rows = rows.where("words IS NULL OR words > 0")
-    # Cut behind each word, so that the spaces between the words stay.
-    ends = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(part, F.array_join(F.slice(ends, F.lit(1), F.col("words")), "")).otherwise(F.col("text"))
-    n_chars = F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumn("text", text).withColumn("n_chars", n_chars).select(*COLUMNS)
+    """Each document as often as the mix takes it, and the first words of what it takes in
+    part; documents without words stay once."""
+    rows = numbered(docs)
+    mixed = mixing.mix(rows, "row", "text", "source")
+    taken = mixing.mixed_texts(rows, "row", "text", mixed)
+    n_chars = F.when(F.col("is_part"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return taken.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the byte at which each token begins."""
+    """Token ids of every document, and the byte at which each token begins; a NULL text
+    has none."""
     encoded = bpe.encode_texts(docs, "doc_id", "text", bpe.read_ranks(RANKS))
     return encoded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids", "offsets")
 
@@ -85,8 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again, so lineage stays short."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+    """All stages over documents, each written and read again, so lineage stays short; what
+    a stage has read is emptied once its own result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs, path = written(stage(spark, docs, sf_dir))
+        if before:
+            emptied(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

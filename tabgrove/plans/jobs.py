@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabgrove.functions.names import quoted
+from tabgrove.operators.bootstrap import bootstrap_confusion, metric_intervals
 from tabgrove.operators.clean import clean_columns
 from tabgrove.operators.evaluate import metrics_table
 from tabgrove.operators.features import build_assembler, select_features
-from tabgrove.operators.folds import FOLD_COL, assign_folds
+from tabgrove.operators.folds import FOLD_COL, assign_folds, assign_stratified_folds
 from tabgrove.operators.forest import build_forest, build_pipeline, check_added_names
 from tabgrove.operators.labels import fit_label_index
+from tabgrove.operators.leaks import leak_report
+from tabgrove.operators.profile import profile_columns, profiled_schema, profiled_types
 from tabgrove.operators.score import pipeline_forest, score_batch
 from tabgrove.operators.trials import run_trials
 from tabgrove.operators.tune import DEFAULT_GRID, Grid, Tuning, cross_validate
@@ -68,6 +71,8 @@ def train_classifier(
     max_labels: int | None = None,
     one_scan: bool = False,
     trial_log: str | None = None,
+    stratified: bool = False,
+    leak_threshold: float | None = None,
 ) -> Tuning:
     """Tune a forest on a clean table by cross-validation and refit the winner.
 
@@ -75,6 +80,10 @@ def train_classifier(
     trial; ``trial_log`` names a folder where a run that was stopped is taken up again.
     Both go by ``trials.run_trials``, whose ``metric`` is accuracy or weighted_f1.
 
+    ``stratified`` draws folds that each label is spread over evenly. With
+    ``leak_threshold`` a feature that alone decides that share of the labels raises before
+    anything is fitted (see ``leak_report``), at the cost of one scan.
+
     By default every column but the label and those that only name folds is a feature.
 
     The source is scanned once: the columns in use and the fold are written as a table
@@ -88,13 +97,19 @@ def train_classifier(
     forest = forest or build_forest()
     check_added_names([*chosen, label], forest)
     used = [F.col(quoted(name)) for name in dict.fromkeys([*chosen, label])]
-    if fold_col:
+    if stratified and (fold_col or fold_keys):
+        raise ValueError("stratified folds are drawn; fold_col and fold_keys name others")
+    if stratified:
+        table = assign_stratified_folds(df.select(*used), label, num_folds, seed)
+    elif fold_col:
         table = df.select(*used, F.col(quoted(fold_col)).cast("int").alias(FOLD_COL))
     else:
         table = assign_folds(df, num_folds, seed, fold_keys).select(*used, FOLD_COL)
     assembler = build_assembler(chosen, forest.getFeaturesCol(), handle_invalid)
 
     with materialised(table) as rows:
+        if leak_threshold is not None:
+            refuse_leaks(rows, label, [c for c in chosen if c != label], leak_threshold)
         indexer = fit_label_index(rows, label, forest.getLabelCol(), handle_invalid, max_labels)
         pipeline = build_pipeline(assembler, indexer, forest)
         if one_scan or trial_log:
@@ -102,6 +117,25 @@ def train_classifier(
         return cross_validate(rows, pipeline, grid, num_folds, FOLD_COL, metric, parallelism)
 
 
+def refuse_leaks(df: DataFrame, label: str, features: Sequence[str], threshold: float) -> None:
+    """Raise if a feature alone decides ``threshold`` of the labels, and name all that do."""
+    report = leak_report(df, label, features, threshold=threshold)
+    found = sorted(row["feature"] for row in report.where("is_leak").collect())
+    if found:
+        raise ValueError(f"features that decide the label {label!r} alone: {found}")
+
+
+def profile_job(spark: SparkSession, path: str | list[str], sep: str = ";") -> tuple[DataFrame, T.StructType]:
+    """The profile of a path's columns, one row each, and the schema that it stands for.
+
+    One pass over the text. The schema can be given to the other jobs, which then read
+    with types, without another pass to find them.
+    """
+    profile = profile_columns(read_delimited(spark, path, sep, infer_schema=False))
+    rows = spark.createDataFrame(profile.collect(), profile.schema)
+    return profiled_types(rows), profiled_schema(rows)
+
+
 def train_job(
     spark: SparkSession,
     input_path: str | list[str],
@@ -152,9 +186,16 @@ def evaluate_job(
     quarantine_path: str | None = None,
     metrics_path: str | None = None,
     batch: str | None = None,
+    replicates: int = 0,
+    row_keys: Sequence[str] | None = None,
+    level: float = 0.95,
 ) -> DataFrame:
     """Score a labelled path and return its ``(metric, value)`` table.
 
+    With ``replicates`` the table also has deviation and interval of each metric (``std,
+    low, high, n_replicates``), from bootstrap weights that the same scan draws by
+    ``row_keys``, columns that together name a row.
+
     With ``metrics_path`` the rows are also put into the table there, in place of those
     that an earlier run wrote for the same ``model_path`` and ``batch`` (by default the
     input path).
@@ -162,7 +203,14 @@ def evaluate_job(
     table = read_clean(spark, input_path, sep, infer_schema, schema, on_bad_cell, quarantine_path)
     model = load_model(model_path)
     forest = pipeline_forest(model)
-    metrics = metrics_table(score_batch(model, table), forest.getLabelCol(), forest.getPredictionCol())
+    scored = score_batch(model, table)
+    columns = forest.getLabelCol(), forest.getPredictionCol()
+    if replicates:
+        if not row_keys:
+            raise ValueError("row_keys name the columns that replicates are drawn by")
+        metrics = metric_intervals(bootstrap_confusion(scored, row_keys, *columns, replicates), level)
+    else:
+        metrics = metrics_table(scored, *columns)
     if metrics_path:
         paths = input_path if isinstance(input_path, str) else ",".join(input_path)
         write_metrics(metrics, metrics_path, model_path, batch or paths)

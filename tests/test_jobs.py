@@ -15,7 +15,7 @@ from tabgrove.operators.forest import build_forest, build_pipeline
 from tabgrove.operators.labels import fit_label_index
 from tabgrove.operators.score import score_batch
 from tabgrove.operators.tune import DEFAULT_GRID, cross_validate
-from tabgrove.plans.jobs import evaluate_job, score_job, train_classifier, train_job
+from tabgrove.plans.jobs import evaluate_job, profile_job, read_clean, score_job, train_classifier, train_job
 from tabgrove.plans.queries import TEXT_FEATURES, damaged_csv, labelled_texts
 from tabgrove.sources.shared import lay_out, materialise
 
@@ -194,3 +194,49 @@ def test_forest_beats_the_majority_on_held_out_texts(spark):
 def test_entry(spark):
     (row,) = contract.entry(spark).collect()
     assert row.n_held_out > row.n_good > 0
+
+
+def test_profile_gives_the_schema_of_the_other_jobs(spark, text_path):
+    profile, schema = profile_job(spark, text_path)
+    rows = {r["name"]: r for r in profile.collect()}
+    assert {n: r["type"] for n, r in rows.items()} == {
+        "fixed part": "double", "rest sugar": "int", "noise": "int", "grade": "int",
+    }
+    assert rows["grade"]["n_rows"] == 400 and (rows["grade"]["least"], rows["grade"]["greatest"]) == (5.0, 7.0)
+    typed = read_clean(spark, text_path, schema=schema)
+    assert typed.exceptAll(read_clean(spark, text_path)).count() == 0 and typed.count() == 400
+
+
+def test_training_refuses_leaks_on_request(spark):
+    rows = measurements(spark).withColumn("copy", F.col("grade") * 2.0)
+    with pytest.raises(ValueError, match=r"\['copy'\]"):
+        train_classifier(rows, "grade", forest=forest(), grid={"maxDepth": [2]}, leak_threshold=0.99)
+    trained = train_classifier(rows.drop("copy"), "grade", forest=forest(), grid={"maxDepth": [2]}, leak_threshold=0.99)
+    assert trained.trials.count() == 1
+    # A label among its features is insisted on, so it is not what is refused.
+    args = {"features": ["grade", "noise"], "allow_label_feature": True, "forest": forest(), "grid": {"maxDepth": [2]}}
+    assert train_classifier(rows, "grade", leak_threshold=0.99, **args).best["avg_metric"] == 1.0
+
+
+def test_training_over_stratified_folds(spark):
+    rows = measurements(spark).withColumn("grade", F.when(F.col("noise") > 9, 5).otherwise(F.col("grade")))
+    rare = rows.limit(2).withColumn("grade", F.lit(9).cast("int")).withColumn("noise", F.lit(77).cast("int"))
+    both = rows.unionByName(rare)
+    args = {"forest": forest(), "grid": {"maxDepth": [1, 4]}, "one_scan": True}
+    tuned = train_classifier(both, "grade", stratified=True, seed=2, **args)
+    # Both folds hold one row of the rare label, so both train on one.
+    counts = tuned.folds.select("fold").distinct().count()
+    assert counts == 2 and tuned.best["maxDepth"] == 4
+    with pytest.raises(ValueError, match="stratified"):
+        train_classifier(both, "grade", stratified=True, fold_keys=["noise"], **args)
+
+
+def test_evaluation_with_error_bars(spark, trained, text_path):
+    _, path = trained
+    plain = {r["metric"]: r["value"] for r in evaluate_job(spark, text_path, path).collect()}
+    keys = ["fixed part", "rest sugar", "noise"]
+    rows = evaluate_job(spark, text_path, path, replicates=20, row_keys=keys).collect()
+    assert {r["metric"]: r["value"] for r in rows} == pytest.approx(plain)
+    assert all(r["low"] <= r["value"] <= r["high"] and r["n_replicates"] == 20 for r in rows)
+    with pytest.raises(ValueError, match="row_keys"):
+        evaluate_job(spark, text_path, path, replicates=20)

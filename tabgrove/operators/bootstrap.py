@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import exp
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabgrove.functions.names import quoted
@@ -25,25 +25,29 @@ def poisson_limits() -> list[int]:
     return [x for x in limits if x < 16**DRAW_DIGITS]
 
 
-def replicate_weights(keys: Sequence[str], replicates: int, seed: int) -> Column:
-    """``array<struct<replicate, weight>>``: 1 in replicate 0, else drawn from Poisson(1).
+def with_replicates(df: DataFrame, keys: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """Each row of ``df`` once for each replicate it counts in, with ``replicate`` and
+    ``weight``: 1 in replicate 0, else drawn from Poisson(1).
 
     Draws are digits of the md5 of seed, number of four replicates, and the keys as text
     joined by ``|`` (NULL empty): they depend on nothing but the row's keys, so a rerun or
-    a retried task repeats them, and any engine can. Weights of 0 are left out.
+    a retried task repeats them, and any engine can. Rows stay where they are.
     """
     key = F.concat_ws("|", *(F.coalesce(F.col(quoted(k)).cast("string"), F.lit("")) for k in keys))
-    digests = [F.md5(F.concat(F.lit(f"{seed}:{block}:"), key)) for block in range(-(-replicates // DRAWS))]
-
-    def drawn(entry: Column, block: int, at: int) -> Column:
-        number = F.conv(F.substring(digests[block], at * DRAW_DIGITS + 1, DRAW_DIGITS), 16, 10).cast("long")
-        weight = sum(((number >= limit).cast("long") for limit in poisson_limits()), F.lit(0).cast("long"))
-        return F.struct(entry.alias("replicate"), weight.alias("weight"))
-
-    entries = [F.struct(F.lit(0).cast("long").alias("replicate"), F.lit(1).cast("long").alias("weight"))]
-    for r in range(replicates):
-        entries.append(drawn(F.lit(r + 1).cast("long"), r // DRAWS, r % DRAWS))
-    return F.array(*entries)
+    last = max(0, -(-replicates // DRAWS) - 1)
+    rows = df.withColumn("_key", key).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_block").cast("string"), F.lit(":"), F.col("_key")))
+    draws = [
+        F.conv(F.substring(digest, at * DRAW_DIGITS + 1, DRAW_DIGITS), 16, 10).cast("long") for at in range(DRAWS)
+    ]
+    # The rows themselves: a draw of 1, behind those of the first four replicates.
+    itself = F.lit(poisson_limits()[0]).cast("long")
+    every = F.when(F.col("_block") == 0, F.array(*draws, itself)).otherwise(F.array(*draws))
+    rows = rows.select("*", F.posexplode(every).alias("_at", "_draw"))
+    replicate = F.when(F.col("_at") < DRAWS, F.col("_block") * DRAWS + F.col("_at") + 1).otherwise(0)
+    weight = sum(((F.col("_draw") >= limit).cast("long") for limit in poisson_limits()), F.lit(0).cast("long"))
+    rows = rows.withColumn("replicate", replicate.cast("long")).withColumn("weight", weight)
+    return rows.where((F.col("replicate") <= replicates) & (F.col("weight") > 0)).drop("_key", "_block", "_at", "_draw")
 
 
 def bootstrap_confusion(
@@ -62,13 +66,14 @@ def bootstrap_confusion(
     shuffle, which moves labels x predictions x replicates rows a task at most. Rows that
     share their keys are drawn together, as clusters are.
     """
+    key_names = [f"_k{i}" for i in range(len(keys))]
     pairs = scored.select(
         present(label).alias("label"),
         present(prediction).alias("prediction"),
-        F.explode(replicate_weights(keys, replicates, seed)).alias("draw"),
+        *(F.col(quoted(k)).alias(name) for k, name in zip(keys, key_names)),
     )
-    counts = pairs.where("draw.weight > 0").groupBy("draw.replicate", "label", "prediction")
-    return counts.agg(F.sum("draw.weight").alias("n"))
+    counts = with_replicates(pairs, key_names, replicates, seed).groupBy("replicate", "label", "prediction")
+    return counts.agg(F.sum("weight").alias("n"))
 
 
 def metric_intervals(counts: DataFrame, level: float = 0.95) -> DataFrame:

@@ -9,7 +9,7 @@ from tabgrove.operators.folds import FOLD_COL, assign_stratified_folds, fold_cou
 from tabgrove.operators.forest import fit_pipeline
 from tabgrove.plans.jobs import train_classifier
 from tabgrove.plans.oracles import _F1, SIGNAL, _stump, _tuned_stump
-from tabgrove.plans.queries import Query, labelled_items, laid_out, ruled, stump, table
+from tabgrove.plans.queries import Query, labelled_items, laid_out, stump, table
 from tabgrove.sources.models import load_model, model_versions, prune_models, publish_model, tree_nodes
 from tabgrove.sources.shared import materialise, shared_folder
 
@@ -104,9 +104,8 @@ REPLICATES = 20
 
 def resampled(spark, sf_dir):
     """The rule's pairs with twenty replicates, drawn by the line items' key."""
-    label, prediction = (ruled(spark, sf_dir).columns[i] for i in (0, 1))
     rows = ruled_with_key(spark, sf_dir)
-    return bootstrap_confusion(rows, ["l_orderkey", "l_linenumber"], label, prediction, REPLICATES, seed=9)
+    return bootstrap_confusion(rows, ["l_orderkey", "l_linenumber"], replicates=REPLICATES, seed=9)
 
 
 def ruled_with_key(spark, sf_dir):

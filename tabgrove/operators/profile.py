@@ -72,34 +72,35 @@ def profile_columns(df: DataFrame) -> DataFrame:
     """``(pos, name, kinds, digits, n_rows, n_null, n_bad, least, greatest, first_text,
     last_text)`` per text column, names without header damage.
 
-    One scan and one row per task to merge. ``n_bad`` are cells that ``clean_columns``
-    would make NULL, ``least`` and ``greatest`` the extremes of those it reads as numbers,
-    the texts those of all cells by code point.
+    One scan. Cells become rows of (column, cell), so that the code does not grow with the
+    columns, and are summed up before the shuffle: one row per task and column is moved.
+    ``n_bad`` are cells that ``clean_columns`` would make NULL, ``least`` and ``greatest``
+    the extremes of those it reads as numbers, the texts those of all cells by code point.
     """
     other = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.StringType)]
     if other:
         raise ValueError(f"columns are not text: {other}")
-    rows = []
-    for pos, name in enumerate(df.columns):
-        cell = F.col(quoted(name))
-        kind, number = cell_kind(cell), number_or_null(cell)
-        seen = F.when(~F.isnan(number), number)
-        rows.append(
-            F.struct(
-                F.lit(pos).cast("long").alias("pos"),
-                F.lit(strip_quotes(name)).alias("name"),
-                F.coalesce(F.bit_or(kind), F.lit(0)).alias("kinds"),
-                F.max(F.when(kind == WIDE, _digits(cell))).alias("digits"),
-                F.count("*").alias("n_rows"),
-                F.count_if(cell.isNull()).alias("n_null"),
-                F.count_if(cell.isNotNull() & number.isNull()).alias("n_bad"),
-                F.min(seen).alias("least"),
-                F.max(seen).alias("greatest"),
-                F.min(cell).alias("first_text"),
-                F.max(cell).alias("last_text"),
-            )
-        )
-    return df.agg(F.array(*rows).alias("columns")).select(F.inline("columns"))
+    cells = df.select(F.posexplode(F.array(*(F.col(quoted(name)) for name in df.columns))).alias("pos", "cell"))
+    cell = F.col("cell")
+    cells = cells.select("pos", "cell", cell_kind(cell).alias("kind"), number_or_null(cell).alias("number"))
+    number, zero = F.col("number"), F.lit(0).cast("long")
+    seen = F.when(~F.isnan(number), number)
+    sums = cells.groupBy("pos").agg(
+        F.bit_or("kind").alias("kinds"),
+        F.max(F.when(F.col("kind") == WIDE, _digits(cell))).alias("digits"),
+        F.count("*").alias("n_rows"),
+        F.count_if(cell.isNull()).alias("n_null"),
+        F.count_if(cell.isNotNull() & number.isNull()).alias("n_bad"),
+        F.min(seen).alias("least"),
+        F.max(seen).alias("greatest"),
+        F.min(cell).alias("first_text"),
+        F.max(cell).alias("last_text"),
+    )
+    names = [(pos, strip_quotes(name)) for pos, name in enumerate(df.columns)]
+    columns = df.sparkSession.createDataFrame(names, "pos int, name string")
+    counts = {n: F.coalesce(n, zero) for n in ("n_rows", "n_null", "n_bad")}
+    rows = F.broadcast(columns).join(sums, "pos", "left").withColumns(counts)
+    return rows.withColumns({"pos": F.col("pos").cast("long"), "kinds": F.coalesce("kinds", F.lit(0))})
 
 
 def profiled_schema(profile: DataFrame) -> T.StructType:

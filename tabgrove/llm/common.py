@@ -157,20 +157,35 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, ends - ends[0]
 
 
+# Masks of the first 0 to 8 bytes of a little-endian word; runs up to LANES bytes are hashed
+# eight bytes at a time.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LANES = 64
+
+
 def run_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Two unrelated 64-bit hashes, a row of two, of each run of bytes from one start to the
+    """Two unrelated 64-bit hashes, two rows, of each run of bytes from one start to the
     next; the last one ends with ``data``.
 
-    Distinct runs are hashed as they are, byte strings of any length by a 128-bit hash:
-    no pattern of letters makes two of them equal.
+    A run's length and then its bytes, eight at a time, are mixed in one after the other;
+    each step maps one to one, so no two runs of one length up to 8 bytes are equal, and
+    no pattern of letters cancels out. Longer runs than ``LANES`` take a 128-bit hash.
     """
-    if not len(starts):
-        return np.zeros((0, 2), np.uint64)
-    offsets = np.append(starts, len(data)).astype(np.int64)
-    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]
-    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
-    each = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist()))
-    return np.frombuffer(each, "<u8").reshape(-1, 2)[coded.indices.to_numpy()]
+    size = np.diff(np.append(starts, len(data))).astype(np.int64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    view = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    first, length = view[starts] & _MASKS[np.minimum(size, 8)], size.astype(np.uint64)
+    out = np.stack([mixed(first + mixed(length + np.uint64(0x51))), mixed(first ^ mixed(length + np.uint64(0xA7A7)))])
+    longer = np.flatnonzero(size > 8)
+    for at in range(8, LANES, 8):
+        lane = view[starts[longer] + at] & _MASKS[np.minimum(size[longer] - at, 8)]
+        out[0, longer] = mixed(out[0, longer] * np.uint64(3) + lane)
+        out[1, longer] = mixed(out[1, longer] * np.uint64(5) + lane)
+        longer = longer[size[longer] > at + 8]
+    for i in longer.tolist():
+        digest = xxhash.xxh3_128_digest(data[starts[i] : starts[i] + size[i]].tobytes())
+        out[:, i] = np.frombuffer(digest, "<u8")
+    return out
 
 
 def chained(words: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -215,8 +230,9 @@ def squeezed(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     each document (one more entry than documents).
     """
     space = _SPACE[flat]
-    begins = ~space
-    begins[1:] &= space[:-1] | np.isin(np.arange(1, len(flat)), ends)
+    after = np.concatenate([np.ones(1, bool), space])
+    after[ends] = True
+    begins = ~space & after[:-1]
     begins_at = np.flatnonzero(begins)
     word = np.cumsum(begins) - 1
     kept = np.flatnonzero(~space)

@@ -44,7 +44,7 @@ def features(flat: np.ndarray, ends: np.ndarray, buckets: int) -> tuple[np.ndarr
     at = np.flatnonzero(change)
     start, stop = at[:-1], at[1:]
     solid = part[start] != BLANK if len(start) else np.zeros(0, bool)
-    word = run_hashes(_FOLD[flat], start)[solid, 0]
+    word = run_hashes(_FOLD[flat], start)[0, solid]
     start, stop = start[solid], stop[solid]
     text = np.searchsorted(ends, start, side="right") - 1
 

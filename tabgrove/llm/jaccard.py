@@ -36,9 +36,9 @@ def shingle_sets(batch: pa.RecordBatch, words: int) -> tuple[list[np.ndarray], n
     of = np.repeat(np.arange(len(n)), size)
     head = first[:-1][of] + np.arange(begin[-1]) - begin[:-1][of]
     each = run_hashes(data, start)
-    hashes = chained(np.ascontiguousarray(each[:, 0]), head, np.minimum(n, words)[of])
+    hashes = chained(each[0], head, np.minimum(n, words)[of])
     sets = [np.unique(hashes[a:b]) for a, b in zip(begin.tolist(), begin[1:].tolist())]
-    h1, h2 = (np.where(n > 0, summed(np.ascontiguousarray(each[:, i]), first), 0).astype(np.uint64) for i in (0, 1))
+    h1, h2 = (np.where(n > 0, summed(each[i], first), 0).astype(np.uint64) for i in (0, 1))
     return sets, h1, h2
 
 

@@ -15,7 +15,7 @@ from tabgrove.llm.common import components, in_arrow, joined
 from tabgrove.sources.shared import materialise
 
 # Vectors a bucket aims at, and those of one side of a block comparison.
-BUCKET, BLOCK = 2048, 4096
+BUCKET, BLOCK = 1024, 4096
 # The chance that a pair right at the threshold meets in no table, and the chance that its
 # estimate falls below its confidence bound.
 MISS, FAILURE = 1e-9, 1e-9
@@ -95,30 +95,38 @@ def encode(units: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return steps, step, np.abs(turned).sum(axis=1) / math.sqrt(dim), error
 
 
-def estimates(
-    steps: np.ndarray, step: np.ndarray, codes: np.ndarray, factors: np.ndarray
-) -> np.ndarray:
+def inner_products(steps: np.ndarray, step: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Inner products of vectors, by their steps, with the codes of others."""
+    return (steps * step[:, None]).astype(np.float32) @ _signs(codes).T
+
+
+def _signs(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes > 0, np.float32(1), np.float32(-1)) / np.float32(math.sqrt(codes.shape[1]))
+
+
+def estimates(steps: np.ndarray, step: np.ndarray, codes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """Unbiased estimates of the inner products of vectors with coded ones: the inner
     product with the code, divided by its factor."""
-    signs = np.where(codes > 0, np.float32(1), np.float32(-1)) / np.float32(math.sqrt(codes.shape[1]))
-    near = (steps.astype(np.float32) @ signs.T) * step.astype(np.float32)[:, None]
-    return near / factors.astype(np.float32)[None, :]
+    return inner_products(steps, step, codes) / factors.astype(np.float32)[None, :]
 
 
-def margins(
-    errors: np.ndarray, factors: np.ndarray, dim: int, threshold: float, failure: float = FAILURE
-) -> np.ndarray:
-    """How far below the threshold the estimate of a pair that reaches it may lie.
+def margins(factors: np.ndarray, dim: int, threshold: float, failure: float = FAILURE) -> np.ndarray:
+    """How far below the threshold the estimate of a pair that reaches it may lie, by the
+    factor of the code, the errors of the other's steps apart.
 
     The code is its factor times the coded vector plus a part across it, whose direction is
     uniform over random rotations. Of that part the other vector sees sqrt(1 - c^2), for
     a pair of cosine c, times one coordinate of a random direction: the estimate is off
-    by more than this margin with probability ``failure``, less above the threshold. The
-    errors of the steps are added in full.
+    by more than this margin with probability ``failure``, less above the threshold.
     """
     across = np.sqrt(np.maximum(0, 1 - factors**2)) / factors
-    random = across * math.sqrt(1 - threshold**2) * confidence(dim, failure)
-    return random[None, :] + errors[:, None] / factors[None, :] + 1e-4
+    return across * math.sqrt(1 - threshold**2) * confidence(dim, failure)
+
+
+def least_products(factors: np.ndarray, dim: int, threshold: float, failure: float) -> np.ndarray:
+    """The inner product with a code from which a pair may reach the threshold: where the
+    estimate is the threshold less its margin and a little for rounding."""
+    return ((threshold - margins(factors, dim, threshold, failure) - 1e-4) * factors).astype(np.float32)
 
 
 def open_pairs(
@@ -131,18 +139,23 @@ def open_pairs(
     failure: float,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows, between ``left`` and ``right`` or within ``left``, whose estimate is
-    within its margin of the threshold and that share no key before ``table``; some at a
-    time."""
+    within its margin of the threshold, errors of the steps in full, and that share no key
+    before ``table``; some at a time."""
     steps, step, factors, errors = coded
     others = left if right is None else right
+    signs, dim = _signs(steps[others]).T.copy(), steps.shape[1]
+    least = least_products(factors[others], dim, threshold, failure)
     for at in range(0, len(left), 512):
         rows = left[at : at + 512]
-        about = estimates(steps[rows], step[rows], steps[others], factors[others])
-        may = about >= threshold - margins(errors[rows], factors[others], steps.shape[1], threshold, failure)
+        # Within one block only what comes after a row is a pair of its own.
+        skip = at if right is None else 0
+        near = (steps[rows] * step[rows][:, None]).astype(np.float32) @ signs[:, skip:]
+        near += errors[rows].astype(np.float32)[:, None]
+        i, j = np.nonzero(near >= least[skip:])
         if right is None:
-            may &= np.arange(at, at + len(rows))[:, None] < np.arange(len(others))[None, :]
-        i, j = np.nonzero(may)
-        i, j = rows[i], others[j]
+            after = j > i
+            i, j = i[after], j[after]
+        i, j = rows[i], others[j + skip]
         for k in range(0, len(i), PAIRS):
             a, b = i[k : k + PAIRS], j[k : k + PAIRS]
             first = ~(keys[a, :table] == keys[b, :table]).any(axis=1)

@@ -245,7 +245,9 @@ def _merge(width: int, schema: pa.Schema):
 
     def merged(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        own = next(r for r in rows if r["keys"] is not None)
+        own = next((r for r in rows if r["keys"] is not None), None)
+        if own is None:
+            raise ValueError("the rows of a slice changed while the query ran; write them first")
         starts = np.frombuffer(own["starts"], "<i8")
         marked = np.unpackbits(np.frombuffer(zlib.decompress(own["seen"]), np.uint8), count=int(starts[-1])).astype(bool)
         for row in rows:
@@ -275,6 +277,9 @@ def repeated_spans(df: DataFrame, key: str, text: str, width: int = 50) -> DataF
     one key above all others. NULL, empty and short texts hold no window. No two windows are
     taken for equal unless 69 bits and more of two independent hashes agree, with one more
     bit for every doubling of the table.
+
+    A slice is named by what it holds, so that a task that runs again makes the same rows.
+    ``df`` should be a scan or a written table: where a retry meets other rows, it raises.
     """
     rows = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     rows = rows.where("text IS NOT NULL")
@@ -320,11 +325,12 @@ def remove_repeats(df: DataFrame, key: str, text: str, width: int = 50) -> DataF
             for some in slices(batch, 10_000, SLICE):
                 numbers, left = [], []
                 for text_, spans_ in zip(some["text"].to_pylist(), some["spans"].to_pylist()):
-                    words = (text_ or "").encode().split()
+                    words, kept, at = (text_ or "").encode().split(), [], 0
+                    for span in spans_ or []:
+                        kept += words[at : span["begin"]]
+                        at = span["end"]
                     numbers.append(len(words))
-                    for span in reversed(spans_ or []):
-                        del words[span["begin"] : span["end"]]
-                    left.append(b" ".join(words).decode())
+                    left.append(b" ".join(kept + words[at:]).decode())
                 empty = pc.coalesce(some["spans"], pa.scalar([], some["spans"].type))
                 arrays = [some["key"], pa.array(numbers, pa.int64()), empty, pa.array(left, pa.string())]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, target)], schema=target)

@@ -125,14 +125,24 @@ def plain_mixed(h):
     return h ^ h >> 31
 
 
+def plain_hash(token):
+    """The first hash of a run of bytes: length, then eight bytes at a time."""
+    m = 2**64 - 1
+    if len(token) > 64:
+        return int.from_bytes(xxhash.xxh3_128_digest(token)[:8], "little")
+    h = plain_mixed(int.from_bytes(token[:8], "little") + plain_mixed(len(token) + 0x51) & m)
+    for at in range(8, len(token), 8):
+        h = plain_mixed(h * 3 + int.from_bytes(token[at : at + 8], "little") & m)
+    return h
+
+
 def plain_grams(text, buckets):
     """Buckets of a text's n-grams, token by token."""
     m, tokens = 2**64 - 1, []
     kinds = rb"[\x09-\x0d\x1c-\x20]+|[0-9A-Za-z\x80-\xff]+|[^\x09-\x0d\x1c-\x200-9A-Za-z\x80-\xff]+"
     for token in plain_tokens((text or "").encode(), kinds):
         fold = bytes(b + 32 if 65 <= b <= 90 else b for b in token)
-        word = int.from_bytes(xxhash.xxh3_128_digest(fold)[:8], "little")
-        tokens.append((token, word))
+        tokens.append((token, plain_hash(fold)))
     shapes = []
     for i, (token, word) in enumerate(tokens):
         low = sum(97 <= b <= 122 or b >= 128 for b in token)
@@ -161,6 +171,19 @@ def plain_tokens(data, kinds):
     return [t for t in out if not re.fullmatch(rb"[\x09-\x0d\x1c-\x20]+", t)]
 
 
+def test_hashes_of_runs_equal_plain_ones_and_differ():
+    from tabgrove.llm.common import run_hashes
+
+    draw = random.Random(17)
+    runs = [bytes(draw.choice(b"ab\0") for _ in range(draw.choice([1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 200]))) for _ in range(3000)]
+    runs = list(dict.fromkeys(runs)) + [b"a" * n for n in range(201, 300)]
+    starts = np.cumsum([0, *map(len, runs)])[:-1]
+    found = run_hashes(np.frombuffer(b"".join(runs), np.uint8), starts)
+    assert found[0].tolist() == [plain_hash(r) for r in runs]
+    assert len(set(found[0].tolist())) == len(set(found[1].tolist())) == len(runs)
+    assert run_hashes(np.zeros(0, np.uint8), np.zeros(0, np.int64)).shape == (2, 0)
+
+
 def test_weights_and_sample_equal_a_plain_reference(spark):
     draw = random.Random(31)
     word = lambda c: "".join(draw.choice(c) for _ in range(draw.randint(1, 5)))
@@ -274,7 +297,7 @@ def test_confidence_bounds_fail_as_often_as_stated(dim, failure):
         a, b = pairs_at(0.9, 100, dim, draw)
         one, two = vectors.encode(a, seed), vectors.encode(b, seed)
         about = np.diag(vectors.estimates(one[0], one[1], two[0], two[2]))
-        margin = np.diag(vectors.margins(np.zeros(100), two[2], dim, 0.9, failure))
+        margin = vectors.margins(two[2], dim, 0.9, failure)
         missed, total = missed + int((about < 0.9 - margin).sum()), total + 100
     assert 0.5 * failure < missed / total < 1.5 * failure + 0.005
 
@@ -284,8 +307,8 @@ def test_bounds_at_the_registered_failure_miss_nothing_and_leave_little_open():
     for seed in range(30):
         a, b = pairs_at(0.98, 500, 64, draw)
         one, two = vectors.encode(a, seed), vectors.encode(b, seed)
-        about = vectors.estimates(one[0], one[1], two[0], two[2])
-        may = about >= 0.98 - vectors.margins(one[3], two[2], 64, 0.98)
+        near = vectors.inner_products(one[0], one[1], two[0]) + one[3][:, None]
+        may = near >= vectors.least_products(two[2], 64, 0.98, vectors.FAILURE)
         assert np.diag(may).all() and may.mean() < 0.003  # all but the diagonal are unlike
     assert vectors.confidence(3, 1e-9) == 1.0 > vectors.confidence(16, 1e-9) > vectors.confidence(64, 1e-9)
 

@@ -396,7 +396,8 @@ def jaccard_components(
 
     NULL and empty texts, and texts without words, have size 0 and link with nothing.
     Rows of one key keep their rows; NULL keys too, their component is NULL if no other
-    key is reachable. Other columns are not read. Shingles are compared by 64-bit hashes.
+    key is reachable. Other columns are not read, an empty table gives no rows. Shingles
+    are compared by 64-bit hashes, equal texts by two.
     """
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     profile = materialise(profiles(docs, words))

@@ -275,7 +275,8 @@ def scan_secrets(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, spans)`` of every row: kind, start, end (code points), name and score.
 
     One narrow pass over whole texts. NULL and empty texts have no spans, NULL and
-    repeated keys keep their rows, other columns are not read.
+    repeated keys and repeated rows keep their rows, other columns are not read, an empty
+    table gives no rows.
     """
     schema = f"key {df.schema[key].dataType.simpleString()}, spans {SPANS}"
 
@@ -293,7 +294,8 @@ def scan_secrets(df: DataFrame, key: str, text: str) -> DataFrame:
 def redact_secrets(df: DataFrame, text: str, mask: str = "[SECRET]") -> DataFrame:
     """``df`` with every found span of ``text`` replaced by ``mask``; other columns stay.
 
-    Overlapping spans become one. NULL texts stay NULL, texts without a span unchanged.
+    Overlapping spans become one. NULL texts stay NULL, texts without a span unchanged;
+    rows keep their number, an empty table stays empty, columns may have any names.
     """
     place = df.columns.index(text)
     schema = ", ".join(f"c{i} {field.dataType.simpleString()}" for i, field in enumerate(df.schema))

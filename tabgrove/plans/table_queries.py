@@ -60,7 +60,8 @@ def csv_type_profile(spark, sf_dir):
         F.col("l_quantity").cast("decimal(12,2)").alias("l_quantity"),
         F.when(F.col("l_linenumber") % 3 > 0, F.col("l_tax")).alias("gaps"),
         F.when(F.col("l_linenumber") == 2, "odd").otherwise(F.col("l_linenumber").cast("string")).alias("odd"),
-        (F.col("l_orderkey") * 10_000_000_000_000).alias("big"),
+        # As decimals: a bigint holds the product of less than a million orders only.
+        (F.col("l_orderkey").cast("decimal(19,0)") * 10_000_000_000_000).alias("big"),
         ship.alias("shipped"),
         F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss").alias("moment"),
         (F.col("l_returnflag") == "R").alias("is_returned"),

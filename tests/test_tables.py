@@ -16,6 +16,7 @@ from tabgrove.operators.profile import column_type, profile_columns, profiled_sc
 from tabgrove.operators.score import score_batch
 from tabgrove.plans.jobs import evaluate_job, read_clean, score_job, train_job
 from tabgrove.plans.queries import damaged_csv, table
+from tabgrove.plans.table_queries import csv_type_profile
 from tabgrove.sources import models
 from tabgrove.sources.delimited import read_delimited
 from tabgrove.sources.metrics import read_metrics, write_metrics
@@ -167,6 +168,18 @@ def test_profile_of_line_items_equals_inference_by_one_scan(spark, sf_dir):
     assert read_delimited(spark, path, schema=schema).count() == raw.count()
 
 
+def test_profile_query_holds_products_beyond_bigint(spark, sf_dir, tmp_path):
+    """Keys of a table many times as large: 10^13 times the greatest needs 20 digits."""
+    items = table(spark, sf_dir, "lineitem")
+    key = F.when(F.col("l_linenumber") == 1, F.lit(8_999_999)).otherwise(F.col("l_orderkey")).cast("long")
+    items.withColumn("l_orderkey", key).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = {r["name"]: r for r in csv_type_profile(spark, str(tmp_path)).collect()}
+    assert len(rows) == 10 and {r["n_rows"] for r in rows.values()} == {items.count()}
+    assert (rows["l_orderkey"]["type"], rows["l_orderkey"]["greatest"]) == ("int", 8_999_999.0)
+    big = rows["big"]
+    assert (big["type"], big["n_null"], big["n_bad"], big["greatest"]) == ("decimal(20,0)", 0, 0, 8.999999e19)
+
+
 def test_profile_counts_what_cleaning_loses(spark, tmp_path):
     lines = [";".join(CELLS[name][i] or "" for name in CELLS) for i in range(5)]
     raw = read_delimited(spark, text(tmp_path, [";".join(CELLS), *lines]), infer_schema=False)

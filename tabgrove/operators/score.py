@@ -39,15 +39,18 @@ def score_batch(
     vectors = (forest.getFeaturesCol(), forest.getRawPredictionCol(), forest.getProbabilityCol())
     stages, features, added = [], [], [*filter(None, vectors), forest.getPredictionCol(), predicted]
     for stage in model.stages:
+        # A copy has no training summary. That of a forest of two labels holds the session,
+        # which tasks cannot be sent once anything in it was observed.
+        stage = stage.copy()
         if isinstance(stage, VectorAssembler):
             features = stage.getInputCols()
             if stage.getHandleInvalid() == "skip":
-                stage = stage.copy().setHandleInvalid("keep")
+                stage.setHandleInvalid("keep")
         elif isinstance(stage, StringIndexerModel):
             if ml_name(stage.getInputCol()) in {ml_name(name) for name in df.columns}:
                 added.append(stage.getOutputCol())
             if stage.getHandleInvalid() == "skip":
-                stage = stage.copy().setHandleInvalid("keep")
+                stage.setHandleInvalid("keep")
         stages.append(stage)
     check_distinct(df.sparkSession, [*df.columns, *added])
     scored = PipelineModel(stages).transform(df)

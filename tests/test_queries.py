@@ -8,6 +8,7 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
@@ -95,3 +96,14 @@ def test_query_matches_sql(name, spark, sf_dir, duck):
     expected_rows = sorted((tuple(r[i] for i in order) for r in expected.fetchall()), key=key)
     assert actual_rows == expected_rows
     assert actual_rows
+
+
+# Queries that score with a forest as it was fitted, to two labels.
+FITTED = ["stump_predict"]
+
+
+@pytest.mark.parametrize("name", FITTED)
+def test_query_scores_after_an_observation(name, spark, sf_dir, duck):
+    """No task can be sent a session that has observed something."""
+    spark.range(3).observe(Observation(), F.count("*").alias("n")).collect()
+    test_query_matches_sql(name, spark, sf_dir, duck)

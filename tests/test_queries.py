@@ -99,7 +99,7 @@ def test_query_matches_sql(name, spark, sf_dir, duck):
 
 
 # Queries that score with a forest as it was fitted, to two labels.
-FITTED = ["stump_predict", "tree_predict", "forest_fit_score"]
+FITTED = ["stump_predict", "tree_predict", "forest_fit_score", "quality_metrics"]
 
 
 @pytest.mark.parametrize("name", FITTED)
